@@ -1,9 +1,12 @@
 """The queries of this package: name -> callable of (spark, sf_dir), and SQL for those that SQL can express."""
 
-from scorewright.llm import exact_dedup, sharding
+from scorewright.llm import byte_bpe, exact_dedup, packing, sharding, token_output
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_token_output": token_output.op5,
+    "op7_packing": packing.op7,
+    "op9_byte_bpe": byte_bpe.op9,
     "op10_sharding": sharding.op10,
 }
 
