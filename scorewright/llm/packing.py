@@ -53,24 +53,61 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tupl
     return float(value[capacity]), found
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.001, rounds: int = 4000) -> list[tuple[Counter, float]]:
-    """Patterns (item number -> copies) and their values in a solution within `gap` of the linear program's optimum."""
+def first_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[Counter], np.ndarray]:
+    """A basis and its values: the longest length with demand left, filled up by the knapsack over such lengths at the
+    prices length / capacity, is used until one of its lengths runs out. Each column ends one length, so they are independent."""
+    left, patterns, amounts = demand.astype(np.float64).copy(), [None] * len(lengths), np.zeros(len(lengths))
+    alive = np.ones(len(lengths), bool)
+    while alive.any():
+        longest = int(np.flatnonzero(alive)[-1])
+        room = capacity - int(lengths[longest])
+        usable = np.flatnonzero(alive & (lengths <= room))
+        found = Counter({longest: 1})
+        if len(usable):
+            exact = usable[lengths[usable] == room]
+            filler = Counter({0: 1}) if len(exact) else best_pattern(lengths[usable], lengths[usable] / capacity, room)[1]
+            usable = exact if len(exact) else usable
+            for i, copies in filler.items():
+                found[int(usable[i])] += copies
+        amount, ends = min((left[i] / copies, i) for i, copies in found.items())
+        for i, copies in found.items():
+            left[i] = max(0.0, left[i] - amount * copies)
+        patterns[ends], amounts[ends], alive[ends] = found, amount, False
+    return patterns, amounts
+
+
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.002, rounds: int = 500) -> list[tuple[Counter, float]]:
+    """Patterns (item number -> copies) and their values, by column generation for the linear program: least total
+    value whose copies meet the demand of each length (ascending).
+
+    It ends when the value is within `gap` of a lower bound (the tokens over the capacity, or the prices' value over
+    the best pattern's worth), or after `rounds` pivots; any basis on the way meets the demand."""
     m = len(lengths)
-    single = capacity // lengths
-    patterns = [Counter({i: int(single[i])}) for i in range(m)]
-    inverse = np.diag(1 / single)
-    amounts = demand / single
+    patterns, amounts = first_columns(lengths, demand, capacity)
+    matrix = np.zeros((m, m))
+    for k, found in enumerate(patterns):
+        for i, copies in found.items():
+            matrix[i, k] = copies
+    inverse = np.linalg.inv(matrix)
+    bound = float(lengths @ demand) / capacity  # length / capacity are feasible prices
+    centre = lengths / capacity
     for _ in range(rounds):
-        prices = inverse.sum(axis=0)
-        worth, found = best_pattern(lengths, prices, capacity)
-        if worth <= 1 + gap:  # total / worth bounds the optimum from below
+        if amounts.sum() <= bound * (1 + gap):
             break
+        prices = inverse.sum(axis=0)
+        smooth = 0.5 * prices + 0.5 * centre  # steadier than the basis prices, which jump
+        worth, found = best_pattern(lengths, smooth, capacity)
+        bound = max(bound, float(smooth @ demand) / worth)
+        if sum(prices[i] * c for i, c in found.items()) <= 1 + 1e-9:
+            worth, found = best_pattern(lengths, prices, capacity)
+            bound = max(bound, float(prices @ demand) / worth)
+            if worth <= 1 + 1e-9:
+                break
         column = np.zeros(m)
         for i, copies in found.items():
             column[i] = copies
         way = inverse @ column
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(way > 1e-9, amounts / way, np.inf)
+        ratio = np.where(way > 1e-9, amounts / np.maximum(way, 1e-9), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
         amounts = np.maximum(amounts - step * way, 0)
@@ -98,7 +135,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return packed
 
 
-def layout(histogram: dict[int, int], capacity: int, gap: float = 0.001) -> list[tuple]:
+def layout(histogram: dict[int, int], capacity: int, gap: float = 0.002) -> list[tuple]:
     """Rows of LAYOUT_SCHEMA: where the items of a length and a range of ranks lie. Fewer than capacity squared times four rows."""
     rows, rank, sequence = [], Counter(), 0
     if whole := histogram.get(capacity, 0):
@@ -121,7 +158,8 @@ def layout(histogram: dict[int, int], capacity: int, gap: float = 0.001) -> list
         for pattern, amount in column_generation(lengths, demand, capacity, gap):
             named = Counter({int(lengths[i]): c for i, c in pattern.items()})
             uses = min([int(amount + 1e-6), *(left[x] // c for x, c in named.items())])
-            if uses > 0:
+            slack = sum(x * c for x, c in named.items()) < TIGHT * capacity and uses * sum(named.values()) <= capacity
+            if uses > 0 and not slack:  # a few slack sequences are better cut
                 lay(named, uses)
                 for x, c in named.items():
                     left[x] -= c * uses
@@ -167,7 +205,7 @@ class Packed:
         return self.slices().groupBy("sequence_id").agg(joined.alias("ids"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, gap: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> Packed:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, gap: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Packed:
     """Pack all documents into sequences of at most `capacity` tokens.
 
     Null text: the end id alone. Null or repeated doc_id: each row is a document of its own. Empty table: no pieces.
