@@ -71,9 +71,9 @@ class Scratch:
     def path(self, label: str) -> str:
         return f"{self.root}/{label}"
 
-    def keep(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-        """Write df and return the written table: its lineage ends here and it is never computed again."""
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(label))
+    def keep(self, df: DataFrame, label: str, codec: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:
+        """Write df (in folders by the columns `by`) and return the written table: its lineage ends here and it is never computed again."""
+        df.write.mode("overwrite").option("compression", codec).partitionBy(*by).parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, *labels: str) -> None:

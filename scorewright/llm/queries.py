@@ -1,15 +1,18 @@
 """The queries of this package: name -> callable of (spark, sf_dir), and SQL for those that SQL can express."""
 
-from scorewright.llm import byte_bpe, exact_dedup, packing, sharding, token_output
+from scorewright.llm import byte_bpe, exact_dedup, lm_scoring, packing, sharding, token_output, vector_search
 
 QUERIES = {
+    "op2_vector_search": vector_search.op2,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_token_output": token_output.op5,
     "op7_packing": packing.op7,
+    "op8_lm_scoring": lm_scoring.op8,
     "op9_byte_bpe": byte_bpe.op9,
     "op10_sharding": sharding.op10,
 }
 
 ORACLE_SQL = {
+    "op2_vector_search": vector_search.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
