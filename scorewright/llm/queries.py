@@ -1,11 +1,13 @@
 """The queries of this package: name -> callable of (spark, sf_dir), and SQL for those that SQL can express."""
 
-from scorewright.llm import byte_bpe, exact_dedup, lm_scoring, packing, sharding, token_output, vector_search
+from scorewright.llm import byte_bpe, exact_dedup, language, lm_scoring, packing, quality, sharding, token_output, vector_search
 
 QUERIES = {
     "op2_vector_search": vector_search.op2,
+    "op3_quality": quality.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_token_output": token_output.op5,
+    "op6_language": language.op6,
     "op7_packing": packing.op7,
     "op8_lm_scoring": lm_scoring.op8,
     "op9_byte_bpe": byte_bpe.op9,
