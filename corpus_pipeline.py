@@ -1,8 +1,64 @@
-"""Corpus pipeline."""
+"""A training corpus from raw documents: quality, language, exact copies, near copies, packed sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from scorewright.llm import language, packing, quality
+from scorewright.llm.common import Scratch
+from scorewright.llm.exact_dedup import digest, exact_dedup
+from scorewright.llm.near_dedup import near_dedup
+
+#: SQL can express neither the learnt stages nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, learnt from all labels of these documents, scores at the threshold or above."""
+    model, _ = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    return quality.keep_good(docs, model)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told without ambiguity; texts without a letter go."""
+    return language.keep_known(docs, language.learn(docs, F.lit(True)))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that of the smallest doc_id, and one row of it if it is repeated."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha")).distinct()
+    marked = docs.withColumn("__sha", digest())
+    stays = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__sha") == F.col("kept_sha")), "left_semi")
+    copies = Window.partitionBy("doc_id", "__sha").orderBy(F.lit(0))
+    return stays.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1").select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0))
+
+
+STAGES = [("quality", quality_stage), ("language", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over sf_dir's documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

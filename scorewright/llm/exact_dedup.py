@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import BLANKS, Scratch, shared_root, shuffle_parts
@@ -18,10 +18,10 @@ from scorewright.llm.common import BLANKS, Scratch, shared_root, shuffle_parts
 HOT_SHARE = 500
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and sha (binary) of each row; a null text counts as the empty text."""
+def digest(text_col: str = "text") -> Column:
+    """SHA-256 (binary) of the normalised text; a null text counts as the empty text."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, " ")
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"))
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 class DigestIndex:
@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     index = index or DigestIndex(spark)
-    known = scratch.keep(digests(docs, id_col, text_col), "digests")
+    known = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("sha")), "digests")
     groups = scratch.keep(known.groupBy("sha").agg(F.min("doc_id").alias("batch_id"), F.count("*").alias("group_size")), "groups")
     index.append(groups.withColumnRenamed("batch_id", "keep_id"))
     held = index.rows().hint("merge")

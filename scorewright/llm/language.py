@@ -149,8 +149,8 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous and the columns `keep` of each row.
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and ambiguous of each row.
 
     Null texts and texts without a letter: 'und', score 0, ambiguous. Null or repeated ids: a row each. Nothing learnt: 'und'."""
     ship(docs.sparkSession)
@@ -160,11 +160,23 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         model = shared.value
         for rows in row_slices(batches):
             names, scores, flags = zip(*map(model.predict, rows.column(1).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", *keep, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("language_text"), *keep)
-    types = dict(docs.dtypes)
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double, ambiguous boolean"]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is told and isn't ambiguous."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for rows in row_slices(batches):
+            yield rows.filter(pa.array([not model.predict(t)[2] for t in rows.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

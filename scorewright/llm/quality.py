@@ -125,8 +125,8 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "do
     return model, share
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (0 to 1) and the columns `keep` of each row. Null text: scored as the empty text. Null or repeated ids: a row each."""
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1) of each row. Null text: scored as the empty text. Null or repeated ids: a row each."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # under 200 KB
 
@@ -135,11 +135,24 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         compressors = model.compressors()
         for rows in row_slices(batches):
             scores = model.score(rows.column(1).to_pylist(), compressors)
-            yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], pa.array(scores, pa.float64())], names=["doc_id", *keep, "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("quality_text"), *keep)
-    types = dict(docs.dtypes)
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "score double"]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least the threshold."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        compressors = model.compressors()
+        for rows in row_slices(batches):
+            yield rows.filter(pa.array(model.score(rows.column(text_col).to_pylist(), compressors) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The queries of this package: name -> callable of (spark, sf_dir), and SQL for those that SQL can express."""
 
-from scorewright.llm import byte_bpe, exact_dedup, language, lm_scoring, packing, quality, sharding, token_output, vector_search
+from scorewright.llm import byte_bpe, exact_dedup, language, lm_scoring, near_dedup, packing, quality, sharding, token_output, vector_search
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1,
     "op2_vector_search": vector_search.op2,
     "op3_quality": quality.op3,
     "op4_exact_dedup": exact_dedup.op4,
