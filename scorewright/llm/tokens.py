@@ -8,8 +8,9 @@ distinct stretch.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
-import numpy as np
 from pyspark.sql import SparkSession
 
 from scorewright.llm.common import PieceCache
@@ -27,6 +28,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
+#: Stretches of each kind that a process remembers in either of its two generations.
+MEMO = 500_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 _encoders: dict[tuple[int, int], Encoder] = {}
 
 
@@ -45,7 +58,8 @@ class Encoder:
         if not drops and self._ids("a b") != self._ids("a") + self._ids(" b"):
             raise ValueError("this vocabulary joins text across blanks")
         self.encode = self._encode_dropping if drops else self._encode_blanks
-        self.cache = PieceCache(self._bytes)
+        self.cache = PieceCache(self._bytes, MEMO)
+        self.after_blank = PieceCache(lambda word: self._bytes(" " + word), MEMO)
         self.letters, self.lower = _byte_letters(), self._ids("Ab") == self._ids("ab")
         probes = [b + w for b in ("", " ") for w in ("a", "the", "Nation", "éÇà", "Übergrößen", "señor", "zqxjkv", "Aa")]
         self.plain = all(self._plain(PLAIN.fullmatch(p)) == self._ids(p) for p in probes)
@@ -63,11 +77,13 @@ class Encoder:
     def _bytes(self, piece) -> bytes:
         text = piece.decode() if isinstance(piece, bytes) else piece
         if self.plain and (match := PLAIN.fullmatch(text)):
-            return np.array(self._plain(match), "<u4").tobytes()
+            return _packed(self._plain(match))
         if match := STOPPED.fullmatch(text):
             word, stop = match.groups()
-            return self.cache[word if isinstance(piece, str) else word.encode()] + self.cache[stop if isinstance(piece, str) else stop.encode()]
-        return np.array(self._ids(text), "<u4").tobytes()
+            if isinstance(piece, bytes):
+                return self.cache[word.encode()] + self.cache[stop.encode()]
+            return (self.after_blank[word[1:]] if word[0] == " " else self.cache[word]) + self.cache[stop]
+        return _packed(self._ids(text))
 
     def _encode_dropping(self, text: str) -> bytes:
         """Little-endian uint32 ids."""
@@ -84,11 +100,11 @@ class Encoder:
             return self._encode_runs(text)
         get = self.cache.__getitem__
         if "\n" not in text:
-            return get(first) + b"".join([get(" " + x) for x in rest])
+            return get(first) + b"".join(map(self.after_blank.__getitem__, rest))
         out, glue = [], get("\n")
         for line in text.split("\n"):
             first, *rest = line.split(" ")
-            out.append(get(first) + b"".join([get(" " + x) for x in rest]))
+            out.append(get(first) + b"".join(map(self.after_blank.__getitem__, rest)))
         return glue.join(out)
 
     def _encode_runs(self, text: str) -> bytes:
