@@ -1,0 +1 @@
+"""Feature, scorecard and text analytics on Spark DataFrames."""
