@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import row_slices, ship
+from scorewright.llm.common import row_slices
+from scorewright.shipping import ship
 
 NONE = np.int64(1 << 40)
 LONG = 512

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import id_remainder, row_slices, ship
+from scorewright.llm.common import id_remainder, row_slices
+from scorewright.shipping import ship
 
 HASH_BITS = 16
 ORDERS = (2, 3)

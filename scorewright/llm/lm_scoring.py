@@ -164,6 +164,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     answers = scratch.keep(questions.groupBy("shard").applyInArrow(answer, "block long, shard int, n int, tokens long, totals binary"), "answers", "none")
     total, types = answers.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
+    scratch.drop("asked/kind=1")  # answered; the texts of kind 0 are still to be read
+
     out_schema = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def traverse(block: pa.Table, totals: pa.Table) -> pa.Table:
