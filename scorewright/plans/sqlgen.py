@@ -23,7 +23,8 @@ def _text(f: Feature, dialect: str) -> str:
 def table_ddl(spec: TableSpec) -> str:
     """CREATE TABLE with roles in the order entities, dimensions, extra, snapshot columns, then the window columns.
 
-    Partition columns are declared once, in their own clause."""
+    Partition columns are declared once, in their own clause. Field separators mean something in text files only, and
+    Spark refuses them elsewhere, so other formats go without."""
     partitions = {c[0] for c in spec.partitioned_by}
     columns = [c for role in (spec.entitys, spec.dimensions, spec.extra_col, spec.snapshot_col) for c in role if c[0] not in partitions]
     columns += [(f"{c[0]}_{w}", c[1], c[2]) for c in spec.winpos_col for w in spec.win_nm]
@@ -32,7 +33,9 @@ def table_ddl(spec: TableSpec) -> str:
         parts.append(f"partitioned by (\n{_declared(spec.partitioned_by)}\n)")
     if spec.clustered_by:
         parts.append(f"clustered by ({', '.join(spec.clustered_by)})\ninto {spec.bucket_num} buckets")
-    parts += [f"row format delimited fields terminated by {_quoted(spec.field_sep)}", f"stored as {spec.stored_as}", f"location\n{_quoted(spec.location + spec.name)}"]
+    if spec.stored_as.lower() == "textfile":
+        parts.append(f"row format delimited fields terminated by {_quoted(spec.field_sep)}")
+    parts += [f"stored as {spec.stored_as}", f"location\n{_quoted(spec.location + spec.name)}"]
     return "\n".join(parts) + "\n;\n"
 
 
