@@ -4,8 +4,8 @@ Whole sequences are cut off long documents; what remains of each document is an
 the histogram of item lengths (fewer than `capacity` numbers, whatever the data) reaches the driver. There a linear
 program over patterns of lengths is solved by column generation: a dense revised simplex gives prices, a knapsack
 dynamic program finds the pattern of best price, until no pattern can improve the bound by more than `gap`. Patterns
-are used as often as their rounded-down values say; the few items left over are packed best-fit, and of the sequences
-that stay loose the items are laid end to end and cut. Items are ranked within their length in parallel, and a small
+are used as often as their rounded-down values say; the few items left over are packed best-fit; items of patterns or
+sequences that would stay loose are laid end to end and cut. Items are ranked within their length in parallel, and a small
 layout table turns length and rank into sequence and offset.
 """
 
@@ -26,7 +26,11 @@ from scorewright.llm.tokens import encoder, read_definition
 
 #: A rounded sequence filled to this share is kept as it is.
 TIGHT = 0.995
-LAYOUT_SCHEMA = "length int, rank_from long, rank_to long, each int, sequence_from long, offset_from int, cut_from int, cut_length int"
+#: Leftover items that are packed best-fit; more than that are laid end to end like other loose items.
+BEST_FIT_ITEMS = 20_000
+#: Pieces that are cut again are joined by broadcasting their places up to this many of them, and by a shuffle beyond.
+BROADCAST_CUTS = 200_000
+LAYOUT_SCHEMA = "length int, rank_from long, rank_to long, each int, sequence_from long, offset_from int, stream long"
 
 
 def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, Counter]:
@@ -136,67 +140,64 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def layout(histogram: dict[int, int], capacity: int, gap: float = 0.002) -> list[tuple]:
-    """Rows of LAYOUT_SCHEMA: where the items of a length and a range of ranks lie. Fewer than capacity squared times four rows."""
+    """Rows of LAYOUT_SCHEMA: where the items of a length and a range of ranks lie.
+
+    Rows with a null stream are patterns: `each` copies of the length lie side by side in every sequence. Rows with a
+    stream position lie end to end from there, cut where a sequence ends: patterns that fill too little (a length that
+    a third of all documents share may fit nothing) and loose leftovers. The number of rows depends on the capacity only."""
     rows, rank, sequence = [], Counter(), 0
     if whole := histogram.get(capacity, 0):
-        rows.append((capacity, 0, whole, 1, 0, 0, 0, capacity))
+        rows.append((capacity, 0, whole, 1, 0, 0, None))
         sequence = whole
 
     def lay(pattern: Counter, uses: int) -> None:
         nonlocal sequence
         offset = 0
         for length, copies in sorted(pattern.items(), reverse=True):
-            rows.append((length, rank[length], rank[length] + copies * uses, copies, sequence, offset, 0, length))
+            rows.append((length, rank[length], rank[length] + copies * uses, copies, sequence, offset, None))
             rank[length] += copies * uses
+            left[length] -= copies * uses
             offset += copies * length
         sequence += uses
 
     lengths = np.array(sorted(x for x in histogram if 0 < x < capacity), np.int64)
+    left = {int(x): histogram[int(x)] for x in lengths}
     if len(lengths):
         demand = np.array([histogram[int(x)] for x in lengths], np.float64)
-        left = {int(x): histogram[int(x)] for x in lengths}
         for pattern, amount in column_generation(lengths, demand, capacity, gap):
             named = Counter({int(lengths[i]): c for i, c in pattern.items()})
             uses = min([int(amount + 1e-6), *(left[x] // c for x, c in named.items())])
-            slack = sum(x * c for x, c in named.items()) < TIGHT * capacity and uses * sum(named.values()) <= capacity
-            if uses > 0 and not slack:  # a few slack sequences are better cut
+            if uses > 0 and sum(x * c for x, c in named.items()) >= TIGHT * capacity:
                 lay(named, uses)
-                for x, c in named.items():
-                    left[x] -= c * uses
-        loose: list[int] = []
-        for packed in best_fit([x for x, n in left.items() for _ in range(n)], capacity):
-            if sum(packed) >= TIGHT * capacity:
-                lay(Counter(packed), 1)
-            else:
-                loose += packed
-        offset = 0
-        for length in loose:
-            at = 0
-            while at < length:
-                take = min(length - at, capacity - offset)
-                rows.append((length, rank[length], rank[length] + 1, 1, sequence, offset, at, take))
-                at, offset = at + take, offset + take
-                if offset == capacity:
-                    sequence, offset = sequence + 1, 0
-            rank[length] += 1
+        if sum(left.values()) <= BEST_FIT_ITEMS:
+            for packed in best_fit([x for x, n in left.items() for _ in range(n)], capacity):
+                if sum(packed) >= TIGHT * capacity:
+                    lay(Counter(packed), 1)
+        stream = 0
+        for length, n in left.items():
+            if n:
+                rows.append((length, rank[length], rank[length] + n, 1, sequence, 0, stream))
+                stream += length * n
     return rows
 
 
 @dataclass
 class Packed:
     """pieces: mid, doc_id, doc_tokens, piece_start, piece_length, ids (little-endian uint32), as tokenised.
-    placed: mid, cut_from, cut_length, sequence_id, offset, narrow; a few pieces are cut once more."""
+    placed: mid, cut_from, cut_length, sequence_id, offset, narrow; pieces laid end to end may have two rows.
+    cuts: an upper bound of the pieces that are cut again."""
 
     pieces: DataFrame
     placed: DataFrame
+    cuts: int
 
     def slices(self) -> DataFrame:
         """Every final piece with its ids: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
         A piece that isn't cut again keeps its row beside the scan; only ids of length columns are joined."""
         joined = self.pieces.join(self.placed, "mid")
-        ids = F.expr("substring(ids, cut_from * 4 + 1, cut_length * 4)")
-        return joined.select("doc_id", (F.col("piece_start") + F.col("cut_from")).alias("start"), F.col("cut_length").cast("long").alias("length"), ids.alias("ids"), "doc_tokens", "sequence_id", "offset")
+        ids = F.expr("substring(ids, int(cut_from * 4 + 1), int(cut_length * 4))")
+        return joined.select("doc_id", (F.col("piece_start") + F.col("cut_from")).alias("start"), F.col("cut_length").alias("length"), ids.alias("ids"), "doc_tokens", "sequence_id", "offset")
 
     def sequences(self) -> DataFrame:
         """sequence_id and ids (binary) of each packed sequence."""
@@ -239,19 +240,22 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
     items = pieces.select("mid", F.col("piece_length").alias("length"), part_of("mid").alias("part"))
     counts = scratch.keep(items.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
-    where = spark.createDataFrame(layout(histogram, capacity, gap), LAYOUT_SCHEMA)
+    rows_of_layout = layout(histogram, capacity, gap)
+    where = spark.createDataFrame(rows_of_layout, LAYOUT_SCHEMA)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     number = F.row_number().over(Window.partitionBy("length", "part").orderBy("mid")) - 1
     ranked = items.withColumn("number", number).join(counts.withColumn("before", before).drop("n"), ["length", "part"])
     ranked = ranked.select("mid", "length", (F.col("before") + F.col("number")).alias("rank"))
     # the layout's size is bounded by the capacity alone
     placed = ranked.join(F.broadcast(where), "length").filter("rank >= rank_from AND rank < rank_to")
-    placed = placed.select(
-        "mid", "length", "cut_from", "cut_length",
-        F.expr("sequence_from + (rank - rank_from) div each").alias("sequence_id"),
-        F.expr("offset_from + ((rank - rank_from) % each) * length").cast("long").alias("offset"),
-    )
-    return Packed(pieces, scratch.keep(placed, "placed"))
+    at = "(stream + (rank - rank_from) * length)"
+    head = f"least(length, {capacity} - {at} % {capacity})"
+    whole = F.expr("array(named_struct('cut_from', 0L, 'cut_length', bigint(length), 'sequence_id', sequence_from + (rank - rank_from) div each, 'offset', bigint(offset_from + ((rank - rank_from) % each) * length)))")
+    laid = F.expr(f"""array(named_struct('cut_from', 0L, 'cut_length', bigint({head}), 'sequence_id', sequence_from + {at} div {capacity}, 'offset', bigint({at} % {capacity})),
+        named_struct('cut_from', bigint({head}), 'cut_length', bigint(length - {head}), 'sequence_id', sequence_from + {at} div {capacity} + 1, 'offset', 0L))""")
+    placed = placed.select("mid", "length", F.inline(F.when(F.col("stream").isNull(), whole).otherwise(laid))).filter("cut_length > 0")
+    cuts = sum((r[2] - r[1]) * r[0] for r in rows_of_layout if r[6] is not None) // capacity
+    return Packed(pieces, scratch.keep(placed, "placed"), cuts)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,12 +267,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digest(packed: Packed) -> DataFrame:
     """The packed pieces with a checksum of their ids instead of the ids.
 
-    Checksums are taken beside the scan, so ids are shuffled for none but the pieces that were cut again, whose number
-    the layout bounds."""
+    Checksums are taken beside the scan, so no ids are shuffled for pieces that stay whole. The places of the pieces that
+    were cut again are broadcast if they are few, as the layout knows; else they are joined by a shuffle."""
     whole, again = (packed.placed.filter(x) for x in ("cut_length = length", "cut_length < length"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     sums = packed.pieces.select("mid", "doc_id", "doc_tokens", "piece_start", F.crc32("ids").alias("ids_crc32"))
     out = sums.join(whole, "mid").withColumn("start", F.col("piece_start")).withColumn("length", F.col("length").cast("long")).select(columns)
-    cut = packed.pieces.join(F.broadcast(again), "mid")  # fewer than capacity squared rows, see layout()
-    cut = cut.withColumn("ids_crc32", F.crc32(F.expr("substring(ids, cut_from * 4 + 1, cut_length * 4)"))).withColumn("start", F.col("piece_start") + F.col("cut_from"))
-    return out.unionByName(cut.withColumn("length", F.col("cut_length").cast("long")).select(columns))
+    cut = packed.pieces.join(F.broadcast(again) if packed.cuts <= BROADCAST_CUTS else again, "mid")
+    cut = cut.withColumn("ids_crc32", F.crc32(F.expr("substring(ids, int(cut_from * 4 + 1), int(cut_length * 4))"))).withColumn("start", F.col("piece_start") + F.col("cut_from"))
+    return out.unionByName(cut.withColumn("length", F.col("cut_length")).select(columns))
