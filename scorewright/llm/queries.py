@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
     "op2_vector_search": vector_search.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
