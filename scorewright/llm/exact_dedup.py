@@ -39,12 +39,12 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append(self, groups: DataFrame) -> None:
-        """Add groups (sha, keep_id) whose digests the index does not hold yet."""
+        """Add groups (sha, keep_id) whose digests the index does not hold yet. Rows are dealt as the buckets are, so each append adds one file to a bucket."""
         new = groups.select("sha", "keep_id")
         if self.exists():
             new = new.join(self.rows().hint("merge"), "sha", "left_anti")
         (
-            new.write.mode("append").format("parquet").option("path", f"{shared_root(self.spark)}/{self.table}")
+            new.repartition(self.buckets, "sha").write.mode("append").format("parquet").option("path", f"{shared_root(self.spark)}/{self.table}")
             .bucketBy(self.buckets, "sha").sortBy("sha").saveAsTable(self.table)
         )
 
