@@ -20,8 +20,12 @@ from pyspark.sql.window import Window
 from scorewright.llm.common import Scratch, shuffle_parts
 
 BITS = 4
-BLOCK_ROWS = 8192
+#: Candidates of a block at most; small tables are cut into enough blocks for all tasks, of LEAST_ROWS or more.
+BLOCK_ROWS = 65_536
+LEAST_ROWS = 2048
 QUERY_ROWS = 512
+#: Bounds that are held at once.
+CELLS = 1 << 20
 
 
 class VaBlock:
@@ -45,6 +49,11 @@ class VaBlock:
     def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
         """For each query: its id, and ids and exact scores of its k best (ties to smaller ids), the query itself left out."""
         exact_dtype = np.int64 if _fits(queries, self.vectors) else object
+        turn = max(1, CELLS // len(self.ids))
+        for at in range(0, len(queries), turn):
+            yield from self._top(query_ids[at : at + turn], queries[at : at + turn], k, exact_dtype)
+
+    def _top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, exact_dtype: type) -> Iterator[tuple[int, np.ndarray, list[int]]]:
         low, high = self.bounds(queries.astype(np.float64))
         own = query_ids[:, None] == self.ids[None, :]
         low[own], high[own] = -np.inf, -np.inf
@@ -90,15 +99,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     scratch = Scratch(spark, "vector-search")
     whole = scratch.keep(quantise(vectors, id_col, vector_col, scale).filter("id IS NOT NULL"), "whole")
     sizes = {r["dims"]: (r["n"], r["q"]) for r in whole.groupBy("dims").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect()}
+
+    def block_rows(n: int) -> int:
+        return min(BLOCK_ROWS, max(LEAST_ROWS, math.ceil(n / shuffle_parts(spark))))
+
     # dims -> numbers of blocks; one row for each vector length
-    plan = spark.createDataFrame([(d, max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(q / QUERY_ROWS))) for d, (n, q) in sizes.items()], "dims int, blocks int, query_blocks int")
+    plan = spark.createDataFrame([(d, max(1, math.ceil(n / block_rows(n))), max(1, math.ceil(q / QUERY_ROWS))) for d, (n, q) in sizes.items()], "dims int, blocks int, query_blocks int")
     placed = whole.join(F.broadcast(plan), "dims")
     parts = F.abs(F.xxhash64("id"))
     candidates = placed.select("dims", F.expr("pmod(xxhash64(id, 7), blocks)").cast("int").alias("block"), F.lit(-1).alias("part"), "id", "v", F.lit(0).cast("long").alias("copy"))
     asked = placed.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     asked = asked.select("dims", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(parts, F.col("query_blocks")).cast("int").alias("part"), "id", "v", F.xxhash64("v").alias("copy"))
     schema = "query_id long, vec_id long, score long, copy long"
-    n_parts = max(shuffle_parts(spark), min(20_000, sum(math.ceil(n / BLOCK_ROWS) for n, _ in sizes.values())))
+    n_parts = max(shuffle_parts(spark), min(20_000, sum(math.ceil(n / block_rows(n)) for n, _ in sizes.values())))
     dealt = candidates.unionByName(asked).repartition(n_parts, "dims", "block").sortWithinPartitions("dims", "block", "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,6 +136,8 @@ def test_vector_search(spark, monkeypatch):
     rows += [(400 + i, rows[7][1]) for i in range(30)] + [(50, rows[9][1]), (7, rows[7][1]), (500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (550, [1.0, 2.0]), (551, [3.0, 4.0]), (None, rows[3][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     monkeypatch.setattr(vector_search, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vector_search, "LEAST_ROWS", 10)
+    monkeypatch.setattr(vector_search, "CELLS", 250)
     monkeypatch.setattr(vector_search, "QUERY_ROWS", 3)
     assert Counter(map(tuple, vector_search.top_k(df).collect())) == best(rows)
     assert vector_search.top_k(df.limit(0)).collect() == []
