@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewright import jvm
 from scorewright.functions import expressions as X
 from scorewright.operators import binning, evaluate, models, neural, profile, relational, scorecard, sequence, text, trees
 from scorewright.plans import features, lineage, sqlgen
 from scorewright.plans.specs import FeatureSpec, TableSpec
 from scorewright.shipping import ship
+from scorewright.streaming.features import windowed_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,6 +172,20 @@ def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.map_values(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", nation, "n_nationkey", "n_name", F.lit("none"))
 
 
+@query("keep_first", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) t WHERE rn = 1")
+def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.keep_first(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("safe_casts", """
+SELECT p_partkey, CASE WHEN p_name LIKE '%e%' THEN TRY_CAST(string_split(p_brand, '#')[2] AS INTEGER) ELSE TRY_CAST(p_brand AS INTEGER) END AS number,
+  p_retailprice / nullif(p_size % 5, 0) AS ratio FROM part""")
+def safe_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that isn't a number and ratios over zero are null, not errors."""
+    number = F.when(F.col("p_name").like("%e%"), F.get(F.split("p_brand", "#"), F.lit(1))).otherwise(F.col("p_brand")).try_cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", number.alias("number"), F.try_divide("p_retailprice", F.col("p_size") % 5).alias("ratio"))
+
+
 # -- sequences ------------------------------------------------------------------------------------------------------
 
 
@@ -187,6 +204,14 @@ def seq_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sequence.average_change(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value"))
 
 
+@query("stream_windows", """
+SELECT CAST(ts AS DATE) AS day, event_type, round(sum(value), 6) + 0.0::DOUBLE AS total, count(value) AS n FROM events GROUP BY ALL""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed features that also run on a stream, here over the whole table."""
+    found = windowed_features(table(spark, sf_dir, "events"), [FeatureSpec("E", ("value",), ("SUM", "COUNT"))], ["event_type"], "ts", "1 day")
+    return rounded(found.select(F.to_date("window_start").alias("day"), "event_type", F.col("E__SUM__value").alias("total"), F.col("E__COUNT__value").alias("n")))
+
+
 # -- profiling ------------------------------------------------------------------------------------------------------
 
 _HOLES = "SELECT l_orderkey, nullif(l_returnflag, 'N') AS flag, nullif(l_linestatus, 'O') AS status, CASE WHEN l_quantity > 40 THEN NULL ELSE l_quantity END AS quantity FROM lineitem"
@@ -297,6 +322,18 @@ def iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scorecard.information_value(_labelled(spark, sf_dir), "source", "quality", rare=20))
 
 
+@query("woe_encode", f"""
+WITH d AS ({_LABELLED}), c AS (SELECT lang AS bin, count(*) FILTER (quality = 1) AS g, count(*) FILTER (quality <> 1) AS b FROM d GROUP BY 1)
+SELECT doc_id, round(ln(((g + 1) / (b + 1)) / ((SELECT sum(g) FROM c) / (SELECT sum(b) FROM c))), 6) AS lang_woe FROM d JOIN c ON lang = bin""")
+def woe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scorecard.woe_encode(_labelled(spark, sf_dir), "lang", "quality").select("doc_id", "lang_woe"))
+
+
+@query("cust_bins", "SELECT c_custkey, CAST(CASE WHEN c_acctbal <= 0 THEN 0 WHEN c_acctbal <= 2500 THEN 1 WHEN c_acctbal <= 7000 THEN 2 ELSE 3 END AS INTEGER) AS bin FROM customer")
+def cust_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binning.cut(table(spark, sf_dir, "customer"), "c_acctbal", "cust", cut_points=[float("-inf"), 7000, 0, 2500, 2500, float("inf")])[0].select("c_custkey", "bin")
+
+
 def _psi_sql(part: str) -> str:
     return f"""SELECT 'o_totalprice' AS col_name, CAST(len(list_filter(cuts, lambda c: c < o_totalprice)) AS VARCHAR) AS bin FROM {part}, cuts
   UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM {part}"""
@@ -418,6 +455,11 @@ def hist_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.histogram_by_label(_labelled(spark, sf_dir), "lang", "quality", category=True))
 
 
+@query("accuracy", f"SELECT round(avg(CASE WHEN (n_chars > 500) = (quality = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM ({_LABELLED}) t")
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.accuracy(_labelled(spark, sf_dir).withColumn("guess", (F.col("n_chars") > 500).cast("int")), "guess", "quality"))
+
+
 # -- lineage --------------------------------------------------------------------------------------------------------
 
 SCRIPT = """
@@ -442,6 +484,24 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.closure(lineage.edges(spark, SCRIPT))
 
 
+@query("lineage_cypher")
+def lineage_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(lineage.cypher(lineage.edges(spark, SCRIPT), "demo"),)], "cypher string")
+
+
+@query("lineage_by_tag", f"SELECT src, dst, 'keep' AS project_tag FROM ({_EDGES}) t(src, dst)")
+def lineage_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = lineage.edges(spark, SCRIPT)
+    return lineage.without_tag(lineage.tagged(edges, "keep").unionByName(lineage.tagged(edges, "drop")), "drop")
+
+
+@query("table_ddl")
+def table_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of a flow table and of a snapshot table."""
+    snapshot = replace(EVENTS, name="snapshot", snapshot_col=(("asof", "date", "day of the snapshot"),), partitioned_by=(("dt", "string", "day"),), clustered_by=("user_id",), bucket_num=8)
+    return spark.createDataFrame([(t.name, sqlgen.table_ddl(t)) for t in (EVENTS, snapshot)], "name string, ddl string")
+
+
 # -- text -----------------------------------------------------------------------------------------------------------
 
 _VOCAB = "v AS (SELECT w AS word, row_number() OVER (ORDER BY w) + 1 AS idx FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) t)"
@@ -464,6 +524,17 @@ def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("id", F.size("input_ids").alias("n"), weighted.alias("checksum"))
 
 
+@query("vocabulary", f"WITH {_VOCAB} SELECT word, CAST(idx AS BIGINT) AS idx FROM v")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir)
+
+
+@query("train_split")
+def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = text.split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+
+
 @query("pad", "SELECT conv_id * 1000 + turn AS id, CASE WHEN length(text) % 9 >= 5 THEN '12345' ELSE lpad(substr('12345678', 1, CAST(length(text) % 9 AS INTEGER)), 5, '0') END AS padded FROM conversations")
 def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.length("text") % 9).cast("int")
@@ -520,6 +591,21 @@ def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", X.log_sum_exp(x).alias("lse"), X.argmax(x).alias("top")))
 
 
+@query("recurrent")
+def recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last step of a bidirectional GRU with seeded weights over each label's vectors, then dense layers."""
+    import numpy as np
+
+    ship(spark)
+    rng = np.random.default_rng(3)
+    sides = [{"W": rng.normal(size=(24, 16)) / 4, "U": rng.normal(size=(24, 8)) / 4, "b": np.zeros(24), "c": np.zeros(24)} for _ in range(2)]
+    net, head = neural.Recurrent("gru", 8, [sides]), [(rng.normal(size=(5, 16)), np.zeros(5))]
+    step = F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", step.alias("e")))), lambda p: p["e"]).alias("steps"))
+    encoded = rows.select("label", neural.encode_udf(lambda x: neural.dense(net.forward(x)[-1:], head))("steps").alias("out"))
+    return encoded.select("label", X.argmax(F.get("out", F.lit(0))).alias("best"))
+
+
 # -- models ---------------------------------------------------------------------------------------------------------
 
 
@@ -541,6 +627,13 @@ def rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", trees.RuleList(2, 3).fit(df, names, "quality").score().alias("precision"))
 
 
+@query("tree_drawing")
+def tree_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _sample(spark, sf_dir)
+    forest = models.ModelSet("classifier").fit("RandomForestClassifier", df, names, "quality", n_estimators=1, max_depth=2)
+    return spark.createDataFrame([(trees.draw(jvm.tree_nodes(forest.stages[-1].trees[0]), names),)], "tree string")
+
+
 @query("model_scores")
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, names = _sample(spark, sf_dir)

@@ -17,6 +17,11 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return df.withColumn("__rn", rank).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row for each distinct key, the first in order; keys that are null are a key like others."""
+    return top_per_key(df, keys, order)
+
+
 def first_number(text: Column) -> Column:
     """The first number of a comma list, or the text as a number; null where it isn't one."""
     return F.when(text.like("%,%"), F.get(F.split(text, ","), F.lit(0))).otherwise(text).try_cast("int")
