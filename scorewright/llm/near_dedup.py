@@ -128,9 +128,14 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 def possible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Which pairs may reach the threshold: by their sizes (certain) and by the estimate (DEVIATIONS standard deviations)."""
     threshold = PERCENT / 100
-    fits = 100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)
     slack = DEVIATIONS * np.sqrt(threshold * (1 - threshold) / a.shape[1])
-    return fits & (estimate(a, b, size_a, size_b) >= threshold - slack)
+    out = 100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)
+    # registers of equal value make nearly all of the likelihood: far too few of them settle a pair without it
+    out[out] = (a[out] == b[out]).sum(axis=1) >= a.shape[1] * (threshold - 1.5 * slack)
+    some = np.flatnonzero(out)
+    if len(some):
+        out[some] = estimate(a[some], b[some], size_a[some], size_b[some]) >= threshold - slack
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -203,7 +208,7 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not other.any():
                 continue
             mine = np.broadcast_to(np.frombuffer(r["sketch"], "<u2"), (int(other.sum()), M))
-            ok = possible(mine, matrix[other], np.full(len(mine), r["n"]), sizes[other])
+            ok = possible(mine, matrix[other], np.full(len(mine), r["n"], np.int64), sizes[other])
             for k in np.flatnonzero(other)[ok].tolist():
                 pairs.add((min(r["class"], names[k]), max(r["class"], names[k])))
         if pairs:
