@@ -187,33 +187,84 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+class _Tile:
+    """Members of one tile of a bucket, met by askers one after the other.
+
+    A pair is compared in the first band that both share only, and once; a pair that sketches and sizes leave possible is decided
+    on full sets at once, and a link joins the two components here, so later pairs between them are skipped. So a tile
+    returns fewer links than it has askers and components, however many pairs are possible."""
+
+    def __init__(self, members: list[dict]) -> None:
+        self.sketches = np.frombuffer(b"".join(m["sketch"] for m in members), "<u2").reshape(-1, M)
+        self.sizes = np.array([m["n"] for m in members], np.int64)
+        self.names = [m["class"] for m in members]
+        self.texts = [m["text"] for m in members]
+        self.sets: dict[int, np.ndarray] = {}
+        self.numbers, self.joined = {}, []
+        self.group = np.array([self._number(m["component"]) for m in members])
+        self.main = np.array([not m["apart"] for m in members])
+        # only the later of two askers' names asks; members of the main component never ask
+        self.order = np.array([hash_order(n) for n in self.names])
+
+    def _number(self, component: bytes) -> int:
+        if component not in self.numbers:
+            self.numbers[component] = len(self.joined)
+            self.joined.append(len(self.joined))
+        return self.numbers[component]
+
+    def _root(self, k: int) -> int:
+        while self.joined[k] != k:
+            self.joined[k] = self.joined[self.joined[k]]
+            k = self.joined[k]
+        return k
+
+    def meet(self, asker: dict) -> Iterator[bytes]:
+        """Names of members that the asker is linked with, one for each component at most."""
+        own = self._number(asker["component"])
+        sketch = np.frombuffer(asker["sketch"], "<u2")
+        meets = self.main | (self.order < hash_order(asker["class"]))
+        here = np.flatnonzero(meets & (self.group != own))
+        here = here[possible(np.broadcast_to(sketch, (len(here), M)), self.sketches[here], np.full(len(here), asker["n"], np.int64), self.sizes[here])]
+        if not len(here):
+            return
+        shared = (self.sketches[here] == sketch).reshape(len(here), BANDS, ROWS).all(axis=2)
+        mine = None
+        for k in here[shared.argmax(axis=1) == asker["band"]].tolist():
+            a, b = self._root(own), self._root(int(self.group[k]))
+            if a == b:
+                continue
+            mine = shingles(asker["text"]) if mine is None else mine
+            if k not in self.sets:
+                self.sets[k] = shingles(self.texts[k])
+            if linked(mine, self.sets[k]):
+                self.joined[a] = b
+                yield self.names[k]
+
+
+def hash_order(name: bytes) -> int:
+    """A class name as a number, for an order between names."""
+    return int.from_bytes(name[:8], "big") >> 1
+
+
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, tile, asks): a tile's members, then the askers that meet them. Pairs that may be links."""
-    key, members = None, []
-    for rows in row_slices(batches, 512):
-        pairs = set()
+    """Rows sorted by (bucket, band, tile, asks): a tile's members, then the askers that meet them. Links."""
+    key, members, tile = None, [], None
+    for rows in row_slices(batches):
+        a, b = [], []
         for r in rows.to_pylist():
-            now = (r["bucket"], r["tile"])
+            now = (r["bucket"], r["band"], r["tile"])
             if now != key:
-                key, members, matrix = now, [], None
+                key, members, tile = now, [], None
             if not r["asks"]:
                 members.append(r)
                 continue
-            if matrix is None:
-                matrix = np.frombuffer(b"".join(x["sketch"] for x in members), "<u2").reshape(-1, M)
-                sizes = np.array([x["n"] for x in members])
-                names = [x["class"] for x in members]
-                groups = [x["component"] for x in members]
-            other = np.array([g != r["component"] for g in groups])
-            if not other.any():
+            if not members:
                 continue
-            mine = np.broadcast_to(np.frombuffer(r["sketch"], "<u2"), (int(other.sum()), M))
-            ok = possible(mine, matrix[other], np.full(len(mine), r["n"], np.int64), sizes[other])
-            for k in np.flatnonzero(other)[ok].tolist():
-                pairs.add((min(r["class"], names[k]), max(r["class"], names[k])))
-        if pairs:
-            a, b = zip(*sorted(pairs), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            tile = tile or _Tile(members)
+            for name in tile.meet(r):
+                a.append(min(r["class"], name))
+                b.append(max(r["class"], name))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -263,36 +314,37 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
     sketches = classes.select("class", "n", "sketch")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "class")
+    buckets = classes.select(F.posexplode("bands").alias("band", "bucket"), "class")
 
-    leaders = buckets.groupBy("bucket").agg(F.min("class").alias("leader"), F.count("*").alias("members")).filter("members > 1").select("bucket", "leader")
+    leaders = buckets.groupBy("bucket", "band").agg(F.min("class").alias("leader"), F.count("*").alias("members")).filter("members > 1").select("bucket", "band", "leader")
     leaders = scratch.keep(leaders, "leaders")
-    members = scratch.keep(buckets.join(leaders, "bucket"), "members")
+    members = scratch.keep(buckets.join(leaders, ["bucket", "band"]), "members")
     first = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     first = first.join(sketches.select(F.col("class").alias("b"), F.col("n").alias("right_n"), F.col("sketch").alias("right_sketch")), "b")
     first = first.join(sketches.select(F.col("class").alias("a"), F.col("n").alias("left_n"), F.col("sketch").alias("left_sketch")), "a")
     first = scratch.keep(first.mapInArrow(_estimated, "a binary, b binary"), "first")
-    texts = scratch.keep(_texts(rows, classes, first), "texts")
+    texts = scratch.keep(_texts(rows, classes, first.select(F.col("a").alias("class")).union(first.select("b")).distinct()), "texts")
     links = verify(first, texts, scratch, "first")
     found = components(links, scratch, "first")
 
-    placed = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
+    placed = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("bucket", "band", "class", F.coalesce("component", "class").alias("component"))
     placed = scratch.keep(placed, "placed")
-    sizes = scratch.keep(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")), "sizes")
+    sizes = scratch.keep(placed.groupBy("bucket", "band", "component").agg(F.count("*").alias("n")), "sizes")
     # a bucket of two has met in full; in larger ones all but the largest component's members ask all others
-    open_buckets = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("main")).filter("groups > 1 AND total > 2")
-    open_buckets = scratch.keep(open_buckets.select("bucket", "total", F.col("main.component").alias("main")), "open")
+    open_buckets = sizes.groupBy("bucket", "band").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("main")).filter("groups > 1 AND total > 2")
+    open_buckets = scratch.keep(open_buckets.select("bucket", "band", "total", F.col("main.component").alias("main")), "open")
     if not open_buckets.isEmpty():
         tiles = F.ceil(F.col("total") / TILE).cast("int")
-        there = placed.join(open_buckets, "bucket").join(sketches, "class")
-        shown = there.select("bucket", F.pmod(F.xxhash64("class"), tiles).cast("int").alias("tile"), F.lit(False).alias("asks"), "class", "component", "n", "sketch")
-        asking = there.filter("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(True).alias("asks"), "class", "component", "n", "sketch")
-        dealt = shown.unionByName(asking).repartition(shuffle_parts(spark), "bucket", "tile").sortWithinPartitions("bucket", "tile", "asks")
-        second = scratch.keep(dealt.mapInArrow(_crossed, "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti"), "second")
+        there = scratch.keep(placed.join(open_buckets, ["bucket", "band"]), "there")
+        inside = scratch.keep(_texts(rows, classes, there.select("class").distinct()), "texts-2").join(sketches, "class")
+        there = there.withColumn("apart", F.col("component") != F.col("main"))
+        shown = there.withColumn("tile", F.pmod(F.xxhash64("class"), tiles).cast("int")).withColumn("asks", F.lit(False))
+        asking = there.filter("apart").withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("asks", F.lit(True))
+        met = shown.unionByName(asking).select("bucket", "band", "tile", "asks", "class", "component", "apart").join(inside, "class")
+        dealt = met.repartition(shuffle_parts(spark), "bucket", "band", "tile").sortWithinPartitions("bucket", "band", "tile", "asks")
+        second = scratch.keep(dealt.mapInArrow(_crossed, "a binary, b binary"), "second")
         if not second.isEmpty():
-            texts = scratch.keep(_texts(rows, classes, second), "texts-2")
-            links = links.unionByName(verify(second, texts, scratch, "second"))
-            found = components(links, scratch, "second")
+            found = components(links.unionByName(second), scratch, "second")
 
     named = classes.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -304,9 +356,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """class, text of every class in pairs, found by the class's least id (a repeated id may bring other texts; they are told apart by their sets)."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, text of every wanted class, found by the class's least id (a repeated id may bring other texts; they are told apart by their sets)."""
     wanted = wanted.join(classes.select("class", "doc_id"), "class").select(F.col("class"), F.col("doc_id").alias("wanted_id"))
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("class", "text")
 
