@@ -565,10 +565,8 @@ WITH k AS (SELECT label, vec_id, embedding AS v FROM embeddings WHERE vec_id < 2
 s AS (SELECT q.vec_id, q.label, k.v, exp(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(k.v AS DOUBLE[]))) AS w FROM k q JOIN k ON q.label = k.label)
 SELECT vec_id, round(sum(w * v[1]) / sum(w), 6) AS first, round(sum(w * v[64]) / sum(w), 6) AS last FROM s GROUP BY vec_id""")
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 200")
-    keys = rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda p: p["embedding"]).alias("keys"))
     ship(spark)
-    out = rows.join(keys, "label").select("vec_id", neural.attention_udf()("embedding", "keys", "keys").alias("a"))
+    out = neural.self_attention(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").withColumnRenamed("id", "vec_id")
     return rounded(out.select("vec_id", F.get("a", F.lit(0)).alias("first"), F.get("a", F.lit(63)).alias("last")))
 
 

@@ -6,10 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a block of queries or keys, on average.
+BLOCK_ROWS = 4096
+
 
 def attend(queries: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Dot-product attention without scaling: each query's weights are the softmax over keys."""
@@ -18,6 +22,76 @@ def attend(queries: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndar
     return (weight / weight.sum(axis=-1, keepdims=True)) @ values
 
 
+def attend_part(queries: np.ndarray, keys: np.ndarray, values: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """attend() over some of the keys, to be merged: for each query the top score, the sum of weights below it and the weighted sum of values."""
+    top, weight, total = np.empty(len(queries)), np.empty(len(queries)), np.empty((len(queries), values.shape[1]))
+    for a in range(0, len(queries), step):
+        part = slice(a, a + step)
+        score = queries[part] @ keys.T
+        top[part] = score.max(axis=1)
+        w = np.exp(score - top[part, None])
+        weight[part], total[part] = w.sum(axis=1), w @ values
+    return top, weight, total
+
+
+def merge_parts(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    top = np.maximum(a[0], b[0])
+    x, y = np.exp(a[0] - top), np.exp(b[0] - top)
+    return top, a[1] * x + b[1] * y, a[2] * x[:, None] + b[2] * y[:, None]
+
+
+def self_attention(rows: DataFrame, group_col: str, id_col: str, vector_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id and a (array<double>): the attention of each row over all rows of its group, which are keys and values.
+
+    Rows of a group are dealt to blocks of about block_rows; each pair of a query block and a key block is a unit of work of its own, and the
+    parts are merged over the key blocks as they come. Null and empty vectors are no keys and have a null result; rows without a group have none.
+    Repeated ids: a row each. Work is the square of a group's size."""
+    known = rows.filter(F.col(group_col).isNotNull()).select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    there = F.coalesce(F.size("v"), F.lit(0)) > 0
+    vectors = known.filter(there).withColumn("row", F.monotonically_increasing_id())
+    sizes = vectors.groupBy("g").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    placed = vectors.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    packed = placed.groupBy("g", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct("row", "id", "v"))).alias("p"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    queries = packed.select("g", F.col("block").alias("q"), others.alias("k"), F.col("p.id").alias("ids"), F.col("p.v").alias("queries"))
+    keys = packed.select("g", others.alias("q"), F.col("block").alias("k"), F.col("p.v").alias("keys"))
+    pairs = queries.join(keys, ["g", "q", "k"]).select("g", "q", "ids", "queries", "keys")
+
+    def attend_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                k = _block(row.column("keys"))
+                found = attend_part(_block(row.column("queries")), k, k)
+                parts = [pa.array([x.ravel()], pa.list_(pa.float64())) for x in found]
+                yield pa.RecordBatch.from_arrays([*row.columns[:3], *parts], names=["g", "q", "ids", "top", "weight", "total"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = state = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                top, weight, total = (row.column(c).flatten().to_numpy() for c in ("top", "weight", "total"))
+                part = top, weight, total.reshape(len(top), -1)
+                ids, state = row.column("ids").flatten(), part if state is None else merge_parts(state, part)
+        out = state[2] / state[1][:, None]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(list(out), pa.list_(pa.float64()))], names=["id", "a"])
+
+    types = dict(known.dtypes)
+    parts = pairs.mapInArrow(attend_pairs, f"g {types['g']}, q int, ids array<{types['id']}>, top array<double>, weight array<double>, total array<double>")
+    found = parts.groupBy("g", "q").applyInArrow(merge, f"id {types['id']}, a array<double>")
+    return found.unionByName(known.filter(~there).select("id", F.lit(None).cast("array<double>").alias("a")))
+
+
+def _block(column: pa.Array) -> np.ndarray:
+    """The matrix in the one row of a column of arrays of arrays."""
+    rows = column.flatten()
+    sizes = set(rows.value_lengths().to_pylist())
+    if len(sizes) != 1:
+        raise ValueError(f"vectors of different lengths: {sorted(sizes)}")
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
 def attention_udf() -> Callable[[Column, Column, Column], Column]:
     """A column function of a query (array), keys and values (arrays of arrays) to an array<double>; null where one is null or empty."""
 

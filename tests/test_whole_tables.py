@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from scorewright import catalog
+from scorewright.operators import neural
 
 
 def test_column_filters_keep_every_row(spark, sf_dir):
@@ -12,3 +15,31 @@ def test_column_filters_keep_every_row(spark, sf_dir):
     assert sorted(found.columns) == ["l_orderkey", "quantity"]
     rows = pq.read_table(f"{sf_dir}/lineitem.parquet", columns=["l_orderkey", "l_quantity"]).to_pylist()
     assert Counter(map(tuple, found.select("l_orderkey", "quantity").collect())) == Counter((r["l_orderkey"], None if r["l_quantity"] > 40 else r["l_quantity"]) for r in rows)
+
+
+def _attended(rows):
+    """id -> attention of each (group, id, vector) over all vectors of its group."""
+    out = {}
+    for group in {g for g, _, _ in rows}:
+        ids, v = [i for g, i, _ in rows if g == group], np.array([x for g, _, x in rows if g == group], float)
+        w = np.exp(v @ v.T - (v @ v.T).max(axis=1, keepdims=True))
+        out |= dict(zip(ids, w @ v / w.sum(axis=1, keepdims=True), strict=True))
+    return out
+
+
+def test_attention_of_every_vector(spark, sf_dir):
+    rows = pq.read_table(f"{sf_dir}/embeddings.parquet").to_pylist()
+    right = _attended([(r["label"], r["vec_id"], r["embedding"]) for r in rows])
+    found = {r["vec_id"]: (r["first"], r["last"]) for r in catalog.QUERIES["attention"](spark, sf_dir).collect()}
+    assert found.keys() == right.keys() and len(found) == len(rows) > 200
+    assert all(found[i] == (pytest.approx(a[0], abs=2e-6), pytest.approx(a[63], abs=2e-6)) for i, a in right.items())
+
+
+def test_attention_merges_key_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [("big" if k < 90 else f"g{k % 4}", k, (30 * rng.normal(size=3)).tolist()) for k in range(120)]  # scores far over what exp() holds
+    odd = [("big", 500, None), ("big", 501, []), (None, 502, [1.0, 2.0, 3.0])]
+    found = neural.self_attention(spark.createDataFrame(rows + odd, "g string, k long, v array<double>"), "g", "k", "v", block_rows=16).collect()
+    got, right = {r["id"]: r["a"] for r in found}, _attended(rows)
+    assert len(found) == len(got) == 122 and got.pop(500) is None and got.pop(501) is None
+    assert got.keys() == right.keys() and all(got[i] == pytest.approx(a) for i, a in right.items())
