@@ -161,9 +161,10 @@ SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS orders_n, coalesce(b.n, 0) A
 FROM (SELECT o_custkey % 40 AS k, count(*) AS n FROM orders WHERE o_custkey % 40 < 30 GROUP BY 1) a
 FULL OUTER JOIN (SELECT c_custkey % 50 AS k, count(*) AS n FROM customer GROUP BY 1) b ON a.k = b.k""")
 def full_outer_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("k")).agg(F.count("*").alias("orders_n")).filter("k < 30")
-    b = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 50).alias("k")).agg(F.count("*").alias("customers_n"))
-    return a.join(b, "k", "full_outer").na.fill(0)
+    """Orders and rows of each customer key, with 0 where one of the tables doesn't have it."""
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders_n"))
+    b = table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("k")).agg(F.count("*").alias("customers_n"))
+    return a.join(b, "k", "full_outer").na.fill(0, ["orders_n", "customers_n"])
 
 
 @query("map_values", "SELECT c_custkey, CASE n_name WHEN NULL THEN 'none' ELSE coalesce(n_name, 'none') END AS c_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")

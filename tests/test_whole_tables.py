@@ -43,3 +43,14 @@ def test_attention_merges_key_blocks(spark):
     got, right = {r["id"]: r["a"] for r in found}, _attended(rows)
     assert len(found) == len(got) == 122 and got.pop(500) is None and got.pop(501) is None
     assert got.keys() == right.keys() and all(got[i] == pytest.approx(a) for i, a in right.items())
+
+
+def test_full_outer_counts_every_key(spark, sf_dir, tmp_path):
+    def found(folder):
+        return Counter(map(tuple, catalog.QUERIES["full_outer_fill"](spark, folder).select("k", "orders_n", "customers_n").collect()))
+
+    orders, customers = (Counter(pq.read_table(f"{sf_dir}/{t}.parquet", columns=[c])[c].to_pylist()) for t, c in (("orders", "o_custkey"), ("customer", "c_custkey")))
+    assert found(sf_dir) == Counter((k, orders[k], customers[k]) for k in orders.keys() | customers.keys())
+    spark.createDataFrame([(1,), (1,), (35,), (None,)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1,), (70,), (None,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert found(str(tmp_path)) == Counter([(1, 2, 1), (35, 1, 0), (70, 0, 1), (None, 1, 0), (None, 0, 1)])
