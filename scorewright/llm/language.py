@@ -126,10 +126,11 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
 
 
 def learn(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """One count by language, then one scan that keeps about per_language rows of each (at most three times as many are collected)."""
+    """One count of the distinct texts by language, then one scan that keeps about per_language of each (at most three times as many are collected)."""
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     rows = docs.filter(teaches & lang.isNotNull() & text.isNotNull() & F.length(text).between(1, sample_chars)).select(text.alias("text"), lang.alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    # copies are taken or left together, so they count once; only hashes are shuffled
+    counts = rows.select("lang", F.xxhash64("text").alias("hash")).groupBy("lang").agg(F.countDistinct("hash").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not counts:

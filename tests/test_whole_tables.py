@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from scorewright import catalog
 from scorewright.operators import neural
@@ -54,3 +55,14 @@ def test_full_outer_counts_every_key(spark, sf_dir, tmp_path):
     spark.createDataFrame([(1,), (1,), (35,), (None,)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1,), (70,), (None,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     assert found(str(tmp_path)) == Counter([(1, 2, 1), (35, 1, 0), (70, 0, 1), (None, 1, 0), (None, 0, 1)])
+
+
+def test_language_with_mostly_copies_is_learnt(spark, monkeypatch):
+    language = pytest.importorskip("scorewright.llm.language")
+    taught, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda texts, languages: taught.append(Counter(languages)) or fit(texts, languages))
+    english = [(f"the cat number {k} sat on the mat and the hat", "en") for k in range(3000)]
+    french = [(f"le chat {k} est sur la table avec une chaise", "fr") for k in range(300)] + [("une phrase qui est partout la même", "fr")] * 9000
+    model = language.learn(spark.createDataFrame(english + french, "text string, lang string"), F.lit(True), per_language=100)
+    assert 60 < taught[0]["en"] < 140 and 60 < taught[0]["fr"] < 140
+    assert model.predict("le chat est avec la chaise")[0] == "fr"
