@@ -573,13 +573,15 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("viterbi")
 def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best tag paths over the vectors of each label as emissions of four tags."""
+    """Best tag paths over the vectors of each label; seeded weights make a whole vector the emissions of four tags."""
     import numpy as np
 
     ship(spark)
     transitions = np.array([[0.5, -0.5, 0, 0.1], [0, 0.2, -0.1, 0], [0.3, 0, 0.1, -0.2], [0, 0.1, 0, 0.4]])
-    step = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", step.alias("e")))), lambda p: p["e"]).alias("emissions"))
+    weights = np.random.default_rng(3).normal(size=(4, 64)) / 8
+    step = neural.dense_udf([(weights, np.zeros(4))])("embedding")
+    emitted = table(spark, sf_dir, "embeddings").select("label", "vec_id", step.alias("e"))
+    rows = emitted.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "e"))), lambda p: p["e"]).alias("emissions"))
     return rows.select("label", neural.viterbi_udf(transitions)("emissions").alias("best"), neural.log_partition_udf(transitions)("emissions").alias("log_z")).select("label", "best.score", "best.path", "log_z")
 
 
@@ -596,9 +598,9 @@ def recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark)
     rng = np.random.default_rng(3)
-    sides = [{"W": rng.normal(size=(24, 16)) / 4, "U": rng.normal(size=(24, 8)) / 4, "b": np.zeros(24), "c": np.zeros(24)} for _ in range(2)]
+    sides = [{"W": rng.normal(size=(24, 64)) / 8, "U": rng.normal(size=(24, 8)) / 4, "b": np.zeros(24), "c": np.zeros(24)} for _ in range(2)]
     net, head = neural.Recurrent("gru", 8, [sides]), [(rng.normal(size=(5, 16)), np.zeros(5))]
-    step = F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double"))
+    step = F.col("embedding").cast("array<double>")
     rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", step.alias("e")))), lambda p: p["e"]).alias("steps"))
     encoded = rows.select("label", neural.encode_udf(lambda x: neural.dense(net.forward(x)[-1:], head))("steps").alias("out"))
     return encoded.select("label", X.argmax(F.get("out", F.lit(0))).alias("best"))

@@ -227,6 +227,16 @@ def dense(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndar
     return x
 
 
+def dense_udf(layers: list[tuple[np.ndarray, np.ndarray]]) -> Callable[[Column], Column]:
+    """A column function of dense(): an array of numbers to an array<double>; null for null."""
+
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        return pd.Series([dense(np.asarray(v, float), layers).tolist() if v is not None else None for v in vectors])
+
+    return run
+
+
 def encode_udf(forward: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
     """Any forward pass over [steps, features] (a recurrent network, a pretrained encoder) as a column function to array<array<double>>."""
 

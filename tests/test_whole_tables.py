@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,14 @@ def test_language_with_mostly_copies_is_learnt(spark, monkeypatch):
     model = language.learn(spark.createDataFrame(english + french, "text string, lang string"), F.lit(True), per_language=100)
     assert 60 < taught[0]["en"] < 140 and 60 < taught[0]["fr"] < 140
     assert model.predict("le chat est avec la chaise")[0] == "fr"
+
+
+@pytest.mark.parametrize("name", ["viterbi", "recurrent"])
+def test_every_component_counts(spark, sf_dir, tmp_path, name):
+    whole = pq.read_table(f"{sf_dir}/embeddings.parquet")
+    v = np.array(whole["embedding"].to_pylist())
+    v[:, 16:] = 3 * np.random.default_rng(9).normal(size=v[:, 16:].shape)  # the first 16 components stay
+    other = whole.set_column(whole.column_names.index("embedding"), "embedding", pa.array(v.tolist(), whole["embedding"].type))
+    pq.write_table(other, f"{tmp_path}/embeddings.parquet")
+    found = [sorted(map(tuple, catalog.QUERIES[name](spark, folder).collect())) for folder in (sf_dir, str(tmp_path))]
+    assert len(found[0]) == len(found[1]) and found[0] != found[1]
