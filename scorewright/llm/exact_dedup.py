@@ -38,11 +38,17 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def create(self, id_type: str) -> None:
+        """The empty table, so that the first batch takes the same way as all later ones."""
+        columns, buckets = f"sha BINARY, keep_id {id_type}", f"CLUSTERED BY (sha) SORTED BY (sha) INTO {self.buckets} BUCKETS"
+        self.spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet {buckets} LOCATION '{shared_root(self.spark)}/{self.table}'")
+
     def append(self, groups: DataFrame) -> None:
         """Add groups (sha, keep_id) whose digests the index does not hold yet. Rows are dealt as the buckets are, so each append adds one file to a bucket."""
         new = groups.select("sha", "keep_id")
-        if self.exists():
-            new = new.join(self.rows().hint("merge"), "sha", "left_anti")
+        if not self.exists():
+            self.create(dict(new.dtypes)["keep_id"])
+        new = new.join(self.rows().hint("merge"), "sha", "left_anti")
         (
             new.repartition(self.buckets, "sha").write.mode("append").format("parquet").option("path", f"{shared_root(self.spark)}/{self.table}")
             .bucketBy(self.buckets, "sha").sortBy("sha").saveAsTable(self.table)

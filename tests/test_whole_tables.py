@@ -78,3 +78,12 @@ def test_every_component_counts(spark, sf_dir, tmp_path, name):
     pq.write_table(other, f"{tmp_path}/embeddings.parquet")
     found = [sorted(map(tuple, catalog.QUERIES[name](spark, folder).collect())) for folder in (sf_dir, str(tmp_path))]
     assert len(found[0]) == len(found[1]) and found[0] != found[1]
+
+
+def test_first_batch_is_anti_joined(spark, sf_dir, monkeypatch):
+    exact_dedup = pytest.importorskip("scorewright.llm.exact_dedup")
+    frame, kinds = type(spark.range(1)), []
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, on=None, how=None: kinds.append(how) or join(self, other, on, how))
+    assert exact_dedup.op4(spark, sf_dir).count() == pq.read_metadata(f"{sf_dir}/documents.parquet").num_rows
+    assert "left_anti" in kinds
