@@ -3,8 +3,9 @@
 Model: unigrams p1(w) = (c(w) + 1) / (N + V + 1); bigrams p(w | h) = (c(h w) + MU * p1(w)) / (c(h) + MU). Each
 observed word h is a state with an arc of weight log10 p(w | h) for every observed pair h w, and a failure arc of
 weight log10(MU / (c(h) + MU)) to the root, whose arcs are the unigrams. Probabilities over V words and one unknown word
-sum to 1. A traversal reads a text left to right once: it takes the arc of its state or fails to the root, adds the
-weight, and the word read is its next state.
+sum to 1. A path through a text takes the arc of its state or fails to the root, adds the weight, and the word read is its
+next state. With bigrams that state is the word before, so all weights are evaluated at once from counts (closed form): no state
+table, arcs or failure arcs are built, and nothing is traversed.
 
 The model grows with the corpus, so no task ever holds all of it. Documents are cut into blocks of some megabytes; a
 block asks each shard of the n-gram space for the counts of its own distinct n-grams and contributes its training counts in the
