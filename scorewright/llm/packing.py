@@ -4,7 +4,7 @@ Whole sequences are cut off long documents; what remains of each document is an
 the histogram of item lengths (fewer than `capacity` numbers, whatever the data) reaches the driver. There a linear
 program over patterns of lengths is solved by column generation: a dense revised simplex gives prices, a knapsack
 dynamic program finds the pattern of best price, until no pattern can improve the bound by more than `gap`. Patterns
-are used as often as their rounded-down values say; the few items left over are packed best-fit; items of patterns or
+are used as often as their rounded-down values say; items left over are packed best-fit, by length and number; items of
 sequences that would stay loose are laid end to end and cut. Items are ranked within their length in parallel, and a small
 layout table turns length and rank into sequence and offset.
 """
@@ -26,8 +26,6 @@ from scorewright.llm.tokens import encoder, read_definition
 
 #: A rounded sequence filled to this share is kept as it is.
 TIGHT = 0.995
-#: Leftover items that are packed best-fit; more than that are laid end to end like other loose items.
-BEST_FIT_ITEMS = 20_000
 #: Pieces that are cut again are joined by broadcasting their places up to this many of them, and by a shuffle beyond.
 BROADCAST_CUTS = 200_000
 LAYOUT_SCHEMA = "length int, rank_from long, rank_to long, each int, sequence_from long, offset_from int, stream long"
@@ -123,20 +121,30 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     return list(zip(patterns, amounts.tolist(), strict=True))
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Lengths, longest first, each into the fullest sequence that has room for it."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    packed: list[list[int]] = []
-    for length in sorted(lengths, reverse=True):
-        room = next((r for r in range(length, capacity + 1) if by_room[r]), None)
-        if room is None:
-            packed.append([])
-            by_room[capacity].append(len(packed) - 1)
-            room = capacity
-        k = by_room[room].pop()
-        packed[k].append(length)
-        by_room[room - length].append(k)
-    return packed
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
+    """Lengths, longest first, each into the fullest sequence that has room for it: contents and how many sequences have them.
+
+    Sequences with equal contents are handled together, and each length adds two kinds at most, so the cost depends on the capacity only."""
+    by_room: list[list[tuple[Counter, int]]] = [[] for _ in range(capacity + 1)]
+
+    def put(contents: Counter, length: int, copies: int, sequences: int, room: int) -> None:
+        if sequences:
+            by_room[room - copies * length].append((contents + Counter({length: copies}), sequences))
+
+    for length, left in sorted(histogram.items(), reverse=True):
+        while left > 0:
+            room = next((r for r in range(length, capacity) if by_room[r]), capacity)
+            contents, sequences = by_room[room].pop() if room < capacity else (Counter(), -(-left // (capacity // length)))
+            copies = room // length  # a sequence that has taken one stays the fullest until it has no room for another
+            full = min(sequences, left // copies)
+            put(contents, length, copies, full, room)
+            left -= full * copies
+            if full < sequences:
+                put(contents, length, left, int(left > 0), room)
+                if rest := sequences - full - int(left > 0):
+                    by_room[room].append((contents, rest))
+                left = 0
+    return [found for kinds in by_room for found in kinds]
 
 
 def layout(histogram: dict[int, int], capacity: int, gap: float = 0.002) -> list[tuple]:
@@ -169,10 +177,9 @@ def layout(histogram: dict[int, int], capacity: int, gap: float = 0.002) -> list
             uses = min([int(amount + 1e-6), *(left[x] // c for x, c in named.items())])
             if uses > 0 and sum(x * c for x, c in named.items()) >= TIGHT * capacity:
                 lay(named, uses)
-        if sum(left.values()) <= BEST_FIT_ITEMS:
-            for packed in best_fit([x for x, n in left.items() for _ in range(n)], capacity):
-                if sum(packed) >= TIGHT * capacity:
-                    lay(Counter(packed), 1)
+        for packed, uses in best_fit(left, capacity):
+            if sum(x * c for x, c in packed.items()) >= TIGHT * capacity:
+                lay(packed, uses)
         stream = 0
         for length, n in left.items():
             if n:
