@@ -2,14 +2,14 @@
 
 Distinct pieces of about the same byte length become the rows of a matrix of ids. In each round every row looks all its
 neighbouring pairs up in a hash table, merges its leftmost pair of minimum rank and closes the gap; rows without a
-mergeable pair leave. Pieces of over LONG bytes take a heap instead: the matrix costs their length squared.
+mergeable pair leave. A wide row lies in segments that keep their least rank and close their gaps on their own, so a round costs
+about the root of the row's length, and one way serves pieces of any length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import row_slices
+from scorewright.llm.common import PieceCache, only, row_slices
 from scorewright.shipping import ship
 
-NONE = np.int64(1 << 40)
-LONG = 512
+NONE = np.int32((1 << 31) - 1)
 #: Cells of one matrix; more rows are done in turns.
-CELLS = 1 << 18
+CELLS = 1 << 20
+#: Cells of a segment at least; longer rows have segments of about the root of their length.
+SEGMENT = 64
+#: Whose memos the encoders' are, see common.only.
+OWNER = "byte_bpe"
 
 
 class PairTable:
@@ -32,7 +35,7 @@ class PairTable:
     def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> None:
         self.bits = max(4, int(len(merged) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.full(1 << self.bits, NONE, np.int64)
+        self.values = np.full(1 << self.bits, NONE, np.int32)
         keys = left.astype(np.int64) << 32 | right
         slot, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
         while len(todo):
@@ -50,7 +53,7 @@ class PairTable:
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged ids, NONE where the pair has none (a negative id is padding)."""
         keys = (left.astype(np.int64) << 32 | right.astype(np.int64)).ravel()
-        out = np.full(len(keys), NONE, np.int64)
+        out = np.full(len(keys), NONE, np.int32)
         todo = np.flatnonzero((left.ravel() >= 0) & (right.ravel() >= 0))
         slot = self._slot(keys[todo])
         while len(todo):
@@ -69,13 +72,12 @@ class ByteBpe:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.word = {i: w for w, i in ranks.items()}
         pairs = [(ranks[w[:k]], ranks[w[k:]], i) for w, i in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
         self.table = PairTable(left, right, merged)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = PieceCache(lambda stretch: self.encode([stretch])[0], OWNER)
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece (not empty)."""
@@ -85,8 +87,6 @@ class ByteBpe:
             whole = self.ranks.get(piece)
             if whole is not None:
                 out[k] = np.array([whole])
-            elif len(piece) > LONG:
-                out[k] = self._merge_long(piece)
             else:
                 buckets.setdefault(-(-len(piece) // 4) * 4 if len(piece) <= 32 else 1 << (len(piece) - 1).bit_length(), []).append(k)
         for width, members in buckets.items():
@@ -98,56 +98,84 @@ class ByteBpe:
         return out
 
     def _merge_matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+        """Rows of segments of cells: grid has the ids (-1 behind the last of a segment), ranks what each id makes with the next one of its row."""
+        cell = min(width, max(SEGMENT, 1 << (width.bit_length() + 1) // 2))
+        parts = width // cell
         lengths = np.array([len(p) for p in pieces])
-        cells = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
-        grid = np.where(np.arange(width) < lengths[:, None], self.single[cells], -1)
-        out: list = [None] * len(pieces)
-        rows = np.arange(len(pieces))
-        ranks = self.table.find(grid[:, :-1], grid[:, 1:])
+        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        grid = np.where(np.arange(width) < lengths[:, None], self.single[data], np.int32(-1))
+        ranks = np.full(grid.shape, NONE, np.int32)
+        ranks[:, :-1] = self.table.find(grid[:, :-1], grid[:, 1:])
+        grid, ranks = grid.reshape(-1, parts, cell), ranks.reshape(-1, parts, cell)
+        used = np.clip(lengths[:, None] - np.arange(parts) * cell, 0, cell)
+        following = np.where(np.arange(1, parts + 1) * cell < lengths[:, None], np.arange(1, parts + 1), -1)
+        preceding = np.broadcast_to(np.arange(-1, parts - 1), used.shape).copy()
+        least, rows, out = ranks.min(axis=2), np.arange(len(pieces)), [None] * len(pieces)
         while len(rows):
-            at = ranks.argmin(axis=1)
-            lowest = ranks[np.arange(len(rows)), at]
-            done = lowest == NONE
-            if done.any():
-                for k, ids in zip(rows[done].tolist(), grid[done], strict=True):
+            part = least.argmin(axis=1)
+            every = np.arange(len(rows))
+            lowest = least[every, part]
+            stays = lowest != NONE
+            if not stays.all():
+                for k, ids in zip(rows[~stays].tolist(), grid[~stays], strict=True):
                     out[k] = ids[ids >= 0]
-                rows, grid, at, lowest, ranks = rows[~done], grid[~done], at[~done], lowest[~done], ranks[~done]
+                rows, grid, ranks, used, following, preceding, least, part, lowest = (x[stays] for x in (rows, grid, ranks, used, following, preceding, least, part, lowest))
                 if not len(rows):
                     break
-            every = np.arange(len(rows))
-            grid[every, at] = lowest
-            columns = np.arange(grid.shape[1] - 1)
-            grid = np.take_along_axis(grid, columns + (columns > at[:, None]), axis=1)
-            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] > at[:, None]), axis=1) if len(columns) > 1 else np.full((len(rows), 1), NONE)
-            if grid.shape[1] == 1:
-                grid = np.pad(grid, ((0, 0), (0, 1)), constant_values=-1)
-            # only the pairs to the left and to the right of the merged id are new
-            right = np.minimum(at, ranks.shape[1] - 1)
-            ranks[every, right] = np.where(at < ranks.shape[1], self.table.find(grid[every, right], grid[every, right + 1]), ranks[every, right])
-            left = np.maximum(at - 1, 0)
-            ranks[every, left] = self.table.find(grid[every, left], grid[every, left + 1])
+                every = np.arange(len(rows))
+            at = ranks[every, part].argmin(axis=1)
+            grid[every, part, at] = lowest
+            inside = at + 1 < used[every, part]
+            if parts == 1:  # every row closes the gap and loses a column
+                columns = np.arange(grid.shape[2] - 1)
+                source = (columns + (columns > at[:, None]))[:, None, :]
+                if len(columns) > 1:
+                    grid, ranks = np.take_along_axis(grid, source, axis=2), np.take_along_axis(ranks, source, axis=2)
+                else:
+                    grid[:, :, 1], ranks[:, :, :] = -1, NONE
+                used -= 1
+            else:
+                self._close(grid, ranks, used, every[inside], part[inside], at[inside] + 1)
+                if not inside.all():  # the pair's right half is the first of the next segment
+                    self._drop_first(grid, ranks, used, following, preceding, least, every[~inside], part[~inside])
+            # only the pairs to the right and to the left of the merged id are new
+            n = used[every, part]
+            over = np.where(at + 1 < n, part, following[every, part])
+            right = np.where(over >= 0, grid[every, over, np.where(at + 1 < n, np.minimum(at + 1, grid.shape[2] - 1), 0)], -1)
+            back = np.where(at > 0, part, preceding[every, part])
+            before = np.where(at > 0, at - 1, used[every, back] - 1)
+            left = np.where(back >= 0, grid[every, back, before], -1)
+            found = self.table.find(np.concatenate([lowest, left]), np.concatenate([right, lowest]))
+            ranks[every, part, at] = found[: len(rows)]
+            had = np.flatnonzero(back >= 0)
+            ranks[had, back[had], before[had]] = found[len(rows) :][had]
+            least[every, part] = ranks[every, part].min(axis=1)
+            far = had[at[had] == 0]
+            least[far, back[far]] = ranks[far, back[far]].min(axis=1)
         return out
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n, get, word = len(ids), self.ranks.get, self.word
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(word[ids[i]] + word[ids[i + 1]])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := get(word[rank] + word[ids[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if before[i] >= 0 and (r := get(word[ids[before[i]]] + word[rank])) is not None:
-                heapq.heappush(heap, (r, before[i], ids[before[i]], rank))
-        return np.array([x for x in ids if x >= 0])
+    @staticmethod
+    def _close(grid: np.ndarray, ranks: np.ndarray, used: np.ndarray, rows: np.ndarray, part: np.ndarray, gap: np.ndarray) -> None:
+        """Remove one cell of a segment of each of the rows."""
+        columns = np.arange(grid.shape[2])
+        source = np.minimum(columns + (columns >= gap[:, None]), grid.shape[2] - 1)
+        for cells, empty in ((grid, -1), (ranks, NONE)):
+            moved = np.take_along_axis(cells[rows, part], source, axis=1)
+            moved[:, -1] = empty
+            cells[rows, part] = moved
+        used[rows, part] -= 1
+
+    def _drop_first(self, grid: np.ndarray, ranks: np.ndarray, used: np.ndarray, following: np.ndarray, preceding: np.ndarray, least: np.ndarray, rows: np.ndarray, part: np.ndarray) -> None:
+        """Remove the first cell of the segment after `part`; an emptied segment leaves the row's chain."""
+        after = following[rows, part]
+        self._close(grid, ranks, used, rows, after, np.zeros(len(rows), np.int64))
+        least[rows, after] = ranks[rows, after].min(axis=1)
+        gone = used[rows, after] == 0
+        rows, part, after = rows[gone], part[gone], after[gone]
+        further = following[rows, after]
+        following[rows, part] = further
+        on = further >= 0
+        preceding[rows[on], further[on]] = part[on]
 
     def _stretches(self, text: str) -> list[str]:
         """Cut before single blanks between visible characters: no match of the pattern crosses such a place."""
@@ -162,26 +190,26 @@ class ByteBpe:
             at = text.find(" ", at + 1)
         return [*out, text[start:]] if start < len(text) else out
 
-    def encode(self, texts: list[str], memo: int = 250_000) -> list[bytes]:
-        """Little-endian uint32 ids of each text. What stretches become is kept in a memo of two bounded generations."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian uint32 ids of each text. What short stretches become is kept in a memo of bounded bytes."""
         cut = [self._stretches(t) for t in texts]
-        known, new = self.memo, []
+        here, new = {}, []
         for stretch in set().union(*cut) if cut else ():
-            if stretch not in known:
-                if stretch in self.older:
-                    known[stretch] = self.older[stretch]
-                else:
-                    new.append(stretch)
+            known = self.memo.get(stretch)
+            if known is None and (known := self.memo.old.get(stretch)) is not None:
+                self.memo.remember(stretch, known)
+            if known is None:
+                new.append(stretch)
+            else:
+                here[stretch] = known
         found = [self.pattern.findall(s) for s in new]
         pieces = {p: None for f in found for p in f}
         for p, ids in zip(pieces, self.merge([p.encode() for p in pieces]), strict=True):
             pieces[p] = ids.astype("<u4").tobytes()
         for stretch, f in zip(new, found, strict=True):
-            known[stretch] = b"".join([pieces[p] for p in f])
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        if len(known) > memo:
-            self.older, self.memo = known, {}
-        return out
+            here[stretch] = b"".join([pieces[p] for p in f])
+            self.memo.remember(stretch, here[stretch])
+        return [b"".join(map(here.__getitem__, c)) for c in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.word.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -195,7 +223,8 @@ _tools: dict[bytes, ByteBpe] = {}
 
 
 def tool_for(data: bytes, pattern: str) -> ByteBpe:
-    """This process's encoder for a rank file's bytes, made once."""
+    """This process's encoder for a rank file's bytes, made once; memos of other operators are released."""
+    only(OWNER)
     key = hashlib.sha256(data + pattern.encode()).digest()
     if key not in _tools:
         _tools[key] = ByteBpe(read_ranks(data), pattern)
@@ -205,8 +234,9 @@ def tool_for(data: bytes, pattern: str) -> ByteBpe:
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian uint32) and decoded (bytes, from the ids) of each row.
 
-    Null text: no ids. Null or repeated doc_id: kept as they are, a row each. Empty table: no rows. The rank file is
-    broadcast; it is a fixed vocabulary, checked against 64 MB."""
+    Null text: no ids. Null or repeated doc_id: kept as they are, a row each. Empty table: no rows. Texts and pieces of any
+    length are encoded whole. Other columns, whatever their names, are ignored. The rank file is broadcast; it is a fixed
+    vocabulary, checked against 64 MB."""
     ship(docs.sparkSession)
     with open(rank_path, "rb") as f:
         data = f.read(64 << 20)
@@ -216,7 +246,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tool_for(shared.value, pattern)
-        for rows in row_slices(batches):
+        for rows in row_slices(batches, 1024):
             ids = tool.encode([t or "" for t in rows.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary()), pa.array([tool.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 

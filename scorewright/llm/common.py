@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,19 +111,104 @@ def _slice_bytes(part) -> int:
     return sum(column.nbytes for column in part.columns)
 
 
+#: Bytes that one generation of a memo may hold, by a careful estimate of what an entry takes, and the longest piece it remembers.
+MEMO_BYTES = 40 << 20
+MEMO_PIECE = 64
+ENTRY_BYTES = 220
+
+
 class PieceCache(dict):
-    """Bounded memo of a pure function of a text piece, in two generations: what was used since the last turn survives it."""
+    """Memo of a pure function of a short text piece, bounded by bytes, in two generations: what was used since the last
+    turn survives it. Pieces over MEMO_PIECE long are computed each time, so a text without blanks leaves nothing behind."""
 
-    def __init__(self, make: Callable, size: int = 300_000) -> None:
+    def __init__(self, make: Callable, owner: str = "", size: int = MEMO_BYTES) -> None:
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.held = make, size, {}, 0
+        _memos.setdefault(owner, []).append(self)
 
     def __missing__(self, piece):
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        self.remember(piece, value)
+        return value
+
+    def remember(self, piece, value) -> None:
+        if len(piece) > MEMO_PIECE:
+            return
+        if self.held >= self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[piece] = value
-        return value
+        self.held += ENTRY_BYTES + len(piece) + len(value)
+
+    def release(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
+
+_memos: dict[str, list[PieceCache]] = {}
+
+
+def only(owner: str) -> None:
+    """Release this process's memos of all other owners: a reused Python worker keeps none of an earlier stage's."""
+    for name, memos in _memos.items():
+        if name != owner:
+            for memo in memos:
+                memo.release()
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_LETTERS = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+#: Bytes of text that are hashed at once, as they stay in the processor's cache.
+_RUN = 1 << 15
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_FORTH, _BACK = _powers(_STEP, _RUN * 2), _powers(_STEP_BACK, _RUN * 2)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one text after the other, and each text's number of words.
+
+    Words are stretches without ASCII white space, A-Z in lower case. A word's hash is a polynomial of its bytes, taken as
+    a difference of running sums, so no word ever becomes a Python object."""
+    hashes, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < _RUN):
+            size += len(texts[end]) + 1
+            end += 1
+        found = _run_hashes(texts[at:end])
+        hashes.append(found[0])
+        counts.append(found[1])
+        at = end
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _run_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    n = len(data)
+    forth, back = (_FORTH[:n], _BACK[:n]) if n <= len(_FORTH) else (_powers(_STEP, n), _powers(_STEP_BACK, n))
+    edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))
+    start, stop = edge[::2], edge[1::2]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTERS[_LOWER[data]] * forth, out=total[1:])
+    h = (total[stop] - total[start]) * back[start]
+    h ^= (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+    h ^= h >> np.uint64(29)
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    return h, np.diff(np.searchsorted(start, ends), prepend=0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import PieceCache, Scratch, id_remainder, row_slices
+from scorewright.llm.common import Scratch, id_remainder, row_slices, word_hashes
 
 MU = 64.0
 #: UTF-8 bytes of text after which a block is closed, and n-grams that a shard should hold.
@@ -38,29 +38,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
-_words = PieceCache(_word_hash)
-
-
 class BlockNgrams:
     """The tokens of a block's texts and the keys of their n-grams: a key's lowest bit is its order less one."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        get = _words.__getitem__
-        parts = []
-        for text in texts:
-            words = text.lower().split()  # bytes: A-Z and ASCII white space only
-            tokens = np.empty(len(words) + 1, np.uint64)
-            tokens[:-1] = list(map(get, words))
-            tokens[-1] = END
-            parts.append(tokens)
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        words, counts = word_hashes(texts)
+        self.lengths = counts + 1
+        tokens = np.insert(words, np.cumsum(counts), END)
         self.begin = np.cumsum(self.lengths) - self.lengths
         state = np.empty_like(tokens)
         state[1:] = tokens[:-1]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import PieceCache, Scratch, row_slices, shuffle_parts
+from scorewright.llm.common import Scratch, row_slices, shuffle_parts, word_hashes
 
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -39,23 +39,21 @@ _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its WORDS-word shingles; of all its words as one with fewer; none without words."""
+    words, counts = word_hashes([(t or "").encode() for t in texts])
+    return [_shingles(tokens) for tokens in np.split(words, np.cumsum(counts)[:-1])] if texts else []
 
-    return xxhash.xxh3_64_intdigest(word)
 
-
-_words = PieceCache(_word_hash)
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's WORDS-word shingles; of all its words as one with fewer; none without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
+def _shingles(tokens: np.ndarray) -> np.ndarray:
+    if not len(tokens):
         return np.zeros(0, np.uint64)
-    tokens = np.array(list(map(_words.__getitem__, words)), np.uint64)
     span = min(WORDS, len(tokens))
-    h = np.full(len(tokens) - span + 1, 0x2545F4914F6CDD1D + len(tokens[:span]), np.uint64)
+    h = np.full(len(tokens) - span + 1, 0x2545F4914F6CDD1D + span, np.uint64)
     for k in range(span):
         h = (h ^ tokens[k : k + len(h)]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -152,7 +150,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in row_slices(batches):
-        sets = [shingles(t) for t in rows.column(1).to_pylist()]
+        sets = shingle_sets(rows.column(1).to_pylist())
         some = [k for k, s in enumerate(sets) if len(s)]
         sketches = registers([sets[k] for k in some]) if some else np.zeros((0, M), np.uint16)
         keys = bands(sketches).view(np.int64)

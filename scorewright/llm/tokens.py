@@ -13,12 +13,11 @@ from array import array
 
 from pyspark.sql import SparkSession
 
-from scorewright.llm.common import PieceCache
+from scorewright.llm.common import PieceCache, only
 
-#: Letters whose normal form, lower case and letter class are the same in every Unicode version.
-PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
-#: A plain word and the stop after it are always pieces of their own.
-STOPPED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]+)")
+#: Letters whose normal form, lower case and letter class are the same in every Unicode version, and the stops after them: a
+#: plain word and its stops are always pieces of their own.
+PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,9 +27,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
-#: Stretches of each kind that a process remembers in either of its two generations.
-MEMO = 500_000
-
 
 def _packed(ids: list[int]) -> bytes:
     """Little-endian uint32."""
@@ -40,6 +36,8 @@ def _packed(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
+#: Whose memos the encoders' are, see common.only.
+OWNER = "tokens"
 _encoders: dict[tuple[int, int], Encoder] = {}
 
 
@@ -54,35 +52,41 @@ class Encoder:
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.library.get_vocab_size()
-        drops = self._ids("a b") == self._ids("a") + self._ids("b")
+        self.drops = drops = self._ids("a b") == self._ids("a") + self._ids("b")
         if not drops and self._ids("a b") != self._ids("a") + self._ids(" b"):
             raise ValueError("this vocabulary joins text across blanks")
         self.encode = self._encode_dropping if drops else self._encode_blanks
-        self.cache = PieceCache(self._bytes, MEMO)
-        self.after_blank = PieceCache(lambda word: self._bytes(" " + word), MEMO)
+        self.cache = PieceCache(self._bytes, OWNER)
+        self.after_blank = PieceCache(lambda word: self._bytes(" " + word), OWNER)
+        self.stops: dict[str, list[int]] = {}
         self.letters, self.lower = _byte_letters(), self._ids("Ab") == self._ids("ab")
-        probes = [b + w for b in ("", " ") for w in ("a", "the", "Nation", "éÇà", "Übergrößen", "señor", "zqxjkv", "Aa")]
+        probes = [b + w for b in ("", " ") for w in ("a", "the", "Nation", "éÇà", "Übergrößen", "señor", "zqxjkv", "Aa", "end.", "été,.", "a***", "no!?", "b$$$", "c-", "d`~", "f&@#", "g)]}", "h{[(", "i+=<>^|")]
         self.plain = all(self._plain(PLAIN.fullmatch(p)) == self._ids(p) for p in probes)
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _plain(self, match: re.Match) -> list[int]:
-        """Ids of one plain word straight from the library's merge model: normalising and splitting leave it whole."""
-        blank, word = match.groups()
+        """Ids of one plain word straight from the library's merge model, as normalising and splitting leave it whole, and of its stops."""
+        blank, word, stops = match.groups()
         word = word.lower() if self.lower else word
-        blank = self.letters[32] if blank and self.encode == self._encode_blanks else ""
-        return [t.id for t in self.library.model.tokenize(blank + word.encode().decode("latin-1").translate(self.letters))]
+        word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        if blank and not self.drops:
+            word = self.letters[32] + word
+        ids = [t.id for t in self.library.model.tokenize(word)]
+        if not stops:
+            return ids
+        if stops not in self.stops:
+            known = self._ids(stops)
+            if len(stops) > 3:
+                return ids + known
+            self.stops[stops] = known
+        return ids + self.stops[stops]
 
     def _bytes(self, piece) -> bytes:
         text = piece.decode() if isinstance(piece, bytes) else piece
-        if self.plain and (match := PLAIN.fullmatch(text)):
+        if match := self.plain and PLAIN.fullmatch(text):
             return _packed(self._plain(match))
-        if match := STOPPED.fullmatch(text):
-            word, stop = match.groups()
-            if isinstance(piece, bytes):
-                return self.cache[word.encode()] + self.cache[stop.encode()]
-            return (self.after_blank[word[1:]] if word[0] == " " else self.cache[word]) + self.cache[stop]
         return _packed(self._ids(text))
 
     def _encode_dropping(self, text: str) -> bytes:
@@ -130,7 +134,8 @@ def read_definition(spark: SparkSession, path: str):
 
 
 def encoder(definition: str) -> Encoder:
-    """This process's encoder for a definition, made once."""
+    """This process's encoder for a definition, made once; memos of other operators are released."""
+    only(OWNER)
     key = (len(definition), hash(definition))
     if key not in _encoders:
         _encoders[key] = Encoder(definition)

@@ -244,7 +244,7 @@ def test_simple8b_blocks():
         simple8b.decode(b"\0" * 40)
 
 
-TRICKY = st.text(st.sampled_from("ab éÉ\n\t 　中1'.s,̸ßİ|<>"), max_size=40)
+TRICKY = st.text(st.sampled_from("ab éÉ\n\t 　中1'.s,̸ßİ|<>_-*$`^!"), max_size=40)
 
 
 @settings(deadline=None, max_examples=300)
@@ -280,7 +280,9 @@ def _byte_tool():
 
 def test_long_pieces_merge_alike():
     own, library = _byte_tool()
-    texts = ["ab" * 700, "é" * 600, "the" * 300, "z" * 3000]
+    rng = np.random.default_rng(2)
+    texts = ["ab" * 700, "é" * 600, "the" * 300, "z" * 3000, "中文" * 400]
+    texts += ["".join(rng.choice(list("abcdeést"), int(n))) for n in (64, 65, 127, 128, 129, 256, 257, 700, 5000) for _ in range(5)]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
