@@ -1,8 +1,9 @@
 """Quality classifier by compression: one zstandard dictionary is trained on good labelled text, one on bad.
 
-A text is compressed with either dictionary and with none. The difference of the two sizes, over their sum and over the
-length, is what tells the classes apart; the sizes over the length tell how much a difference can mean, as a line
-repeated all over shrinks with any dictionary. A logistic regression on these turns them into a calibrated score.
+A text is compressed with either dictionary. The difference of the two compressed sizes over the text's length is the only
+thing a score comes from; a monotone calibration (isotonic regression, linear between its steps) turns it into the share of
+good texts among labelled ones with such a difference. The differences it learns from are taken with dictionaries that haven't
+seen the text.
 
 Learning is bounded: at most `per_class` labelled rows of each class, chosen by a hash of the id, none of over
 `sample_chars` characters. Scoring is one map over whole texts.
@@ -10,7 +11,6 @@ Learning is bounded: at most `per_class` labelled rows of each class, chosen by
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,23 +22,26 @@ from pyspark.sql import functions as F
 from scorewright.llm.common import id_remainder, row_slices
 from scorewright.shipping import ship
 
-LEVEL = 9
+LEVEL = 3
 DICTIONARY_BYTES = 1 << 16
 PIECE_BYTES = 1024
 PER_CLASS = 2000
 SAMPLE_CHARS = 50_000
 THRESHOLD = 0.3
+#: Parts of the labelled texts whose differences are taken with dictionaries from the other parts.
+FOLDS = 3
+#: Added to a text's length, so that the difference of a short text stays near the middle.
+LENGTH_PRIOR = 50
 
 
 @dataclass
 class QualityModel:
-    """Two dictionaries (bytes) and the weights of the logistic regression; a few hundred kilobytes whatever the data."""
+    """Two dictionaries (bytes) and the calibration's steps: differences (ascending) and scores; under 200 KB whatever the data."""
 
     good: bytes
     bad: bytes
-    centre: np.ndarray
-    spread: np.ndarray
-    weights: np.ndarray
+    steps: np.ndarray
+    scores: np.ndarray
 
     def compressors(self) -> tuple:
         import zstandard
@@ -49,20 +52,34 @@ class QualityModel:
             kind = zstandard.DICT_TYPE_FULLDICT if entropy else zstandard.DICT_TYPE_RAWCONTENT
             dictionary = zstandard.ZstdCompressionDict(data, dict_type=kind)
             dictionary.precompute_compress(level=LEVEL)
-            made.append(zstandard.ZstdCompressor(dict_data=dictionary))
-        return (*made, zstandard.ZstdCompressor(level=LEVEL))
+            made.append(zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_dict_id=False))
+        return tuple(made)
 
     def score(self, texts: list[str | None], compressors: tuple) -> np.ndarray:
-        x = np.array([features(t, compressors) for t in texts]).reshape(len(texts), -1)
-        z = np.hstack([(x - self.centre) / self.spread, np.ones((len(x), 1))]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.interp([difference(t, compressors) for t in texts], self.steps, self.scores)
 
 
-def features(text: str | None, compressors: tuple) -> list[float]:
+def difference(text: str | None, compressors: tuple) -> float:
+    """Bytes that the good dictionary saves over the bad one, over the text's length in bytes."""
     data = (text or "").encode()
-    good, bad, plain = (len(c.compress(data)) for c in compressors)
-    size = len(data) + 50  # keeps short texts near the middle
-    return [(bad - good) / (bad + good), (bad - good) / size, good / size, bad / size, plain / size, math.log(size)]
+    good, bad = (len(c.compress(data)) for c in compressors)
+    return (bad - good) / (len(data) + LENGTH_PRIOR)
+
+
+def calibrate(differences: np.ndarray, good: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Steps and scores of the non-decreasing function nearest to the labels (pool adjacent violators), each pool drawn to the
+    whole by one observation, its odds carried from the sample's share of good texts to `share` of all labels."""
+    order = np.argsort(differences, kind="stable")
+    pools: list[list[float]] = []  # sum of labels, number, sum of differences
+    for x, y in zip(differences[order].tolist(), good[order].tolist(), strict=True):
+        pools.append([y, 1, x])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    whole = float(good.mean())
+    p = np.array([(y + whole) / (n + 1) for y, n, _ in pools])
+    odds = p / (1 - p) * (share / (1 - share)) / (whole / (1 - whole))
+    return np.array([x / n for _, n, x in pools]), odds / (1 + odds)
 
 
 def dictionary(texts: list[str]) -> bytes:
@@ -77,57 +94,55 @@ def dictionary(texts: list[str]) -> bytes:
         return (b"\n".join(pieces) or b"empty text")[:DICTIONARY_BYTES].ljust(8, b"\n")
 
 
-def fit(good: list[str], bad: list[str]) -> QualityModel:
-    """Dictionaries from two thirds of each class, weights from the rest (from all of a class of fewer than 6 texts).
+def fit(good: list[str], bad: list[str], share: float | None = None) -> QualityModel:
+    """Dictionaries from all texts; the calibration from each text's difference under dictionaries from the other folds (from
+    the final ones, if a class has fewer than 6 texts).
 
-    Without labelled texts of a class its dictionary is empty and the score is the share of good texts, 0.5 without any."""
-    base, rest = [], []
-    for texts in (good, bad):
-        enough = len(texts) >= 6
-        base.append([t for k, t in enumerate(texts) if k % 3 or not enough])
-        rest.append([t for k, t in enumerate(texts) if not k % 3 or not enough])
-    model = QualityModel(dictionary(base[0]), dictionary(base[1]), np.zeros(6), np.ones(6), np.zeros(7))
-    n_good, n_bad = len(good), len(bad)
-    if not n_good or not n_bad:
-        model.weights[-1] = 0 if n_good == n_bad else (500 if n_good else -500)
+    `share` is the share of good texts to calibrate to, the sample's own if it isn't given. Without texts of a class the score is
+    constant: `share`, or 0.5 without any text."""
+    taken = len(good) / max(1, len(good) + len(bad)) if good or bad else 0.5
+    share = taken if share is None else share
+    model = QualityModel(dictionary(good), dictionary(bad), np.zeros(1), np.array([share]))
+    if not good or not bad or not 0 < share < 1:
         return model
-    compressors = model.compressors()
-    x = np.array([features(t, compressors) for part in rest for t in part])
-    y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
-    model.centre, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a = np.hstack([(x - model.centre) / model.spread, np.ones((len(x), 1))])
-    w = np.zeros(7)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hessian = (a.T * (p * (1 - p))) @ a + 0.05 * np.eye(7)
-        move = np.linalg.solve(hessian, a.T @ (p - y) + 0.05 * w)
-        w -= move / max(1.0, np.abs(move).max() / 2)
-    model.weights = w
+    folds = FOLDS if min(len(good), len(bad)) >= 6 else 1
+    x, y = [], []
+    for fold in range(folds):
+        rest = [[t for k, t in enumerate(texts) if folds == 1 or k % folds != fold] for texts in (good, bad)]
+        compressors = QualityModel(*map(dictionary, rest), model.steps, model.scores).compressors() if folds > 1 else model.compressors()
+        for label, texts in ((1.0, good), (0.0, bad)):
+            mine = [difference(t, compressors) for k, t in enumerate(texts) if k % folds == fold]
+            x += mine
+            y += [label] * len(mine)
+    model.steps, model.scores = calibrate(np.array(x), np.array(y), share)
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> tuple[QualityModel, float]:
-    """The model, and the share of good rows among all labelled rows that teach, which calibrates it to the data.
+    """The model, and the share of good rows among all labelled rows that teach, to which its scores are calibrated.
 
-    Ids are chosen from the labels alone, so no text is sorted; at most 2 * per_class rows are joined and collected."""
+    Ids are chosen from the labels alone, so no text is sorted. One text of each chosen id and label is collected (of a
+    repeated id the least), so 2 * per_class texts at most; equal texts of a label are one example. Null ids, other labels than 0 and
+    1, and null or empty texts don't teach. Without labels every score is 0.5."""
     known = labels.filter(teaches & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.join(chosen, "id").filter(F.length("text").between(1, sample_chars)).orderBy("id", "text").limit(4 * per_class).collect()
-    by = {c: sorted({(r["id"], r["text"]) for r in texts if r["label"] == c}) for c in (0, 1)}
-    model = fit([t for _, t in by[1]], [t for _, t in by[0]])
+    texts = rows.join(chosen, "id").filter(F.length("text").between(1, sample_chars)).groupBy("id", "label").agg(F.min("text").alias("text")).collect()
+    by: dict[int, dict[str, None]] = {0: {}, 1: {}}
+    for r in sorted(texts, key=lambda r: r["id"]):
+        by[r["label"]][r["text"]] = None
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
-    if by[0] and by[1]:  # the sample's share of good texts gives way to that of all labels
-        taken = len(by[1]) / (len(by[1]) + len(by[0]))
-        model.weights[-1] += math.log(share / (1 - share)) - math.log(taken / (1 - taken))
-    return model, share
+    return fit(list(by[1]), list(by[0]), share), share
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of each row. Null text: scored as the empty text. Null or repeated ids: a row each."""
+    """doc_id and score (0 to 1) of each row.
+
+    Null text: scored as the empty text. Null or repeated ids: a row each. Texts of any length are compressed whole. Ties: equal
+    texts have equal scores. Empty table: no rows. Other columns, whatever their names, are ignored."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # under 200 KB
 
@@ -143,7 +158,8 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least the threshold."""
+    """The rows of docs, all columns, whose text scores at least the threshold. Nulls, ties and long texts as in score(); no column
+    is added, so names can't clash. Repeated rows are kept or dropped together. Empty table: no rows."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
