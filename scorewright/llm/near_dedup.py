@@ -34,6 +34,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 DEVIATIONS = 5.0
 #: Members of a bucket or of a leader that meet in one task.
 TILE = 256
+#: UTF-8 bytes of texts that meet in one tile, on average.
+TILE_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,17 +160,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, s, b in zip(some, sketches, keys, strict=True):
             sig[k], band[k], name[k] = s.tobytes(), b, hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "class", "sketch", "bands"],
+            [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+            names=["doc_id", "text", "n_shingles", "class", "sketch", "bands"],
         )
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both sketches and sizes, a and b of those that may be links."""
+    """Of pairs with both sketches and sizes, a, b and salt of those that may be links."""
     for rows in row_slices(batches, 4096):
         left, right = (np.frombuffer(b"".join(rows.column(c).to_pylist()), "<u2").reshape(-1, M) for c in ("left_sketch", "right_sketch"))
         ok = possible(left, right, rows.column("left_n").to_numpy(), rows.column("right_n").to_numpy())
-        yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(ok)) for c in ("a", "b", "salt")], names=["a", "b", "salt"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +184,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif held is not None and held[0] == r["a"] and linked(held[1], shingles(r["text"])):
                 a.append(r["a"])
                 b.append(r["b"])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 class _Tile:
@@ -195,16 +197,14 @@ class _Tile:
     def __init__(self, members: list[dict]) -> None:
         self.sketches = np.frombuffer(b"".join(m["sketch"] for m in members), "<u2").reshape(-1, M)
         self.sizes = np.array([m["n"] for m in members], np.int64)
-        self.names = [m["class"] for m in members]
+        self.names = np.array([m["node"] for m in members], np.int64)
         self.texts = [m["text"] for m in members]
         self.sets: dict[int, np.ndarray] = {}
-        self.numbers, self.joined = {}, []
+        self.numbers, self.joined = {}, []  # components met here, and which of them links have joined
         self.group = np.array([self._number(m["component"]) for m in members])
         self.main = np.array([not m["apart"] for m in members])
-        # only the later of two askers' names asks; members of the main component never ask
-        self.order = np.array([hash_order(n) for n in self.names])
 
-    def _number(self, component: bytes) -> int:
+    def _number(self, component: int) -> int:
         if component not in self.numbers:
             self.numbers[component] = len(self.joined)
             self.joined.append(len(self.joined))
@@ -216,11 +216,11 @@ class _Tile:
             k = self.joined[k]
         return k
 
-    def meet(self, asker: dict) -> Iterator[bytes]:
-        """Names of members that the asker is linked with, one for each component at most."""
+    def meet(self, asker: dict) -> Iterator[int]:
+        """Members that the asker is linked with, one for each component at most."""
         own = self._number(asker["component"])
         sketch = np.frombuffer(asker["sketch"], "<u2")
-        meets = self.main | (self.order < hash_order(asker["class"]))
+        meets = self.main | (self.names < asker["node"])  # of two askers only the later asks; members of the main component never ask
         here = np.flatnonzero(meets & (self.group != own))
         here = here[possible(np.broadcast_to(sketch, (len(here), M)), self.sketches[here], np.full(len(here), asker["n"], np.int64), self.sizes[here])]
         if not len(here):
@@ -236,12 +236,7 @@ class _Tile:
                 self.sets[k] = shingles(self.texts[k])
             if linked(mine, self.sets[k]):
                 self.joined[a] = b
-                yield self.names[k]
-
-
-def hash_order(name: bytes) -> int:
-    """A class name as a number, for an order between names."""
-    return int.from_bytes(name[:8], "big") >> 1
+                yield int(self.names[k])
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,16 +255,16 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             tile = tile or _Tile(members)
             for name in tile.meet(r):
-                a.append(min(r["class"], name))
-                b.append(max(r["class"], name))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                a.append(min(r["node"], name))
+                b.append(max(r["node"], name))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node, component (the least node reachable) of all nodes of links a, b: least labels spread along links, and each
     node then takes its label's label, until nothing changes. Every round is a written table; only a count reaches the driver."""
     both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{label}-both")
-    now = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), f"{label}-0")
+    now = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), f"{label}-0")
     for step in range(1, 100):
         seen = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         near = scratch.keep(now.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), f"{label}-near-{step}")
@@ -283,16 +278,13 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """Of candidate pairs a, b of classes, the links. texts: class, text of every class in pairs.
-
-    The pairs of a class a are dealt out by TILE; each deal gets one copy of a's text, and members stream past it."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TILE)).alias("salt"))
-    salted = scratch.keep(salted, f"{label}-salted")
-    members = salted.join(texts.withColumnRenamed("class", "b"), "b").select("a", "salt", "b", "text")
-    leaders = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("class", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    """Of candidate pairs a, b, salt, the links. texts: node, text of every node in pairs.
+
+    The pairs of a node a are dealt out by salt; each deal gets one copy of a's text, and members stream past it."""
+    members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    leaders = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = leaders.unionByName(members).repartition(shuffle_parts(scratch.spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return scratch.keep(dealt.mapInArrow(_verified, "a binary, b binary"), f"{label}-links")
+    return scratch.keep(dealt.mapInArrow(_verified, "a long, b long"), f"{label}-links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,73 +292,67 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     component_id is the least doc_id among the texts that links reach, kept says that it is the row's own. Null text or
     one without words: no shingles, linked with nothing, its own component. Null doc_id: never a component's id while
-    the component has another; kept only if it has none. Repeated rows share a component and are kept or dropped
-    together. Empty table: no rows.
+    the component has another; kept only if it has none. Repeated rows and ties share a component and are kept or dropped
+    together. Texts of any length are taken whole. Empty table: no rows. Other columns, whatever their names, are ignored.
 
-    A pair at the threshold shares no band with probability 5e-6; every candidate is decided on full sets."""
+    What can be missed: a pair at the threshold shares no band with probability 5e-6, and a candidate whose likelihood
+    estimate lies DEVIATIONS standard deviations below the threshold isn't verified (under 1e-6 of pairs at the threshold).
+    Every link that is returned holds on full sets."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = scratch.keep(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, class binary, sketch binary, bands array<long>"), "sketched")
-    # equal sets are one class: a group of copies, however large, is one row from here on
-    classes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    sketched = rows.mapInArrow(_sketch, "doc_id long, text string, n_shingles long, class binary, sketch binary, bands array<long>")
+    sketched = scratch.keep(sketched.withColumn("mid", F.monotonically_increasing_id()), "sketched")
+    # equal sets are one class: a group of copies, however large, is one row from here on, named by a row of its own
+    known = sketched.filter("class IS NOT NULL").withColumn("bytes", F.octet_length("text").cast("long"))
+    classes = known.groupBy("class").agg(F.min("mid").alias("node"), F.min("doc_id").alias("doc_id"), F.max("bytes").alias("bytes"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
-    sketches = classes.select("class", "n", "sketch")
-    buckets = classes.select(F.posexplode("bands").alias("band", "bucket"), "class")
+    sketches = classes.select("node", "n", "sketch")
+    buckets = classes.select(F.posexplode("bands").alias("band", "bucket"), "node", "bytes")
+
+    def texts_of(nodes: DataFrame, label: str) -> DataFrame:
+        return scratch.keep(sketched.select(F.col("mid").alias("node"), "text").join(nodes, "node", "left_semi"), label)
 
-    leaders = buckets.groupBy("bucket", "band").agg(F.min("class").alias("leader"), F.count("*").alias("members")).filter("members > 1").select("bucket", "band", "leader")
+    leaders = buckets.groupBy("bucket", "band").agg(F.min("node").alias("leader"), F.count("*").alias("members"), F.sum("bytes").alias("bytes")).filter("members > 1")
     leaders = scratch.keep(leaders, "leaders")
-    members = scratch.keep(buckets.join(leaders, ["bucket", "band"]), "members")
-    first = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    first = first.join(sketches.select(F.col("class").alias("b"), F.col("n").alias("right_n"), F.col("sketch").alias("right_sketch")), "b")
-    first = first.join(sketches.select(F.col("class").alias("a"), F.col("n").alias("left_n"), F.col("sketch").alias("left_sketch")), "a")
-    first = scratch.keep(first.mapInArrow(_estimated, "a binary, b binary"), "first")
-    texts = scratch.keep(_texts(rows, classes, first.select(F.col("a").alias("class")).union(first.select("b")).distinct()), "texts")
-    links = verify(first, texts, scratch, "first")
+    members = scratch.keep(buckets.drop("bytes").join(leaders, ["bucket", "band"]), "members")
+    # the pairs of a leader are dealt out by its buckets' sizes, so no join below has a leader of many as one key
+    first = members.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("members").alias("members"))
+    first = first.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / TILE)).alias("salt"))
+    left = first.select("a", "salt").distinct().join(sketches.select(F.col("node").alias("a"), F.col("n").alias("left_n"), F.col("sketch").alias("left_sketch")), "a")
+    right = first.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("right_n"), F.col("sketch").alias("right_sketch")), "b")
+    first = scratch.keep(right.join(left, ["a", "salt"]).mapInArrow(_estimated, "a long, b long, salt long"), "first")
+    links = verify(first, texts_of(first.select(F.col("a").alias("node")).union(first.select("b")), "texts"), scratch, "first")
     found = components(links, scratch, "first")
 
-    placed = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("bucket", "band", "class", F.coalesce("component", "class").alias("component"))
+    placed = members.join(found, "node", "left").select("bucket", "band", "members", "bytes", "node", F.coalesce("component", "node").alias("component"))
     placed = scratch.keep(placed, "placed")
-    sizes = scratch.keep(placed.groupBy("bucket", "band", "component").agg(F.count("*").alias("n")), "sizes")
+    sizes = scratch.keep(placed.groupBy("bucket", "band", "component").agg(F.count("*").alias("n"), F.first("members").alias("total"), F.first("bytes").alias("bytes")), "sizes")
     # a bucket of two has met in full; in larger ones all but the largest component's members ask all others
-    open_buckets = sizes.groupBy("bucket", "band").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("main")).filter("groups > 1 AND total > 2")
-    open_buckets = scratch.keep(open_buckets.select("bucket", "band", "total", F.col("main.component").alias("main")), "open")
+    open_buckets = sizes.groupBy("bucket", "band").agg(F.count("*").alias("groups"), F.first("total").alias("total"), F.first("bytes").alias("bytes"), F.max(F.struct("n", "component")).alias("main")).filter("groups > 1 AND total > 2")
+    tiles = F.greatest(F.ceil(F.col("total") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    open_buckets = scratch.keep(open_buckets.select("bucket", "band", tiles.alias("tiles"), F.col("main.component").alias("main")), "open")
     if not open_buckets.isEmpty():
-        tiles = F.ceil(F.col("total") / TILE).cast("int")
-        there = scratch.keep(placed.join(open_buckets, ["bucket", "band"]), "there")
-        inside = scratch.keep(_texts(rows, classes, there.select("class").distinct()), "texts-2").join(sketches, "class")
+        there = scratch.keep(placed.select("bucket", "band", "node", "component").join(open_buckets, ["bucket", "band"]), "there")
+        inside = texts_of(there.select("node"), "texts-2").join(sketches, "node")
         there = there.withColumn("apart", F.col("component") != F.col("main"))
-        shown = there.withColumn("tile", F.pmod(F.xxhash64("class"), tiles).cast("int")).withColumn("asks", F.lit(False))
-        asking = there.filter("apart").withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("asks", F.lit(True))
-        met = shown.unionByName(asking).select("bucket", "band", "tile", "asks", "class", "component", "apart").join(inside, "class")
+        shown = there.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("asks", F.lit(False))
+        asking = there.filter("apart").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("asks", F.lit(True))
+        met = shown.unionByName(asking).select("bucket", "band", "tile", "asks", "node", "component", "apart").join(inside, "node")
         dealt = met.repartition(shuffle_parts(spark), "bucket", "band", "tile").sortWithinPartitions("bucket", "band", "tile", "asks")
-        second = scratch.keep(dealt.mapInArrow(_crossed, "a binary, b binary"), "second")
+        second = scratch.keep(dealt.mapInArrow(_crossed, "a long, b long"), "second")
         if not second.isEmpty():
             found = components(links.unionByName(second), scratch, "second")
 
-    named = classes.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class")
+    named = classes.select("node", "class", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.keep(named.join(least, "component").select("class", "component_id"), "named")
-    # classes outside any link are their own components; a class with many copies has its row on the small side
-    ids = scratch.keep(classes.select("class", "doc_id").join(named, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id")), "ids")
+    # a class with many copies has its row on the small side
+    ids = scratch.keep(named.join(least, "component").select("class", "component_id"), "ids")
     out = sketched.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, text of every wanted class, found by the class's least id (a repeated id may bring other texts; they are told apart by their sets)."""
-    wanted = wanted.join(classes.select("class", "doc_id"), "class").select(F.col("class"), F.col("doc_id").alias("wanted_id"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("class", "text")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches):
-            ok = [hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == c for c, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-            yield part.filter(pa.array(ok, pa.bool_()))
-
-    return found.mapInArrow(same, "class binary, text string").dropDuplicates(["class"])
-
-
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,6 +108,29 @@ def test_near_dedup_chains(spark):
     assert [(r[0], r[1]) for r in found.groupBy("component_id").count().collect()] == [(991, 310)]
 
 
+def test_near_dedup_of_rows_without_ids(spark):
+    """Many rows that share a null id, or one id, are told apart by their texts; the work stays in proportion."""
+    words = [f"w{k}" for k in range(997)]
+    items = [(None if k % 2 else 7, " ".join(words[(k * j + k) % 997] for j in range(1, 13))) for k in range(20_000)]
+    items += [(None, items[4][1]), (3, items[5][1])]
+    found = near_dedup.near_dedup(spark.createDataFrame(items, "doc_id long, text string").repartition(4))
+    began = time.perf_counter()
+    rows = Counter((r["doc_id"], r["component_id"]) for r in found.collect())
+    assert time.perf_counter() - began < 120 and sum(rows.values()) == 20_002
+    assert rows[3, 3] == 1 and rows[None, 3] >= 1 and set(rows) <= {(7, 7), (7, 3), (None, None), (None, 7), (None, 3), (3, 3)}
+
+
+def test_candidates_at_the_threshold_are_verified():
+    """Recall of the estimate: of pairs with similarities from 0.75 to 0.77, none is dropped before verification."""
+    rng = np.random.default_rng(9)
+    sizes = [(400, 300 + k % 7) for k in range(1000)]
+    a = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n, _ in sizes]
+    b = [x[:k] for x, (_, k) in zip(a, sizes, strict=True)]
+    true = np.array([len(y) / len(x) for x, y in zip(a, b, strict=True)])
+    assert true.min() >= 0.75 and true.max() < 0.77
+    assert near_dedup.possible(near_dedup.registers(a), near_dedup.registers(b), np.array([len(x) for x in a]), np.array([len(x) for x in b])).all()
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     a = [np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)) for _ in range(40)]
