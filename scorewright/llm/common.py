@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,25 @@ class Scratch:
             delete(self.spark, self.path(label))
 
 
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, .. by place, so that no name of it can clash or need quoting, and what these columns are called then."""
+    places = [next(k for k, c in enumerate(df.columns) if c.lower() == name.lower()) for name in names]
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), [f"c{k}" for k in places]
+
+
+def keep_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """The rows of df, all columns, whose text passes; make() gives, in each task, a test of a list of texts."""
+    ship(df.sparkSession)
+    plain, (text,) = by_place(df, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for rows in row_slices(batches):
+            yield rows.filter(pa.array(passes(rows.column(text).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

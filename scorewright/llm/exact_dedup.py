@@ -11,8 +11,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scorewright.llm.common import BLANKS, Scratch, shared_root, shuffle_parts
+from scorewright.llm.common import BLANKS, Scratch, by_place, delete, shared_root, shuffle_parts
 
 #: A digest is hot if it holds over 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot digests whatever the data.
 HOT_SHARE = 500
@@ -55,8 +56,6 @@ class DigestIndex:
         )
 
     def drop(self) -> None:
-        from scorewright.llm.common import delete
-
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         delete(self.spark, f"{shared_root(self.spark)}/{self.table}")
 
@@ -66,19 +65,22 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
     Without an index (or with an empty one) the smallest doc_id of a group stays; a digest that the index already
     holds keeps the id noted there, so the rows of the new batch go. group_size counts the rows of this batch. The
-    batch's new digests are appended to the index.
+    batch's new digests are appended to the index; a repeated run adds nothing. Without an index one is made for this call and dropped.
 
     Null text: the empty text. Null doc_id: never chosen while its group has another id; a group with null ids only
     keeps them all (keep_id null). Repeated rows: equal ids are one document, so all its rows are kept or dropped
-    together. Empty table: no rows. Other columns are ignored."""
+    together. Texts of any length are hashed whole. Empty table: no rows. Other columns, whatever their names, are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
+    passing = index is None
     index = index or DigestIndex(spark)
     known = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("sha")), "digests")
     groups = scratch.keep(known.groupBy("sha").agg(F.min("doc_id").alias("batch_id"), F.count("*").alias("group_size")), "groups")
     index.append(groups.withColumnRenamed("batch_id", "keep_id"))
     held = index.rows().hint("merge")
     groups = scratch.keep(groups.join(held, "sha").select("sha", "keep_id", "group_size"), "kept")
+    if passing:
+        index.drop()
     rows = known.count()
     hot = F.broadcast(groups.filter(F.col("group_size") > rows / HOT_SHARE))  # under HOT_SHARE rows by the filter itself
     cold = groups.filter(F.col("group_size") <= rows / HOT_SHARE)
@@ -87,6 +89,23 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of equal texts, with all columns of docs: that of the smallest id (a null id only if there is no
+    other, of repeated rows any one). Null text: the empty text. Columns of any names pass through. Empty table: no rows.
+
+    Rows are dealt by id and digest once, for the semi-join and for telling repeated rows apart."""
+    plain, (id_place, text_place) = by_place(docs, id_col, text_col)
+
+    def named(doc_id: Column, sha: Column) -> Column:
+        return F.concat_ws("/", sha, doc_id.cast("string")).alias("key")
+
+    kept = exact_dedup(plain, None, id_place, text_place).filter("kept").select(named(F.col("doc_id"), F.col("text_sha256"))).distinct()
+    marked = plain.select("*", named(F.col(id_place), F.lower(F.hex(digest(text_place)))))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    stays = marked.join(kept, "key", "left_semi").withColumn("number", first).filter("number = 1")
+    return stays.select(plain.columns).toDF(*docs.columns)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

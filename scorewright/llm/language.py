@@ -5,20 +5,21 @@ calibration) says whether a text's language has the bit. The loss of a codeword
 each weighted by how reliable its classifier was on texts it had not learnt; the nearest codeword wins, and
 a text whose two nearest codewords are about equally near is flagged as ambiguous.
 
-Learning is bounded: about `per_language` rows of each language, chosen by a hash, none of over `sample_chars` characters.
+Learning is bounded: `per_language` distinct texts of each language, chosen by a hash, none of over `sample_chars` characters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scorewright.llm.common import id_remainder, row_slices
+from scorewright.llm.common import id_remainder, keep_texts, row_slices
 from scorewright.shipping import ship
 
 HASH_BITS = 16
@@ -97,14 +98,14 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
     if len(names) < 2:
         return model
     learns = np.arange(len(texts)) % 4 != 0  # the rest calibrates
-    counts = np.zeros((len(names), size))
+    rates = np.zeros((len(names), size), np.float32)
     for k in range(len(names)):
         mine = [grams(t) for t, w, on in zip(texts, which, learns, strict=True) if w == k and on]
         if mine:
-            counts[k] = np.bincount(np.concatenate(mine), minlength=size)
-    rates = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * size)
+            rates[k] = np.bincount(np.concatenate(mine), minlength=size)
+        rates[k] = (rates[k] + 0.05) / (rates[k].sum(dtype=np.float64) + 0.05 * size)
     for b in range(bits):
-        on, off = rates[code[:, b] > 0].mean(axis=0), rates[code[:, b] < 0].mean(axis=0)
+        on, off = ((side / side.sum()).astype(np.float32) @ rates for side in (code[:, b] > 0, code[:, b] < 0))
         model.weights[:, b] = np.log(on) - np.log(off)
     held = np.flatnonzero(~learns)
     if len(held) < 2:
@@ -126,7 +127,10 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
 
 
 def learn(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """One count of the distinct texts by language, then one scan that keeps about per_language of each (at most three times as many are collected)."""
+    """One count of the distinct texts by language, then one scan that keeps per_language texts of each (all, if it has fewer).
+
+    Texts are taken in the order of a hash, so a run can be repeated; equal texts of a language are one example. Null and empty
+    texts, null languages and texts of over sample_chars characters don't teach. At most per_language rows of MOST_LANGUAGES languages are collected."""
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     rows = docs.filter(teaches & lang.isNotNull() & text.isNotNull() & F.length(text).between(1, sample_chars)).select(text.alias("text"), lang.alias("lang"))
     # copies are taken or left together, so they count once; only hashes are shuffled
@@ -135,26 +139,23 @@ def learn(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: st
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not counts:
         return fit([], [])
-    spark = docs.sparkSession
-    rates = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in counts], "lang string, rate double")
-    place = (F.xxhash64("text").bitwiseAND((1 << 52) - 1) / float(1 << 52))
-    # a row for each language, MOST_LANGUAGES at most; equal texts are one example
-    sample = rows.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).select("text", "lang").distinct()
-    found = sorted((r["text"], r["lang"]) for r in sample.limit(3 * per_language * len(counts)).collect())
-    found = [f for k, f in sorted(enumerate(found), key=lambda x: (hash_of(x[1][0]), x[0]))]
-    return fit([t for t, _ in found], [lang for _, lang in found])
-
-
-def hash_of(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode())
+    # shares that hold per_language texts, but for odds of one in a billion
+    wanted = per_language + 6 * per_language**0.5 + 20
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, wanted / r["n"])) for r in counts], "lang string, rate double")
+    place = F.xxhash64("text").bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    # a row for each language, MOST_LANGUAGES at most
+    sample = rows.withColumn("place", place).join(F.broadcast(rates), "lang").filter("place < rate").select("text", "lang", "place").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    found = sorted((r["place"], r["text"], r["lang"]) for r in sample.withColumn("rank", rank).filter(F.col("rank") <= per_language).collect())
+    return fit([t for _, t, _ in found], [lang for _, _, lang in found])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of each row.
 
-    Null texts and texts without a letter: 'und', score 0, ambiguous. Null or repeated ids: a row each. Nothing learnt: 'und'."""
+    Null texts and texts without a letter: 'und', score 0, ambiguous. Null or repeated ids: a row each. Nothing learnt: 'und'.
+    Texts of any length are read whole. Ties go to the first language by name. Empty table: no rows. Other columns, whatever
+    their names, are ignored."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 * 2^16 bytes a bit, bounded by MOST_LANGUAGES
 
@@ -169,16 +170,15 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is told and isn't ambiguous."""
-    ship(docs.sparkSession)
+    """The rows of docs, all columns, whose language is told and isn't ambiguous. Nulls, ties and long texts as in predict(); no
+    column is added, so names can't clash. Repeated rows are kept or dropped together. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[list], np.ndarray]:
         model = shared.value
-        for rows in row_slices(batches):
-            yield rows.filter(pa.array([not model.predict(t)[2] for t in rows.column(text_col).to_pylist()], pa.bool_()))
+        return lambda texts: np.array([not model.predict(t)[2] for t in texts], bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_texts(docs, text_col, make)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from scorewright.llm.common import Scratch, row_slices, shuffle_parts, word_hashes
+from scorewright.llm.common import Scratch, by_place, row_slices, shuffle_parts, word_hashes
 
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -160,8 +161,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, s, b in zip(some, sketches, keys, strict=True):
             sig[k], band[k], name[k] = s.tobytes(), b, hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-            names=["doc_id", "text", "n_shingles", "class", "sketch", "bands"],
+            [*rows.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+            names=[*rows.schema.names, "n_shingles", "class", "sketch", "bands"],
         )
 
 
@@ -287,21 +288,13 @@ def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, label: str) ->
     return scratch.keep(dealt.mapInArrow(_verified, "a long, b long"), f"{label}-links")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
-
-    component_id is the least doc_id among the texts that links reach, kept says that it is the row's own. Null text or
-    one without words: no shingles, linked with nothing, its own component. Null doc_id: never a component's id while
-    the component has another; kept only if it has none. Repeated rows and ties share a component and are kept or dropped
-    together. Texts of any length are taken whole. Empty table: no rows. Other columns, whatever their names, are ignored.
-
-    What can be missed: a pair at the threshold shares no band with probability 5e-6, and a candidate whose likelihood
-    estimate lies DEVIATIONS standard deviations below the threshold isn't verified (under 1e-6 of pairs at the threshold).
-    Every link that is returned holds on full sets."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The written rows (doc_id, text, others, n_shingles, class, mid, ..) and, for each class, its component (a node) and component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = rows.mapInArrow(_sketch, "doc_id long, text string, n_shingles long, class binary, sketch binary, bands array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("others")] if others else []))
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("n_shingles long, class binary, sketch binary, bands array<long>").fields])
+    sketched = rows.mapInArrow(_sketch, schema)
     sketched = scratch.keep(sketched.withColumn("mid", F.monotonically_increasing_id()), "sketched")
     # equal sets are one class: a group of copies, however large, is one row from here on, named by a row of its own
     known = sketched.filter("class IS NOT NULL").withColumn("bytes", F.octet_length("text").cast("long"))
@@ -346,13 +339,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     named = classes.select("node", "class", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return sketched, scratch.keep(named.join(least, "component").select("class", "component", "component_id"), "ids")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+
+    component_id is the least doc_id among the texts that links reach, kept says that it is the row's own. Null text or
+    one without words: no shingles, linked with nothing, its own component. Null doc_id: never a component's id while
+    the component has another; kept only if it has none. Repeated rows and ties share a component and are kept or dropped
+    together. Texts of any length are taken whole. Empty table: no rows. Other columns, whatever their names, are ignored.
+
+    What can be missed: a pair at the threshold shares no band with probability 5e-6, and a candidate whose likelihood
+    estimate lies DEVIATIONS standard deviations below the threshold isn't verified (under 1e-6 of pairs at the threshold).
+    Every link that is returned holds on full sets."""
+    sketched, ids = _grouped(docs, id_col, text_col, [])
     # a class with many copies has its row on the small side
-    ids = scratch.keep(named.join(least, "component").select("class", "component_id"), "ids")
-    out = sketched.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
+    out = sketched.select("doc_id", "n_shingles", "class").join(ids.drop("component"), "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, with all columns of docs: that of the smallest id (a null id only if there is no other,
+    of repeated rows any one). Texts without words are linked with nothing, so their rows all stay. Rows that share an
+    id are told apart by their texts. Columns of any names pass through. Empty table: no rows."""
+    plain, (id_place, text_place) = by_place(docs, id_col, text_col)
+    others = [c for c in plain.columns if c != text_place]
+    sketched, ids = _grouped(plain, id_place, text_place, others)
+    rows = sketched.filter("class IS NOT NULL").select("mid", "doc_id", "class").join(ids.select("class", "component"), "class")
+    stays = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mid")).alias("first")).select(F.col("first.mid").alias("mid"))
+    kept = sketched.filter("class IS NOT NULL").join(stays, "mid", "left_semi").unionByName(sketched.filter("class IS NULL"))
+    return kept.select(*[F.col("text").cast(plain.schema[c].dataType) if c == text_place else F.col("others").getField(c) for c in plain.columns]).toDF(*docs.columns)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

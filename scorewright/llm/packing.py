@@ -218,7 +218,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
 
     Null text: the end id alone. Null or repeated doc_id: each row is a document of its own. Empty table: no pieces.
     A document of any length: whole sequences and a remainder. Ties: items of a length are ranked in the order they
-    were written, which any re-run of a lost task repeats, as it reads the written table."""
+    were written, which any re-run of a lost task repeats, as it reads the written table.
+    Other columns, whatever their names, are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     definition = read_definition(spark, tokenizer_path)

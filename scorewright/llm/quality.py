@@ -11,7 +11,7 @@ Learning is bounded: at most `per_class` labelled rows of each class, chosen by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import id_remainder, row_slices
+from scorewright.llm.common import id_remainder, keep_texts, row_slices
 from scorewright.shipping import ship
 
 LEVEL = 3
@@ -160,16 +160,14 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text scores at least the threshold. Nulls, ties and long texts as in score(); no column
     is added, so names can't clash. Repeated rows are kept or dropped together. Empty table: no rows."""
-    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[list], np.ndarray]:
         model = shared.value
         compressors = model.compressors()
-        for rows in row_slices(batches):
-            yield rows.filter(pa.array(model.score(rows.column(text_col).to_pylist(), compressors) >= threshold))
+        return lambda texts: model.score(texts, compressors) >= threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_texts(docs, text_col, make)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

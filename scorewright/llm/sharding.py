@@ -56,7 +56,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 20240229, id_col: str =
     Shard counts differ by one at most and the slots of a shard run from 0 without a gap. Equal texts are numbered
     like any other rows and may part. Null text: size 16, crc32 of no bytes. Null doc_id: numbered first. Repeated
     rows: each gets its own place (equal rows are interchangeable). Empty table: no rows. Only ids, sizes and
-    checksums are sorted, never texts."""
+    checksums are sorted, never texts.
+    Other columns, whatever their names, are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

@@ -27,7 +27,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, scratch: Scr
     """The written segments (SEGMENT_SCHEMA), (part, seq) in doc_id order; `first` counts the ids of the part before the segment.
 
     Null text: the end id alone. Null doc_id: sorts first. Repeated ids: each row is a document of its own, ordered by
-    text hash. Empty table: no segments. A text of any length lies whole in one segment."""
+    text hash. Empty table: no segments. A text of any length lies whole in one segment.
+    Other columns, whatever their names, are ignored."""
     definition = read_definition(docs.sparkSession, tokenizer_path)
     end = np.array([end_id], "<u4").tobytes()
 

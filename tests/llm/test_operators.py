@@ -70,8 +70,8 @@ def shingle_set(text):
     return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def components(items):
-    """Component id (least id that isn't null) of each row by comparing all pairs; rows with equal sets are one node."""
+def roots(items):
+    """The number of each row's group by comparing all pairs, and its set."""
     sets = [frozenset(shingle_set(t)) for _, t in items]
     parent = list(range(len(items)))
 
@@ -84,11 +84,17 @@ def components(items):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
+    return [find(i) for i in range(len(items))], sets
+
+
+def components(items):
+    """Component id (least id that isn't null) and set size of each row."""
+    group, sets = roots(items)
     least = {}
-    for i, (d, _) in enumerate(items):
+    for (d, _), g in zip(items, group, strict=True):
         if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return [(least.get(find(i)), len(sets[i])) for i in range(len(items))]
+            least[g] = min(d, least.get(g, d))
+    return [(least.get(g), len(s)) for g, s in zip(group, sets, strict=True)]
 
 
 def test_near_dedup(docs, empty):
