@@ -8,45 +8,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorewright.llm import language, packing, quality
 from scorewright.llm.common import Scratch
-from scorewright.llm.exact_dedup import digest, exact_dedup
-from scorewright.llm.near_dedup import near_dedup
+from scorewright.llm.exact_dedup import keep_first
+from scorewright.llm.near_dedup import keep_one
 
 #: SQL can express neither the learnt stages nor the packing.
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, learnt from all labels of these documents, scores at the threshold or above."""
+    """Documents that the compression classifier, learnt from all labels of these documents, scores at the threshold or above.
+
+    A null or empty text is scored like any text. Rows with a null id or without a label are scored, but don't teach. Without labels of
+    either kind all documents have one score. Ties: equal texts stay or go together. Columns of any names pass through. Empty table: no rows."""
     model, _ = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return quality.keep_good(docs, model)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told without ambiguity; texts without a letter go."""
+    """Documents whose language is told without ambiguity.
+
+    Null and empty texts, and texts without a letter, go. Rows with a null lang are judged, but don't teach; without any lang all go.
+    Ties between languages are ambiguous, so such documents go. Columns of any names pass through. Empty table: no rows."""
     return language.keep_known(docs, language.learn(docs, F.lit(True)))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that of the smallest doc_id, and one row of it if it is repeated."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha")).distinct()
-    marked = docs.withColumn("__sha", digest())
-    stays = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__sha") == F.col("kept_sha")), "left_semi")
-    copies = Window.partitionBy("doc_id", "__sha").orderBy(F.lit(0))
-    return stays.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1").select(docs.columns)
+    """One row of each group of equal texts: that of the smallest doc_id, and one row of it if it is repeated.
+
+    A null text is the empty text; a null doc_id stays only if its group has no other. Rows that share a doc_id but not the text are
+    documents of their own. Texts of any length are hashed whole. Columns of any names pass through. Empty table: no rows."""
+    return keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near copies, that of the smallest doc_id, and one row of it if it is repeated.
+
+    Texts without words stay. A null doc_id stays only if its group has no other. Rows that share a doc_id are told apart by their
+    texts. Texts of any length are compared whole. Columns of any names pass through. Empty table: no rows."""
+    return keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens (the columns of the packing query).
+
+    A null or empty text is its end id alone. Null or repeated doc_ids: each row is a document. Documents of any length are cut
+    into whole sequences and a rest; equal lengths are ranked in the order they were written. Other columns are ignored. Empty table: no rows."""
     import public_tokenizers
 
     return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0))
