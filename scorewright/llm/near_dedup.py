@@ -35,6 +35,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 DEVIATIONS = 5.0
 #: Members of a bucket or of a leader that meet in one task.
 TILE = 256
+#: Deals of a component's classes when they get its id.
+SALTS = 32
 #: UTF-8 bytes of texts that meet in one tile, on average.
 TILE_BYTES = 8 << 20
 
@@ -337,9 +339,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, others: list[str]) ->
         if not second.isEmpty():
             found = components(links.unionByName(second), scratch, "second")
 
-    named = classes.select("node", "class", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return sketched, scratch.keep(named.join(least, "component").select("class", "component", "component_id"), "ids")
+    # a component of very many classes is dealt out too, so its one row goes along with each deal
+    linked = classes.select("node", "doc_id").join(found, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = scratch.keep(linked.join(least, ["component", "salt"]).select("node", "component", "component_id"), "named")
+    ids = classes.select("node", "class", "doc_id").join(named, "node", "left")
+    alone = F.col("component").isNull()
+    ids = ids.select("class", F.coalesce("component", "node").alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sketched, scratch.keep(ids, "ids")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
