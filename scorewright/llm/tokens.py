@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -17,8 +18,11 @@ from scorewright.llm.common import PieceCache, only
 
 #: Letters whose normal form, lower case and letter class are the same in every Unicode version, and the stops after them: a
 #: plain word and its stops are always pieces of their own.
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
 
+LITTLE = sys.byteorder == "little"
+
 
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in byte-level vocabularies: visible Latin-1 characters for themselves, the others from U+0100 on."""
@@ -31,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 def _packed(ids: list[int]) -> bytes:
     """Little-endian uint32."""
     found = array("I", ids)
-    if sys.byteorder == "big":
+    if not LITTLE:
         found.byteswap()
     return found.tobytes()
 
@@ -41,6 +45,28 @@ OWNER = "tokens"
 _encoders: dict[tuple[int, int], Encoder] = {}
 
 
+class _Words(PieceCache):
+    """Memo of stretches after a blank (or of all, where blanks are dropped): plain ASCII words, with or without stops, take the shortest way."""
+
+    def __init__(self, encoder: Encoder, prefix: str, make: Callable) -> None:
+        super().__init__(make, OWNER)
+        self.tokenize, self.stops_of, self.prefix, self.encoder = encoder.library.model.tokenize, encoder.stop_ids, prefix, encoder
+
+    def __missing__(self, piece):
+        value = self.old.get(piece)
+        if value is None:
+            text = piece if isinstance(piece, str) else piece.decode()
+            word = text.rstrip(STOPS)
+            if LITTLE and word.isascii() and word.isalpha() and self.encoder.plain:
+                value = array("I", [t.id for t in self.tokenize(self.prefix + (word.lower() if self.encoder.lower else word))]).tobytes()
+                if len(word) < len(text):
+                    value += self.stops_of(text[len(word) :])
+            else:
+                value = self.make(piece)
+        self.remember(piece, value)
+        return value
+
+
 class Encoder:
     """kind 'blank': a blank belongs to the word after it (byte-level vocabularies). kind 'drop': white space is dropped.
 
@@ -56,37 +82,39 @@ class Encoder:
         if not drops and self._ids("a b") != self._ids("a") + self._ids(" b"):
             raise ValueError("this vocabulary joins text across blanks")
         self.encode = self._encode_dropping if drops else self._encode_blanks
-        self.cache = PieceCache(self._bytes, OWNER)
-        self.after_blank = PieceCache(lambda word: self._bytes(" " + word), OWNER)
-        self.stops: dict[str, list[int]] = {}
+        self.stops: dict[str, bytes] = {}
+        self.plain = False
+        self.cache = _Words(self, "", self._bytes)
+        self.after_blank = _Words(self, "" if drops else _byte_letters()[32], lambda word: self._bytes(" " + word))
         self.letters, self.lower = _byte_letters(), self._ids("Ab") == self._ids("ab")
         probes = [b + w for b in ("", " ") for w in ("a", "the", "Nation", "éÇà", "Übergrößen", "señor", "zqxjkv", "Aa", "end.", "été,.", "a***", "no!?", "b$$$", "c-", "d`~", "f&@#", "g)]}", "h{[(", "i+=<>^|")]
-        self.plain = all(self._plain(PLAIN.fullmatch(p)) == self._ids(p) for p in probes)
+        self.plain = all(self._plain(PLAIN.fullmatch(p)) == _packed(self._ids(p)) for p in probes)
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _plain(self, match: re.Match) -> list[int]:
+    def _plain(self, match: re.Match) -> bytes:
         """Ids of one plain word straight from the library's merge model, as normalising and splitting leave it whole, and of its stops."""
         blank, word, stops = match.groups()
         word = word.lower() if self.lower else word
         word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         if blank and not self.drops:
             word = self.letters[32] + word
-        ids = [t.id for t in self.library.model.tokenize(word)]
-        if not stops:
-            return ids
+        found = _packed([t.id for t in self.library.model.tokenize(word)])
+        return found + self.stop_ids(stops) if stops else found
+
+    def stop_ids(self, stops: str) -> bytes:
+        """Ids of the stops after a word; the short runs are remembered, which are few."""
+        if len(stops) > 2:
+            return _packed(self._ids(stops))
         if stops not in self.stops:
-            known = self._ids(stops)
-            if len(stops) > 3:
-                return ids + known
-            self.stops[stops] = known
-        return ids + self.stops[stops]
+            self.stops[stops] = _packed(self._ids(stops))
+        return self.stops[stops]
 
     def _bytes(self, piece) -> bytes:
         text = piece.decode() if isinstance(piece, bytes) else piece
         if match := self.plain and PLAIN.fullmatch(text):
-            return _packed(self._plain(match))
+            return self._plain(match)
         return _packed(self._ids(text))
 
     def _encode_dropping(self, text: str) -> bytes:
