@@ -5,7 +5,7 @@ the histogram of item lengths (fewer than `capacity` numbers, whatever the data)
 program over patterns of lengths is solved by column generation: a dense revised simplex gives prices, a knapsack
 dynamic program finds the pattern of best price, until no pattern can improve the bound by more than `gap`. Patterns
 are used as often as their rounded-down values say; items left over are packed best-fit, by length and number; items of
-sequences that would stay loose are laid end to end and cut. Items are ranked within their length in parallel, and a small
+sequences that would stay emptier than `slack` are laid end to end and cut. Items are ranked within their length in parallel, and a small
 layout table turns length and rank into sequence and offset.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from scorewright.llm.common import Scratch, part_of, row_slices
 from scorewright.llm.tokens import encoder, read_definition
 
-#: A rounded sequence filled to this share is kept as it is.
-TIGHT = 0.995
+#: Default of pack()'s `slack`: the share of a sequence that may stay empty before its items are laid end to end and cut.
+SLACK = 0.005
 #: Pieces that are cut again are joined by broadcasting their places up to this many of them, and by a shuffle beyond.
 BROADCAST_CUTS = 200_000
 LAYOUT_SCHEMA = "length int, rank_from long, rank_to long, each int, sequence_from long, offset_from int, stream long"
@@ -147,7 +147,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, in
     return [found for kinds in by_room for found in kinds]
 
 
-def layout(histogram: dict[int, int], capacity: int, gap: float = 0.002) -> list[tuple]:
+def layout(histogram: dict[int, int], capacity: int, gap: float = 0.002, slack: float = SLACK) -> list[tuple]:
     """Rows of LAYOUT_SCHEMA: where the items of a length and a range of ranks lie.
 
     Rows with a null stream are patterns: `each` copies of the length lie side by side in every sequence. Rows with a
@@ -175,10 +175,10 @@ def layout(histogram: dict[int, int], capacity: int, gap: float = 0.002) -> list
         for pattern, amount in column_generation(lengths, demand, capacity, gap):
             named = Counter({int(lengths[i]): c for i, c in pattern.items()})
             uses = min([int(amount + 1e-6), *(left[x] // c for x, c in named.items())])
-            if uses > 0 and sum(x * c for x, c in named.items()) >= TIGHT * capacity:
+            if uses > 0 and sum(x * c for x, c in named.items()) >= (1 - slack) * capacity:
                 lay(named, uses)
         for packed, uses in best_fit(left, capacity):
-            if sum(x * c for x, c in packed.items()) >= TIGHT * capacity:
+            if sum(x * c for x, c in packed.items()) >= (1 - slack) * capacity:
                 lay(packed, uses)
         stream = 0
         for length, n in left.items():
@@ -213,9 +213,11 @@ class Packed:
         return self.slices().groupBy("sequence_id").agg(joined.alias("ids"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, gap: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Packed:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, gap: float = 0.002, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> Packed:
     """Pack all documents into sequences of at most `capacity` tokens.
 
+    `gap` is how near to its bound the linear program is solved, `slack` the share of a sequence that may stay empty: items of
+    looser ones are laid end to end and cut, as the contract lets ids be cut freely. Both hold alike at every size; slack 1 cuts nothing.
     Null text: the end id alone. Null or repeated doc_id: each row is a document of its own. Empty table: no pieces.
     A document of any length: whole sequences and a remainder. Ties: items of a length are ranked in the order they
     were written, which any re-run of a lost task repeats, as it reads the written table.
@@ -248,7 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
     items = pieces.select("mid", F.col("piece_length").alias("length"), part_of("mid").alias("part"))
     counts = scratch.keep(items.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
-    rows_of_layout = layout(histogram, capacity, gap)
+    rows_of_layout = layout(histogram, capacity, gap, slack)
     where = spark.createDataFrame(rows_of_layout, LAYOUT_SCHEMA)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     number = F.row_number().over(Window.partitionBy("length", "part").orderBy("mid")) - 1
