@@ -20,7 +20,7 @@ def quantile_cuts(df: DataFrame, col: str, bins: int) -> list[float]:
     """Distinct quantiles at 1/n, .., (n-1)/n, with linear interpolation, without the ends that would leave a bin empty."""
     grid = [i / bins for i in range(1, bins)]
     row = df.agg(F.percentile(F.col(col).cast("double"), grid).alias("q"), F.max(F.col(col).cast("double")).alias("top")).first()
-    return sorted({q for q in row["q"] or []})
+    return sorted({q for q in row["q"] or [] if q < row["top"]})
 
 
 def width_cuts(df: DataFrame, col: str, bins: int) -> list[float]:

@@ -109,15 +109,15 @@ def regression_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
 
 
 def histogram_by_label(df: DataFrame, col: str, label: str, bins: int = 50, category: bool = False) -> DataFrame:
-    """label, bin (text), share: the distribution of a column within each label, to be drawn side by side.
+    """label, bin (text), share: the distribution of a column within each label, to be drawn side by side. Shares are of the label's
+    rows with a value, so they sum to 1.
 
     Numbers: the range runs from the least max(p25 - 3 IQR, min) to the largest min(p75 + 3 IQR, max) over labels; with
     fewer distinct values than bins the values themselves are the bins, with one beyond either end."""
     x = F.col(col)
     if category:
         counts = df.filter(x.isNotNull()).groupBy(F.col(label).alias("label"), x.cast("string").alias("bin")).agg(F.count("*").alias("n"))
-        sizes = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("size"))
-        return counts.join(sizes, "label").select("label", "bin", (F.col("n") / F.col("size")).alias("share"))
+        return counts.select("label", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("label"))).alias("share"))
     x = x.cast("double")
     by = df.groupBy(label).agg(F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"))
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))

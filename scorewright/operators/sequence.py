@@ -12,8 +12,21 @@ def correlation(df: DataFrame, entity: list[str], x: str, y: str) -> DataFrame:
 
 
 def linear_fit(df: DataFrame, entity: list[str], x: str, y: str) -> DataFrame:
-    """Slope (rega_) and intercept (regb_) of y over x."""
-    return df.groupBy(*entity).agg(F.regr_slope(y, x).alias(f"rega_{y}"), F.regr_intercept(y, x).alias(f"regb_{y}"))
+    """Slope (rega_x_y) and intercept (regb_x_y) of y over x."""
+    return df.groupBy(*entity).agg(*_fit(x, y))
+
+
+def _fit(x: str, y: str) -> list[Column]:
+    return [F.regr_slope(y, x).alias(f"rega_{x}_{y}"), F.regr_intercept(y, x).alias(f"regb_{x}_{y}")]
+
+
+def sequence_features(df: DataFrame, entity: list[str], order: list[str | Column], correlations: list[tuple[str, str]] = (), fits: list[tuple[str, str]] = (), changes: list[str] = ()) -> DataFrame:
+    """Correlations, linear fits and mean changes of several pairs and columns in one aggregation over one shuffle:
+    rows are dealt and sorted by entity for the lags, and the aggregation keeps that partitioning."""
+    before = Window.partitionBy(*entity).orderBy(*order)
+    rows = df.withColumns({f"__change_{c}": F.col(c) - F.lag(c).over(before) for c in changes}) if changes else df
+    columns = [F.corr(x, y).alias(f"corr_{x}_{y}") for x, y in correlations] + [c for x, y in fits for c in _fit(x, y)]
+    return rows.groupBy(*entity).agg(*columns, *[F.avg(f"__change_{c}").alias(f"change_{c}") for c in changes])
 
 
 def average_change(df: DataFrame, entity: list[str], order: list[str | Column], col: str) -> DataFrame:

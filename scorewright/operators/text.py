@@ -23,14 +23,24 @@ def vocabulary(words: DataFrame, word: str = "word", order: str = "line_no") ->
 
 def number_rows(df: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of a numeric column without ties, in two levels: ranges at approximate quantiles, then places within a range."""
-    marks = sorted(set(df.agg(F.percentile_approx(F.col(order), [i / 64 for i in range(1, 64)], 10_000).alias("q")).first()["q"] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, marks)) if marks else F.array().cast("array<double>"), lambda c: c < F.col(order)))
-    rows = df.withColumn("__part", part)
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows
-    sizes = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    rows = _ranges(df, order)
+    before = _before(rows.groupBy("__part").agg(F.count("*").alias("__size")))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1 + F.col("__before") + start
-    return rows.join(F.broadcast(sizes), "__part").withColumn(out, place.cast("long")).drop("__part", "__before")
+    return rows.join(F.broadcast(before), "__part").withColumn(out, place.cast("long")).drop("__part", "__before")
+
+
+def _ranges(df: DataFrame, order: str) -> DataFrame:
+    """df with __part, the number of its range: as many ranges as shuffle partitions, 64 to 1,000."""
+    n = min(1000, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    marks = sorted(set(df.agg(F.percentile_approx(F.col(order), [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, marks)) if marks else F.array().cast("array<double>"), lambda c: c < F.col(order)))
+    return df.withColumn("__part", part)
+
+
+def _before(sizes: DataFrame) -> DataFrame:
+    """__part and __before, the sum of __size over the ranges before; a row for each range, 1,000 at most."""
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
 
 
 def index_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, oov: int = 0) -> DataFrame:
@@ -51,9 +61,11 @@ def batches(df: DataFrame, length: str, size: int, ties: list[str]) -> DataFrame
     """df with batch_id: rows in order of length, `size` a batch, the last one takes the remainder; fewer rows than a batch are one.
 
     Ranks come from counts of lengths (a small table) and places within one length, so no task orders all rows."""
-    counts = df.groupBy(length).agg(F.count("*").alias("__n"))
-    every = Window.partitionBy(F.lit(0))  # one row for each distinct length
-    counts = counts.select(F.col(length).alias("__length"), (F.sum("__n").over(every.orderBy(length)) - F.col("__n")).alias("__before"), F.sum("__n").over(every).alias("__all"))
+    counts = _ranges(df.groupBy(length).agg(F.count("*").alias("__n")), length)
+    before = _before(counts.groupBy("__part").agg(F.sum("__n").alias("__size")))
+    total = F.broadcast(counts.agg(F.sum("__n").alias("__all")))  # one row
+    within = F.sum("__n").over(Window.partitionBy("__part").orderBy(length)) - F.col("__n")
+    counts = counts.join(F.broadcast(before), "__part").withColumn("__before", F.col("__before") + within).crossJoin(total).select(F.col(length).alias("__length"), "__before", "__all")
     place = F.row_number().over(Window.partitionBy(length).orderBy(*ties)) - 1
     rows = df.withColumn("__place", place).join(counts, F.col(length).eqNullSafe(F.col("__length")))
     last = F.greatest(F.floor(F.col("__all") / size) - 1, F.lit(0))
@@ -73,7 +85,8 @@ def shuffle_batches(df: DataFrame, batch: str, seed: int) -> DataFrame:
 
 def split(df: DataFrame, key: str, share: float = 0.7, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows by a hash of the key: the same row always falls on the same side."""
-    train = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    train = hashed < int(share * (1 << 32))
     return df.filter(train), df.filter(~train)
 
 

@@ -74,20 +74,27 @@ def expand_all(specs: list[FeatureSpec], entity: list[str], table: TableSpec | N
     return features
 
 
-def compute(df: DataFrame, specs: list[FeatureSpec], entity: list[str], table: TableSpec | None = None, window: str | None = None, split_distinct: bool = False) -> DataFrame:
-    """All features of the entities in one aggregation: one scan, one shuffle of partial aggregates.
+def compute(df: DataFrame, specs: list[FeatureSpec], entity: list[str], table: TableSpec | None = None, window: str | None = None) -> DataFrame:
+    """All features of the entities: one aggregation of partial sums, and one more for each object with distinct counts.
 
-    split_distinct computes distinct counts in an aggregation of their own, joined by entity: with many conditional distinct
-    counts Spark expands every row once for each of them, which the other features then need not go through."""
+    A conditional distinct count over an object is the number of its values that any row satisfies the condition with: rows are
+    grouped by entity and value with one flag for each condition, then the flags are added up. So no row is expanded, however
+    many conditions there are."""
     features = expand_all(specs, entity, table, window)
-    if not split_distinct or not any(lookup(f.function).distinct for f in features):
-        return df.groupBy(*entity).agg(*map(_column, features))
     plain = [f for f in features if not lookup(f.function).distinct]
-    distinct = [f for f in features if lookup(f.function).distinct]
-    right = df.groupBy(*[F.col(e).alias(f"__{e}") for e in entity]).agg(*map(_column, distinct))
-    left = df.groupBy(*entity).agg(*map(_column, plain)) if plain else df.select(*entity).distinct()
-    same = [F.col(e).eqNullSafe(F.col(f"__{e}")) for e in entity]
-    return left.join(right, same).select(*entity, *[f.alias for f in features])
+    out = df.groupBy(*entity).agg(*map(_column, plain)) if plain else df.select(*entity).distinct()
+    keys = [f"__{e}" for e in entity]
+    for obj in dict.fromkeys(f.object for f in features if lookup(f.function).distinct):
+        mine = [f for f in features if lookup(f.function).distinct and f.object == obj]
+        conditions = list(dict.fromkeys(p for f in mine for p in ([f.predicate, f.base_predicate] if lookup(f.function).ratio else [f.predicate])))
+        values = df.filter(F.col(obj).isNotNull()).groupBy(*[F.col(e).alias(k) for e, k in zip(entity, keys, strict=True)], F.col(obj).alias("__value"))
+        flags = values.agg(*[F.max(F.when(F.expr(p), 1).otherwise(0)).alias(f"__flag{k}") for k, p in enumerate(conditions)])
+        counts = flags.groupBy(*keys).agg(*[F.sum(f"__flag{k}").alias(f"__flag{k}") for k in range(len(conditions))])
+        found = {p: F.coalesce(F.col(f"__flag{k}"), F.lit(0).cast("long")) for k, p in enumerate(conditions)}
+        columns = [F.try_divide(found[f.predicate], found[f.base_predicate]) if lookup(f.function).ratio else found[f.predicate] for f in mine]
+        joined = out.join(counts, [F.col(e).eqNullSafe(F.col(k)) for e, k in zip(entity, keys, strict=True)], "left")
+        out = joined.select(*out.columns, *[c.alias(f.alias, metadata={"comment": f.comment}) for c, f in zip(columns, mine, strict=True)])
+    return out.select(*entity, *[f.alias for f in features])
 
 
 def _column(f: Feature):

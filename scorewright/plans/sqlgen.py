@@ -23,7 +23,7 @@ def _text(f: Feature, dialect: str) -> str:
 def table_ddl(spec: TableSpec) -> str:
     """CREATE TABLE with roles in the order entities, dimensions, extra, snapshot columns, then the window columns.
 
-    Partition columns are declared once, in their own clause. Field separators mean something in text files only, and
+    Partition columns are declared once, in their own clause. Field separators matter in text files only, and
     Spark refuses them elsewhere, so other formats go without."""
     partitions = {c[0] for c in spec.partitioned_by}
     columns = [c for role in (spec.entitys, spec.dimensions, spec.extra_col, spec.snapshot_col) for c in role if c[0] not in partitions]

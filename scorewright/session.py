@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC days and ANSI errors; adaptive plans re-deal skewed joins and merge small shuffle partitions.
 SETTINGS = {
@@ -21,3 +25,19 @@ def build(app: str = "scorewright", master: str | None = None, **more: str) -> S
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back: its lineage ends here and it is never computed again.
+
+    The cluster names the folder in spark.checkpoint.dir; only a local session without the setting gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+            folder = tempfile.mkdtemp(prefix="scorewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
