@@ -33,8 +33,8 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Candidates whose estimate is this many standard deviations below the threshold aren't verified.
 DEVIATIONS = 5.0
-#: Members of a bucket or of a leader that meet in one task.
-TILE = 256
+#: Members of a bucket that meet in one tile, and pairs of a leader that are decided beside one copy of its text.
+TILE, DEAL = 256, 64
 #: Deals of a component's classes when they get its id.
 SALTS = 32
 #: UTF-8 bytes of texts that meet in one tile, on average.
@@ -313,7 +313,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, others: list[str]) ->
     members = scratch.keep(buckets.drop("bytes").join(leaders, ["bucket", "band"]), "members")
     # the pairs of a leader are dealt out by its buckets' sizes, so no join below has a leader of many as one key
     first = members.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("members").alias("members"))
-    first = first.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / TILE)).alias("salt"))
+    first = first.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / DEAL)).alias("salt"))
     left = first.select("a", "salt").distinct().join(sketches.select(F.col("node").alias("a"), F.col("n").alias("left_n"), F.col("sketch").alias("left_sketch")), "a")
     right = first.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("right_n"), F.col("sketch").alias("right_sketch")), "b")
     first = scratch.keep(right.join(left, ["a", "salt"]).mapInArrow(_estimated, "a long, b long, salt long"), "first")
