@@ -132,7 +132,7 @@ def _slice_bytes(part) -> int:
 
 
 #: Bytes that one generation of a memo may hold, by a careful estimate of what an entry takes, and the longest piece it remembers.
-MEMO_BYTES = 40 << 20
+MEMO_BYTES = 96 << 20
 MEMO_PIECE = 64
 ENTRY_BYTES = 220
 
