@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,8 +14,9 @@ from scorewright.functions import expressions as X
 from scorewright.operators import binning, evaluate, models, neural, profile, relational, scorecard, sequence, text, trees
 from scorewright.plans import features, lineage, sqlgen
 from scorewright.plans.specs import FeatureSpec, TableSpec
-from scorewright.session import cut
+from scorewright.session import cut, shared_folder
 from scorewright.shipping import ship
+from scorewright.sources import readers, writers
 from scorewright.streaming.features import windowed_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,7 +500,11 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.closure(lineage.edges(spark, SCRIPT))
 
 
-@query("lineage_cypher")
+@query("lineage_cypher", f"""
+WITH e AS (SELECT * FROM ({_EDGES}) t(src, dst)), n AS (SELECT x, 'node_' || (row_number() OVER (ORDER BY x) - 1) AS k, chr(39) AS q FROM (SELECT src AS x FROM e UNION SELECT dst FROM e) t),
+a AS (SELECT string_agg('(' || k || ':table{{name:' || q || x || q || ',project_tag:' || q || 'demo' || q || '}})', ',' ORDER BY x) AS nodes FROM n),
+b AS (SELECT string_agg('(' || s.k || ')-[:to]->(' || d.k || ')', ',' ORDER BY src, dst) AS links FROM e JOIN n s ON s.x = src JOIN n d ON d.x = dst)
+SELECT 'create' || chr(10) || nodes || chr(10) || ',' || chr(10) || links || chr(10) || 'return ' || chr(39) || 'finished' || chr(39) AS cypher FROM a, b""")
 def lineage_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(lineage.cypher(lineage.edges(spark, SCRIPT), "demo"),)], "cypher string")
 
@@ -509,13 +515,101 @@ def lineage_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.without_tag(lineage.tagged(edges, "keep").unionByName(lineage.tagged(edges, "drop")), "drop")
 
 
-@query("table_ddl")
+_DDL = """VALUES ('events', 'create table d.events (
+user_id bigint comment {q}{q}
+, event_type string comment {q}{q}
+, value double comment {q}{q}
+, days_w1 int comment {q}{q}
+, days_w2 int comment {q}{q}
+)
+comment {q}{q}
+stored as parquet
+location
+{q}events{q}
+;
+'), ('snapshot', 'create table d.snapshot (
+user_id bigint comment {q}{q}
+, event_type string comment {q}{q}
+, value double comment {q}{q}
+, asof date comment {q}day of the snapshot{q}
+, days_w1 int comment {q}{q}
+, days_w2 int comment {q}{q}
+)
+comment {q}{q}
+partitioned by (
+dt string comment {q}day{q}
+)
+clustered by (user_id)
+into 8 buckets
+stored as parquet
+location
+{q}snapshot{q}
+;
+')""".format(q=2 * "'")
+
+
+@query("table_ddl", f"SELECT * FROM ({_DDL}) t(name, ddl)")
 def table_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of a flow table and of a snapshot table."""
     snapshot = replace(EVENTS, name="snapshot", snapshot_col=(("asof", "date", "day of the snapshot"),), partitioned_by=(("dt", "string", "day"),), clustered_by=("user_id",), bucket_num=8)
     return spark.createDataFrame([(t.name, sqlgen.table_ddl(t)) for t in (EVENTS, snapshot)], "name string, ddl string")
 
 
+# -- sources and sinks: each writes a whole table and reads it back -------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A headed CSV file, in order of its key, read with a schema."""
+    path = _folder(spark, "csv")
+    writers.write_submission(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), "p_partkey", path)
+    return readers.read_csv(spark, path, "p_partkey long, p_name string, p_size int, p_retailprice double")
+
+
+@query("csv_sample", "SELECT l_quantity, l_extendedprice, l_discount FROM lineitem")
+def csv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A modelling sample: its first two columns, and the fourth as the label; types are inferred."""
+    path = _folder(spark, "sample")
+    table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_orderkey", "l_discount").write.option("header", True).csv(path)
+    df, _, _ = readers.read_sample(spark, path, features=2, label=3)
+    return df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
+
+
+@query("phrases", "SELECT CAST(p_partkey AS VARCHAR) AS PhraseId, p_name || ' ' || p_brand AS Phrase FROM part")
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "phrases")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("PhraseId"), F.concat_ws("   ", "p_name", "p_brand").alias("Phrase"))
+    part.write.option("header", True).option("quote", "").csv(path, sep="\t")
+    return readers.read_phrases(spark, path)
+
+
+@query("word_vectors", "SELECT 'w' || vec_id AS word, CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "vectors")
+    table(spark, sf_dir, "embeddings").select(F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.array_join(F.col("embedding").cast("array<string>"), " "))).write.text(path)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rounded(readers.read_vectors(spark, path).select("word", F.size("vec").alias("dims"), total.alias("total")), 4)
+
+
+@query("tagged_tokens", "SELECT CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_brand END AS token, CASE pos WHEN 0 THEN 'key' ELSE 'brand' END AS tag FROM part, (VALUES (0), (1)) t(pos)")
+def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "tagged")
+    table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(" key\n"), "p_brand", F.lit(" brand\n"))).write.text(path)
+    return readers.read_tagged(spark, path).select("pos", "token", "tag")
+
+
+@query("stored_table", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the catalogue, made from a query and read by name."""
+    name = f"customers_{uuid.uuid4().hex}"
+    writers.create_table_as(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), name)
+    return readers.read_table(spark, name)
+
+
 # -- text -----------------------------------------------------------------------------------------------------------
 
 _VOCAB = "v AS (SELECT w AS word, row_number() OVER (ORDER BY w) + 1 AS idx FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) t)"

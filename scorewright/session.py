@@ -27,17 +27,22 @@ def build(app: str = "scorewright", master: str | None = None, **more: str) -> S
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back: its lineage ends here and it is never computed again.
-
-    The cluster names the folder in spark.checkpoint.dir; only a local session without the setting gets one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application. The cluster names its place in spark.checkpoint.dir; only a local session
+    without the setting gets one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="scorewright-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back: its lineage ends here and it is never computed again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
