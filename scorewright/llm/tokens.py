@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from scorewright.llm.common import PieceCache, only
+from scorewright.llm.common import ENTRY_BYTES, MEMO_PIECE, PieceCache, only
 
 #: Letters whose normal form, lower case and letter class are the same in every Unicode version, and the stops after them: a
 #: plain word and its stops are always pieces of their own.
@@ -50,20 +50,27 @@ class _Words(PieceCache):
 
     def __init__(self, encoder: Encoder, prefix: str, make: Callable) -> None:
         super().__init__(make, OWNER)
-        self.tokenize, self.stops_of, self.prefix, self.encoder = encoder.library.model.tokenize, encoder.stop_ids, prefix, encoder
+        self.tokenize, self.stops_of, self.prefix = encoder.library.model.tokenize, encoder.stop_ids, prefix
+        self.short, self.lower = False, False  # set when the encoder has been probed
 
     def __missing__(self, piece):
         value = self.old.get(piece)
         if value is None:
-            text = piece if isinstance(piece, str) else piece.decode()
+            text = piece if piece.__class__ is str else piece.decode()
             word = text.rstrip(STOPS)
-            if LITTLE and word.isascii() and word.isalpha() and self.encoder.plain:
-                value = array("I", [t.id for t in self.tokenize(self.prefix + (word.lower() if self.encoder.lower else word))]).tobytes()
+            if self.short and word.isascii() and word.isalpha():
+                value = array("I", [t.id for t in self.tokenize(self.prefix + (word.lower() if self.lower else word))]).tobytes()
                 if len(word) < len(text):
                     value += self.stops_of(text[len(word) :])
             else:
                 value = self.make(piece)
-        self.remember(piece, value)
+        size = len(piece)
+        if size <= MEMO_PIECE:  # as remember() does
+            if self.held >= self.size:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[piece] = value
+            self.held += ENTRY_BYTES + size + len(value)
         return value
 
 
@@ -88,7 +95,10 @@ class Encoder:
         self.after_blank = _Words(self, "" if drops else _byte_letters()[32], lambda word: self._bytes(" " + word))
         self.letters, self.lower = _byte_letters(), self._ids("Ab") == self._ids("ab")
         probes = [b + w for b in ("", " ") for w in ("a", "the", "Nation", "éÇà", "Übergrößen", "señor", "zqxjkv", "Aa", "end.", "été,.", "a***", "no!?", "b$$$", "c-", "d`~", "f&@#", "g)]}", "h{[(", "i+=<>^|")]
-        self.plain = all(self._plain(PLAIN.fullmatch(p)) == _packed(self._ids(p)) for p in probes)
+        plain = all(self._plain(PLAIN.fullmatch(p)) == _packed(self._ids(p)) for p in probes)
+        self.plain = plain
+        for memo in (self.cache, self.after_blank):
+            memo.short, memo.lower = plain and LITTLE, self.lower
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -128,7 +138,7 @@ class Encoder:
         for line in text.split("\n"):  # a line end beside another blank joins its run
             if not line or line[0] == " " or line[-1] == " ":
                 return self._encode_runs(text)
-        if not text.isprintable() and any(c.isspace() and c not in " \n" for c in set(text)):
+        if not text.replace("\n", "").isprintable() and any(c.isspace() and c not in " \n" for c in set(text)):
             return self._encode_runs(text)
         get = self.cache.__getitem__
         if "\n" not in text:
