@@ -394,8 +394,7 @@ def chimerge_num(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chimerge_cat")
 def chimerge_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = binning.chimerge_categories(_labelled(spark, sf_dir), "source", "quality", 4, rare=20)
-    return spark.createDataFrame(sorted(buckets.items()), "source string, bucket int")
+    return binning.chimerge_categories(_labelled(spark, sf_dir), "source", "quality", 4, rare=20)
 
 
 @query("feature_selection")
@@ -679,18 +678,41 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("vec_id", F.get("a", F.lit(0)).alias("first"), F.get("a", F.lit(63)).alias("last")))
 
 
-@query("viterbi")
+_TRANSITIONS = [[0.5, -0.5, 0, 0.1], [0, 0.2, -0.1, 0], [0.3, 0, 0.1, -0.2], [0, 0.1, 0, 0.4]]
+_RUN = 256  # ids of a sequence: the vectors of one label among them are its steps
+
+
+def _through(state: str, tag: int) -> str:
+    return f"[{', '.join(f'{state}[{k + 1}] + {x}' for k, x in enumerate(_TRANSITIONS[tag]))}]"
+
+
+@query("viterbi", f"""
+WITH RECURSIVE e AS (SELECT label, CAST(vec_id // {_RUN} AS BIGINT) AS run, row_number() OVER (PARTITION BY label, vec_id // {_RUN} ORDER BY vec_id) AS t,
+  [{", ".join(f"list_sum(CAST(embedding[{16 * k + 1}:{16 * k + 16}] AS DOUBLE[])) / 8" for k in range(4))}] AS e FROM embeddings),
+r AS (SELECT label, run, t, e AS s, e AS z, ['0', '1', '2', '3'] AS p FROM e WHERE t = 1
+  UNION ALL SELECT label, run, t, [{", ".join(f"list_max(s{k}) + e[{k + 1}]" for k in range(4))}],
+    [{", ".join(f"list_max(z{k}) + ln(list_sum(list_transform(z{k}, lambda x: exp(x - list_max(z{k}))))) + e[{k + 1}]" for k in range(4))}],
+    [{", ".join(f"p[list_position(s{k}, list_max(s{k}))] || '{k}'" for k in range(4))}]
+  FROM (SELECT r.label, r.run, e.t, e.e, p, {", ".join(f"{_through('s', k)} AS s{k}, {_through('z', k)} AS z{k}" for k in range(4))}
+    FROM r JOIN e ON r.label = e.label AND r.run = e.run AND e.t = r.t + 1) x)
+SELECT label, run, round(list_max(s), 6) AS score, p[list_position(s, list_max(s))] AS path, round(list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))), 6) AS log_z
+FROM r QUALIFY row_number() OVER (PARTITION BY label, run ORDER BY t DESC) = 1""")
 def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best tag paths over the vectors of each label; seeded weights make a whole vector the emissions of four tags."""
+    """Best tag paths over sequences of vectors; sums of four quarters of a vector are the emissions of four tags."""
     import numpy as np
 
     ship(spark)
-    transitions = np.array([[0.5, -0.5, 0, 0.1], [0, 0.2, -0.1, 0], [0.3, 0, 0.1, -0.2], [0, 0.1, 0, 0.4]])
-    weights = np.random.default_rng(3).normal(size=(4, 64)) / 8
-    step = neural.dense_udf([(weights, np.zeros(4))])("embedding")
-    emitted = table(spark, sf_dir, "embeddings").select("label", "vec_id", step.alias("e"))
-    rows = emitted.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "e"))), lambda p: p["e"]).alias("emissions"))
-    return rows.select("label", neural.viterbi_udf(transitions)("emissions").alias("best"), neural.log_partition_udf(transitions)("emissions").alias("log_z")).select("label", "best.score", "best.path", "log_z")
+    transitions = np.array(_TRANSITIONS)
+    step = neural.dense_udf([(np.kron(np.eye(4), np.ones(16)) / 8, np.zeros(4))])("embedding")
+    rows = _sequences(table(spark, sf_dir, "embeddings").select("label", "vec_id", step.alias("e")))
+    best = rows.select("label", "run", neural.viterbi_udf(transitions)("steps").alias("best"), neural.log_partition_udf(transitions)("steps").alias("log_z"))
+    return rounded(best.select("label", "run", "best.score", F.array_join("best.path", "").alias("path"), "log_z"))
+
+
+def _sequences(vectors: DataFrame) -> DataFrame:
+    """label, run, steps: vectors `e` in the order of their ids, 256 at most in a sequence."""
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "e"))), lambda p: p["e"])
+    return vectors.groupBy("label", F.floor(F.col("vec_id") / _RUN).alias("run")).agg(steps.alias("steps"))
 
 
 @query("log_sum_exp", "SELECT vec_id, round(ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))))), 6) AS lse, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS top FROM embeddings")
@@ -701,17 +723,16 @@ def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recurrent")
 def recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last step of a bidirectional GRU with seeded weights over each label's vectors, then dense layers."""
+    """Last step of a bidirectional GRU with seeded weights over sequences of vectors, then dense layers."""
     import numpy as np
 
     ship(spark)
     rng = np.random.default_rng(3)
     sides = [{"W": rng.normal(size=(24, 64)) / 8, "U": rng.normal(size=(24, 8)) / 4, "b": np.zeros(24), "c": np.zeros(24)} for _ in range(2)]
     net, head = neural.Recurrent("gru", 8, [sides]), [(rng.normal(size=(5, 16)), np.zeros(5))]
-    step = F.col("embedding").cast("array<double>")
-    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", step.alias("e")))), lambda p: p["e"]).alias("steps"))
-    encoded = rows.select("label", neural.encode_udf(lambda x: neural.dense(net.forward(x)[-1:], head))("steps").alias("out"))
-    return encoded.select("label", X.argmax(F.get("out", F.lit(0))).alias("best"))
+    rows = _sequences(table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e")))
+    encoded = rows.select("label", "run", neural.encode_udf(lambda x: neural.dense(net.forward(x)[-1:], head))("steps").alias("out"))
+    return encoded.select("label", "run", X.argmax(F.get("out", F.lit(0))).alias("best"))
 
 
 # -- models ---------------------------------------------------------------------------------------------------------

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorewright import jvm
-from scorewright.functions.expressions import edges, right_closed_bin
+from scorewright.functions.expressions import edges, null_if_nan, right_closed_bin
 from scorewright.operators.profile import merge_categories
+from scorewright.operators.ranges import marks, range_number
 
 #: Values below this many rows of a category join the merged category.
 RARE = 36
@@ -18,9 +21,33 @@ RARE = 36
 
 def quantile_cuts(df: DataFrame, col: str, bins: int) -> list[float]:
     """Distinct quantiles at 1/n, .., (n-1)/n, with linear interpolation, without the ends that would leave a bin empty."""
-    grid = [i / bins for i in range(1, bins)]
-    row = df.agg(F.percentile(F.col(col).cast("double"), grid).alias("q"), F.max(F.col(col).cast("double")).alias("top")).first()
-    return sorted({q for q in row["q"] or [] if q < row["top"]})
+    found, top = quantiles(df, col, [i / bins for i in range(1, bins)])
+    return sorted({q for q in found if q < top})
+
+
+def quantiles(df: DataFrame, col: str, shares: list[float]) -> tuple[list[float], float | None]:
+    """Exact quantiles with linear interpolation, and the largest value; without values, none and null. NaN counts as missing.
+
+    Two levels: rows are counted in ranges, then only the ranges that hold a wanted rank are ordered, value by value, so no task
+    gathers all distinct values. A value that many rows share is one row with its count."""
+    values = df.select(null_if_nan(F.col(col).cast("double"), "double").alias("x")).filter("x IS NOT NULL")
+    ranged = values.withColumn("part", range_number(F.col("x"), marks(values, F.col("x"))))
+    sizes = sorted(map(tuple, ranged.groupBy("part").agg(F.count("*"), F.max("x")).collect()))  # a row for each range
+    if not sizes:
+        return [], None
+    n, before, starts = sum(size for _, size, _ in sizes), 0, {}
+    places = [(n - 1) * s for s in shares]
+    wanted = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    for part, size, _ in sizes:
+        if any(before <= r < before + size for r in wanted):
+            starts[part] = before
+        before += size
+    counts = ranged.filter(F.col("part").isin(list(starts))).groupBy("part", "x").agg(F.count("*").alias("n"))
+    last = F.sum("n").over(Window.partitionBy("part").orderBy("x")) + F.create_map(*[F.lit(v) for item in starts.items() for v in item])[F.col("part")]
+    ranks = F.filter(F.array(*map(F.lit, wanted)), lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n")))
+    at = {r: row["x"] for row in counts.withColumn("last", last).withColumn("ranks", ranks).filter(F.size("ranks") > 0).select("x", "ranks").collect() for r in row["ranks"]}
+    ends = [(at[math.floor(p)], at[math.ceil(p)], p - math.floor(p)) for p in places]
+    return [a if a == b else (1 - f) * a + f * b for a, b, f in ends], sizes[-1][2]
 
 
 def width_cuts(df: DataFrame, col: str, bins: int) -> list[float]:
@@ -71,28 +98,60 @@ def crosstab(df: DataFrame, row: str, col: str, values: list | None = None) -> D
     return pivot.agg(F.count(F.lit(1))).na.fill(0)
 
 
+def _against(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """chi2 of the table of `one` and each of the others."""
+    row, rows, cols = one.sum(), others.sum(axis=1), one + others
+    total = np.zeros(len(others))
+    for observed, margin in ((one, row), (others, rows[:, None])):
+        expected = margin * cols / np.maximum(row + rows, 1e-300)[:, None]
+        gap = np.abs(observed - expected)
+        if len(one) == 2:
+            gap = gap - np.minimum(0.5, gap)
+        total += np.divide(gap * gap, expected, out=np.zeros_like(gap), where=expected > 0).sum(axis=1)
+    return total
+
+
 @dataclass
 class _Merging:
-    """Groups with their counts; neighbours (or, of categories, all pairs) with the least chi-square merge first."""
+    """Groups with their counts; neighbours (or, of categories, all pairs) with the least chi-square merge first, of equals the foremost.
+
+    Each group knows its best partner after it, so memory grows with the groups, not with their pairs."""
 
     groups: list
     counts: list[list[float]]
     adjacent: bool
 
     def run(self, bins: int | None, threshold: float) -> None:
-        known: dict[tuple[int, int], float] = {}
-        ids = list(range(len(self.groups)))
-        while len(self.groups) > 2:
-            pairs = [(i, i + 1) for i in range(len(ids) - 1)] if self.adjacent else [(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids))]
-            values = [known.setdefault((ids[i], ids[j]), chi2([self.counts[i], self.counts[j]])[0]) for i, j in pairs]
-            k = min(range(len(pairs)), key=values.__getitem__)
-            if len(self.groups) <= bins if bins else values[k] >= threshold:
-                return
-            i, j = pairs[k]
-            self.counts[i] = [a + b for a, b in zip(self.counts[i], self.counts[j], strict=True)]
+        counts, alive = np.array(self.counts, float), np.ones(len(self.groups), bool)
+        best, partner = np.full(len(counts), np.inf), np.full(len(counts), -1)
+
+        def look(i: int) -> None:
+            after = np.flatnonzero(alive[i + 1 :])[: 1 if self.adjacent else None] + i + 1
+            best[i], partner[i] = np.inf, -1
+            if len(after):
+                values = _against(counts[i], counts[after])
+                best[i], partner[i] = values.min(), after[values.argmin()]
+
+        for i in range(len(counts)):
+            look(i)
+        left = len(counts)
+        while left > 2 and not (left <= bins if bins else best.min() >= threshold):
+            i = int(best.argmin())
+            j = int(partner[i])
+            counts[i] += counts[j]
             self.groups[i] = self.groups[i] + self.groups[j]
-            ids[i] = max(ids) + 1
-            del self.groups[j], self.counts[j], ids[j]
+            alive[j], best[j], left = False, np.inf, left - 1
+            changed = alive & ((partner == i) | (partner == j))
+            changed[i] = True
+            if not self.adjacent:  # the merged group may be a better partner now
+                before = np.flatnonzero(alive[:i] & ~changed[:i])
+                if len(before):
+                    values = _against(counts[i], counts[before])
+                    nearer = (values < best[before]) | ((values == best[before]) & (i < partner[before]))
+                    best[before[nearer]], partner[before[nearer]] = values[nearer], i
+            for k in np.flatnonzero(changed):
+                look(int(k))
+        self.groups, self.counts = [g for g, on in zip(self.groups, alive, strict=True) if on], counts[alive].tolist()
 
 
 def _table(df: DataFrame, by: str, target: str) -> tuple[list, list[list[float]]]:
@@ -119,16 +178,18 @@ def chimerge(df: DataFrame, col: str, target: str, bins: int | None = None, conf
     return [cuts[max(group)] for group in merging.groups[:-1]]
 
 
-def chimerge_categories(df: DataFrame, col: str, target: str, bins: int | None = None, confidence: float | None = None, rare: int = RARE) -> dict[str, int]:
-    """Category to bucket after merging the pair of categories that differ least, over and over; rare categories start as one.
+def chimerge_categories(df: DataFrame, col: str, target: str, bins: int | None = None, confidence: float | None = None, rare: int = RARE, most: int = 20_000) -> DataFrame:
+    """col, bucket: each category's bucket after merging the pair of categories that differ least, over and over; rare categories start as one.
 
-    Categories with `rare` rows or more are at most rows / rare; over 2000 of them the all-pairs merge is refused."""
+    Only counts of categories with `rare` rows or more reach the driver; over `most` of them are an error, as the merge takes their number
+    squared in time. Rare categories stay in the table that comes out. Null is no category."""
     sizes = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
-    if sizes.filter(F.col("n") >= rare).limit(2001).count() > 2000:
-        raise ValueError("over 2000 categories: use a higher `rare`")
+    if sizes.filter(F.col("n") >= rare).limit(most + 1).count() > most:
+        raise ValueError(f"over {most} categories: use a higher `rare`")
     tag = "\0rare"  # no category is named so
     names, counts = _table(merge_categories(df.select(col, target), col, rare, tag), col, target)
-    small = [r["v"] for r in sizes.filter(F.col("n") < rare).sort("v").collect()] if tag in names else []
-    merging = _Merging([small if n == tag else [n] for n in names], counts, adjacent=False)
+    merging = _Merging([[name] for name in names], counts, adjacent=False)
     merging.run(bins, _threshold(df.sparkSession, len(counts[0]) if counts else 1, confidence))
-    return {name: k for k, group in enumerate(merging.groups) for name in group}
+    buckets = df.sparkSession.createDataFrame([(name, k) for k, group in enumerate(merging.groups) for name in group], "merged string, bucket int")
+    merged = F.when(F.col("n") < rare, F.lit(tag)).otherwise(F.col("v"))
+    return sizes.select("v", merged.alias("merged")).join(buckets, "merged").select(F.col("v").alias(col), "bucket")

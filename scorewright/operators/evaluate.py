@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of scores that are summed in parallel.
-RANGES = 64
+from scorewright.operators.binning import quantiles
+from scorewright.operators.ranges import marks, range_number
+from scorewright.session import cut
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
     """score, pos, neg for each distinct score, with a range number `part` (0: highest scores)."""
     counts = df.select(F.col(score).cast("double").alias("score"), F.col(label).alias("y")).filter("score IS NOT NULL AND y IS NOT NULL")
     counts = counts.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    cuts = counts.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000).alias("q")).first()["q"] or []
-    above = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c >= F.col("score")))
-    return counts.withColumn("part", above)
+    cuts = marks(counts, F.col("score"))
+    return counts.withColumn("part", len(cuts) - range_number(F.col("score"), cuts))
 
 
 def running(counts: DataFrame, columns: list[str], last: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def running(counts: DataFrame, columns: list[str], last: bool = False) -> DataFr
     w = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = counts.withColumns({f"c_{c}": F.sum(c).over(w) for c in columns})
     parts = counts.groupBy("part").agg(*[F.sum(c).alias(f"p_{c}") for c in columns])
-    every = Window.partitionBy(F.lit(0))  # RANGES rows at most
+    every = Window.partitionBy(F.lit(0))  # a row for each range
     before = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", *[F.coalesce(F.sum(f"p_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in columns], *[F.sum(f"p_{c}").over(every).alias(f"t_{c}") for c in columns])
     joined = within.join(F.broadcast(parts), "part")
@@ -79,15 +79,14 @@ def real_precision(tp: Column, fp: Column, pos: Column, neg: Column, ratio: floa
 def top_percent(df: DataFrame, score: str, label: str, ties: list[str]) -> DataFrame:
     """pct (1 to 100), n = int(pct * rows / 100), prec of the n highest scores (null for none). `ties` make the order total.
 
-    Rows get their rank by ranges in parallel; a prefix's positives are a sum over ranks, taken for all 100 in one pass."""
+    Rows are dealt by ranges of the whole order, ties included, so one score that many rows share is many ranges. The dealt rows are
+    written once: ranges and their sizes can't disagree. A prefix's positives are a sum over ranks, taken for all 100 in one pass."""
     rows = df.select(F.col(score).cast("double").alias("score"), (F.col(label) == 1).cast("int").alias("hit"), *ties).filter("score IS NOT NULL")
-    cuts = rows.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000).alias("q"), F.count("*").alias("n")).first()
-    n = cuts["n"]
-    marks = sorted(set(cuts["q"] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, marks)) if marks else F.array().cast("array<double>"), lambda c: c >= F.col("score")))
-    rows = rows.withColumn("part", part)
+    ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut(rows.repartitionByRange(ranges, F.desc("score"), *ties).withColumn("part", F.spark_partition_id()))
+    n = rows.count()
     sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     sizes = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), *ties)) + F.col("before")
     ranked = rows.join(F.broadcast(sizes), "part").select("hit", rank.alias("rank"))
@@ -119,10 +118,13 @@ def histogram_by_label(df: DataFrame, col: str, label: str, bins: int = 50, cate
         counts = df.filter(x.isNotNull()).groupBy(F.col(label).alias("label"), x.cast("string").alias("bin")).agg(F.count("*").alias("n"))
         return counts.select("label", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("label"))).alias("share"))
     x = x.cast("double")
-    by = df.groupBy(label).agg(F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"))
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    reach = by.crossJoin(F.broadcast(ends)).agg(F.min(F.greatest(F.expr("p25 - 3 * (p75 - p25)"), "lo")).alias("lo"), F.max(F.least(F.expr("p75 + 3 * (p75 - p25)"), "hi")).alias("hi")).first()
-    low, high = reach["lo"], reach["hi"]
+    reach = []
+    for (value,) in df.select(label).distinct().collect():  # labels are drawn side by side: a few
+        found, _ = quantiles(df.filter(F.col(label).eqNullSafe(F.lit(value))), col, [0.25, 0.75])
+        reach += [found] if found else []
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    low = min((max(a - 3 * (b - a), ends["lo"]) for a, b in reach), default=None)
+    high = max((min(b + 3 * (b - a), ends["hi"]) for a, b in reach), default=None)
     inside = df.filter(x.between(low, high)).select(x.alias("v")).distinct().limit(bins).count()
     if inside < bins:
         bin_ = F.when(x < low, F.lit(f"(-inf,{low})")).when(x > high, F.lit(f"({high},inf)")).otherwise(x.cast("string"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewright.functions.expressions import left_padded
+from scorewright.operators.ranges import marks, range_number
 
 
 def squeeze_blanks(text: Column) -> Column:
@@ -30,15 +31,12 @@ def number_rows(df: DataFrame, order: str, out: str, start: int = 0) -> DataFram
 
 
 def _ranges(df: DataFrame, order: str) -> DataFrame:
-    """df with __part, the number of its range: as many ranges as shuffle partitions, 64 to 1,000."""
-    n = min(1000, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    marks = sorted(set(df.agg(F.percentile_approx(F.col(order), [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, marks)) if marks else F.array().cast("array<double>"), lambda c: c < F.col(order)))
-    return df.withColumn("__part", part)
+    """df with __part, the number of its range."""
+    return df.withColumn("__part", range_number(F.col(order), marks(df, F.col(order))))
 
 
 def _before(sizes: DataFrame) -> DataFrame:
-    """__part and __before, the sum of __size over the ranges before; a row for each range, 1,000 at most."""
+    """__part and __before, the sum of __size over the ranges before; a row for each range."""
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
 
