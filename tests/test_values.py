@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scorewright import jvm
 from scorewright.functions.expressions import left_padded
 from scorewright.operators import binning, evaluate, neural, profile, scorecard, text
+from scorewright.operators.ranges import range_number
 from scorewright.plans import features
 from scorewright.plans.specs import FeatureSpec
 
@@ -116,9 +117,99 @@ def test_chimerge(spark):
     df = spark.createDataFrame([(float(i), int(i >= 60)) for i in range(100)], "x double, y int")
     assert binning.chimerge(df, "x", "y", 2) == [pytest.approx(59.4, abs=1)]
     cats = spark.createDataFrame([(c, y) for c, g in (("a", 30), ("b", 29), ("c", 5), ("d", 2)) for y in [1] * g + [0] * (40 - g)], "c string, y int")
-    found = binning.chimerge_categories(cats, "c", "y", 2)
+    found = dict(map(tuple, binning.chimerge_categories(cats, "c", "y", 2).collect()))
     assert found["a"] == found["b"] != found["c"] == found["d"]
-    assert binning.chimerge_categories(spark.createDataFrame([], "c string, y int"), "c", "y") == {}
+    assert binning.chimerge_categories(spark.createDataFrame([], "c string, y int"), "c", "y").collect() == []
+    rare = spark.createDataFrame([("a", 1)] * 40 + [("b", 0)] * 40 + [(f"r{k}", k % 2) for k in range(50)] + [(None, 1)] * 9, "c string, y int")
+    found = dict(map(tuple, binning.chimerge_categories(rare, "c", "y", 3).collect()))
+    assert len(found) == 52 and len({found[f"r{k}"] for k in range(50)}) == 1 and len(set(found.values())) == 3
+    with pytest.raises(ValueError):
+        binning.chimerge_categories(rare, "c", "y", 3, rare=1, most=51)
+
+
+def _merged(counts, adjacent, bins, threshold):
+    """All pairs looked at in every round."""
+    groups = [[k] for k in range(len(counts))]
+    counts = [list(c) for c in counts]
+    while len(groups) > 2:
+        pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, i + 2 if adjacent else len(groups)) if j < len(groups)]
+        value, i, j = min((binning.chi2([counts[i], counts[j]])[0], i, j) for i, j in pairs)
+        if len(groups) <= bins if bins else value >= threshold:
+            break
+        groups[i], counts[i] = groups[i] + groups.pop(j), [a + b for a, b in zip(counts[i], counts.pop(j), strict=True)]
+    return groups
+
+
+@pytest.mark.parametrize("adjacent", [True, False])
+@pytest.mark.parametrize("classes", [1, 2, 3])
+def test_merging_looks_at_all_pairs(adjacent, classes):
+    rng = np.random.default_rng(classes)
+    for bins, threshold in ((None, 3.84), (None, 1e9), (4, 0.0)):
+        counts = rng.integers(0, 997, (30, classes)).astype(float).tolist()
+        merging = binning._Merging([[k] for k in range(30)], [list(c) for c in counts], adjacent)
+        merging.run(bins, threshold)
+        if classes > 1:
+            assert merging.groups == _merged(counts, adjacent, bins, threshold)
+        assert sorted(k for g in merging.groups for k in g) == list(range(30))
+
+
+@pytest.mark.parametrize("values", [[], [2.5], [1.0, 2.0], [7.0] * 900 + list(range(300)), np.random.default_rng(2).normal(size=3000).tolist(), [0.0, -0.0, 1.0, 1.0]])
+def test_quantiles_are_exact(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    found, top = binning.quantiles(df, "x", shares)
+    assert found == pytest.approx(list(np.quantile(values, shares)) if values else []) and top == max(values, default=None)
+
+
+def test_quantiles_by_whole_numbers_and_texts(spark):
+    df = spark.createDataFrame([(k, str(k)) for k in range(11)], "n long, t string")
+    assert binning.quantiles(df, "n", [0.5]) == binning.quantiles(df, "t", [0.5]) == ([5.0], 10.0)
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 5, 63, 200])
+def test_range_numbers(spark, size):
+    cuts = sorted({float(x) for x in np.random.default_rng(size).integers(0, 500, size)})
+    points = [*cuts, -1.0, 501.0, *np.linspace(0, 500, 77).tolist()]
+    rows = spark.createDataFrame([(p,) for p in points], "x double").select("x", range_number(F.col("x"), cuts).alias("k")).collect()
+    assert all(r["k"] == sum(c < r["x"] for c in cuts) for r in rows)
+
+
+def test_top_percent_of_one_hot_score(spark):
+    """Two thirds of the rows have one score: only the tie column orders them."""
+    rows = [(k, 5.0 if k % 3 else float(k % 7), int(k * k % 11 < 4)) for k in range(900)] + [(901, None, 1)]
+    found = {r["pct"]: (r["n"], r["prec"]) for r in evaluate.top_percent(spark.createDataFrame(rows, "id int, s double, y int"), "s", "y", ["id"]).collect()}
+    order = [y for _, _, y in sorted(rows[:-1], key=lambda r: (-r[1], r[0]))]
+    assert {p: n for p, (n, _) in found.items()} == {p: p * 9 for p in range(1, 101)}
+    assert all(found[p][1] == pytest.approx(sum(order[: p * 9]) / (p * 9)) for p in found)
+    assert all(r["n"] == 0 and r["prec"] is None for r in evaluate.top_percent(spark.createDataFrame([], "id int, s double, y int"), "s", "y", ["id"]).collect())
+
+
+@pytest.mark.parametrize("kind", ["lstm", "gru"])
+def test_recurrent_step_by_step(kind):
+    rng, n = np.random.default_rng(8), 3
+    gates = n * (4 if kind == "lstm" else 3)
+    w = {"W": rng.normal(size=(gates, 5)), "U": rng.normal(size=(gates, n)), "b": rng.normal(size=gates), "c": rng.normal(size=gates) * (kind == "gru")}
+    x, h, c = rng.normal(size=(6, 5)), [0.0] * n, [0.0] * n
+
+    def gate(row, k, squash=lambda v: 1 / (1 + np.exp(-v))):
+        """Gate k of one unit: its part from the input, its part from the state."""
+        at = row + k * n
+        a, b = sum(w["W"][at, i] * step[i] for i in range(5)) + w["b"][at], sum(w["U"][at, i] * h[i] for i in range(n)) + w["c"][at]
+        return squash(a + b) if squash else (a, b)
+
+    out = []
+    for step in x:
+        new_h, new_c = [], []
+        for u in range(n):
+            if kind == "lstm":
+                new_c.append(gate(u, 1) * c[u] + gate(u, 0) * gate(u, 2, np.tanh))
+                new_h.append(gate(u, 3) * np.tanh(new_c[u]))
+            else:
+                a, b = gate(u, 2, None)
+                new_h.append((1 - gate(u, 1)) * np.tanh(a + gate(u, 0) * b) + gate(u, 1) * h[u])
+        h, c = new_h, new_c
+        out.append(h)
+    assert neural.Recurrent(kind, n, [[w]]).forward(x) == pytest.approx(np.array(out))
 
 
 def test_corr_filter_keeps_one_of_a_pair(spark):
