@@ -60,14 +60,16 @@ def clean_types(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 
 def feature_classes(df: DataFrame, threshold: int, subset: list[str] | None = None) -> DataFrame:
-    """col_name, n_distinct (null counts as a value), feature_class: 'cat' (text or number, at most threshold values), 'num' (number, more), 'res' (the rest)."""
+    """col_name, n_distinct (null counts as a value), feature_class: 'cat' (text or number, at most threshold values), 'num' (number, more), 'res' (the rest). An empty table has 0 values."""
     types, columns = dict(df.dtypes), subset or df.columns
-    row = df.agg(*[(F.countDistinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).cast("long").alias(c) for c in columns])
-    few = F.col("n_distinct") <= threshold
-    kinds = F.create_map(*[F.lit(x) for c in columns for x in (c, "string" if types[c] == "string" else "number" if types[c] in ("bigint", "double") else "other")])
-    kind = kinds[F.col("col_name")]
+    # values are grouped before they are counted, so no task holds a column's distinct values; adding 0 makes the two zeros one
+    plain = [(F.col(c) + F.lit(0).cast(types[c]) if types[c] in ("double", "float") else F.col(c)).cast("string").alias(c) for c in columns]
+    counts = df.select(*plain).unpivot([], columns, "col_name", "value").groupBy("col_name", "value").agg(F.lit(1).alias("one")).groupBy("col_name").agg(F.count("*").alias("n"))
+    kinds = [(c, "string" if types[c] == "string" else "number" if types[c] in ("bigint", "double") else "other") for c in columns]
+    every = df.sparkSession.createDataFrame(kinds, "col_name string, kind string").join(counts, "col_name", "left").select("col_name", "kind", F.coalesce("n", F.lit(0)).alias("n_distinct"))
+    few, kind = F.col("n_distinct") <= threshold, F.col("kind")
     named = F.when((kind != "other") & few, "cat").when(kind == "number", "num").otherwise("res")
-    return row.unpivot([], columns, "col_name", "n_distinct").withColumn("feature_class", named)
+    return every.select("col_name", "n_distinct", named.alias("feature_class"))
 
 
 def merge_categories(df: DataFrame, col: str, threshold: int, tag: str = "OTHER") -> DataFrame:

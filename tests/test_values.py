@@ -223,3 +223,12 @@ def test_profile_of_missing_columns(spark):
     assert profile.const_filter(df, 1.0).columns == ["a", "c"]
     assert dict(profile.clean_types(df).dtypes) == {"a": "double", "b": "string", "c": "double"}
     assert [r["c"] for r in profile.merge_categories(df, "c", 2).orderBy("a").collect()].count(None) == 1
+
+
+def test_feature_classes_of_odd_columns(spark):
+    rows = [(0.0, "a", True, 1), (-0.0, None, None, 2), (float("nan"), "a", True, 3), (None, "b", False, 3)]
+    schema = "x double, t string, flag boolean, n long"
+    found = {r[0]: (r[1], r[2]) for r in profile.feature_classes(spark.createDataFrame(rows, schema), 3).collect()}
+    assert found == {"x": (3, "cat"), "t": (3, "cat"), "flag": (3, "res"), "n": (3, "cat")}
+    assert profile.feature_classes(spark.createDataFrame(rows, schema), 2, ["n", "t"]).filter("col_name = 'n'").first()[1:] == (3, "num")
+    assert {r["n_distinct"] for r in profile.feature_classes(spark.createDataFrame([], schema), 3).collect()} == {0}
