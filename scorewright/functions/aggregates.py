@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-MEDIAN_ACCURACY = 1_000_000
 
 
 @dataclass(frozen=True)
 class FeatureFunction:
-    """column(x, y) builds the aggregate; spark and duckdb are templates over {x} and {y}."""
+    """column(x, y) builds the aggregate; spark and duckdb are templates over {x} and {y}. distinct and share mark functions that are no
+    partial sum: numbers of distinct values, and the value that `share` of all don't exceed."""
 
     name: str
     column: Callable[[Column, Column], Column]
@@ -25,6 +25,7 @@ class FeatureFunction:
     duckdb: str
     ratio: bool = False
     distinct: bool = False
+    share: float | None = None
 
 
 def _skew(x: Column, _: Column) -> Column:
@@ -38,15 +39,15 @@ _SKEW = "(avg(pow({x}, 3)) - 3 * avg({x}) * pow(stddev_pop({x}), 2) - pow(avg({x
 REGISTRY: dict[str, FeatureFunction] = {}
 
 
-def register(name: str, column: Callable, spark: str, duckdb: str | None = None, ratio: bool = False, distinct: bool = False) -> None:
+def register(name: str, column: Callable, spark: str, duckdb: str | None = None, ratio: bool = False, distinct: bool = False, share: float | None = None) -> None:
     """Add or replace a feature function for all later specs."""
-    REGISTRY[name.upper()] = FeatureFunction(name.upper(), column, spark, duckdb or spark, ratio, distinct)
+    REGISTRY[name.upper()] = FeatureFunction(name.upper(), column, spark, duckdb or spark, ratio, distinct, share)
 
 
 register("SUM", lambda x, y: F.sum(x), "sum({x})")
 register("AVG", lambda x, y: F.avg(x), "avg({x})")
 register("MAX", lambda x, y: F.max(x), "max({x})")
-register("MID", lambda x, y: F.percentile_approx(x, 0.5, MEDIAN_ACCURACY), f"percentile_approx({{x}}, 0.5, {MEDIAN_ACCURACY})", "quantile_disc({x}, 0.5)")
+register("MID", lambda x, y: F.percentile(x, 0.5), "percentile_disc(0.5) within group (order by {x})", "quantile_disc({x}, 0.5)", share=0.5)
 register("MIN", lambda x, y: F.min(x), "min({x})")
 register("STD", lambda x, y: F.stddev_pop(x), "stddev_pop({x})")
 register("COUNT", lambda x, y: F.count(x), "count({x})")

@@ -8,12 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorewright import jvm
-from scorewright.functions.expressions import edges, null_if_nan, right_closed_bin
+from scorewright.functions.expressions import edges, right_closed_bin
 from scorewright.operators.profile import merge_categories
-from scorewright.operators.ranges import marks, range_number
+from scorewright.operators.selection import column_quantiles
 
 #: Values below this many rows of a category join the merged category.
 RARE = 36
@@ -21,33 +20,19 @@ RARE = 36
 
 def quantile_cuts(df: DataFrame, col: str, bins: int) -> list[float]:
     """Distinct quantiles at 1/n, .., (n-1)/n, with linear interpolation, without the ends that would leave a bin empty."""
-    found, top = quantiles(df, col, [i / bins for i in range(1, bins)])
-    return sorted({q for q in found if q < top})
+    return all_quantile_cuts(df, [col], bins)[col]
+
+
+def all_quantile_cuts(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
+    """quantile_cuts of many columns, from the same few jobs."""
+    found = column_quantiles(df, columns, [i / bins for i in range(1, bins)] + [1.0])
+    return {c: sorted({q for q in found[None, c][:-1] if q < found[None, c][-1]}) if (None, c) in found else [] for c in columns}
 
 
 def quantiles(df: DataFrame, col: str, shares: list[float]) -> tuple[list[float], float | None]:
-    """Exact quantiles with linear interpolation, and the largest value; without values, none and null. NaN counts as missing.
-
-    Two levels: rows are counted in ranges, then only the ranges that hold a wanted rank are ordered, value by value, so no task
-    gathers all distinct values. A value that many rows share is one row with its count."""
-    values = df.select(null_if_nan(F.col(col).cast("double"), "double").alias("x")).filter("x IS NOT NULL")
-    ranged = values.withColumn("part", range_number(F.col("x"), marks(values, F.col("x"))))
-    sizes = sorted(map(tuple, ranged.groupBy("part").agg(F.count("*"), F.max("x")).collect()))  # a row for each range
-    if not sizes:
-        return [], None
-    n, before, starts = sum(size for _, size, _ in sizes), 0, {}
-    places = [(n - 1) * s for s in shares]
-    wanted = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    for part, size, _ in sizes:
-        if any(before <= r < before + size for r in wanted):
-            starts[part] = before
-        before += size
-    counts = ranged.filter(F.col("part").isin(list(starts))).groupBy("part", "x").agg(F.count("*").alias("n"))
-    last = F.sum("n").over(Window.partitionBy("part").orderBy("x")) + F.create_map(*[F.lit(v) for item in starts.items() for v in item])[F.col("part")]
-    ranks = F.filter(F.array(*map(F.lit, wanted)), lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n")))
-    at = {r: row["x"] for row in counts.withColumn("last", last).withColumn("ranks", ranks).filter(F.size("ranks") > 0).select("x", "ranks").collect() for r in row["ranks"]}
-    ends = [(at[math.floor(p)], at[math.ceil(p)], p - math.floor(p)) for p in places]
-    return [a if a == b else (1 - f) * a + f * b for a, b, f in ends], sizes[-1][2]
+    """Exact quantiles with linear interpolation, and the largest value; without values, none and null. NaN counts as missing."""
+    found = column_quantiles(df, [col], [*shares, 1.0]).get((None, col))
+    return (found[:-1], found[-1]) if found else ([], None)
 
 
 def width_cuts(df: DataFrame, col: str, bins: int) -> list[float]:

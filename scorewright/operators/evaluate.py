@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewright.operators.binning import quantiles
 from scorewright.operators.ranges import marks, range_number
+from scorewright.operators.selection import column_quantiles
 from scorewright.session import cut
 
 
@@ -118,10 +118,7 @@ def histogram_by_label(df: DataFrame, col: str, label: str, bins: int = 50, cate
         counts = df.filter(x.isNotNull()).groupBy(F.col(label).alias("label"), x.cast("string").alias("bin")).agg(F.count("*").alias("n"))
         return counts.select("label", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("label"))).alias("share"))
     x = x.cast("double")
-    reach = []
-    for (value,) in df.select(label).distinct().collect():  # labels are drawn side by side: a few
-        found, _ = quantiles(df.filter(F.col(label).eqNullSafe(F.lit(value))), col, [0.25, 0.75])
-        reach += [found] if found else []
+    reach = list(column_quantiles(df, [col], [0.25, 0.75], by=label).values())  # labels are drawn side by side: a few
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     low = min((max(a - 3 * (b - a), ends["lo"]) for a, b in reach), default=None)
     high = max((min(b + 3 * (b - a), ends["hi"]) for a, b in reach), default=None)

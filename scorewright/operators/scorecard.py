@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from scorewright import jvm
 from scorewright.functions.expressions import edges, right_closed_bin
-from scorewright.operators.binning import RARE, quantile_cuts
+from scorewright.operators.binning import RARE, all_quantile_cuts
 from scorewright.operators.profile import merge_categories
 
 
@@ -48,7 +48,7 @@ def psi(train: DataFrame, test: DataFrame, categories: list[str], numbers: list[
 
     Numbers are cut at the training deciles; categories' rare values are merged on either side by its own counts. Rates are
     (n + 1) / sum(n) of bins that either side has."""
-    cuts = {c: quantile_cuts(train, c, 10) for c in numbers}
+    cuts = all_quantile_cuts(train, numbers, 10)
 
     def side(df: DataFrame, name: str) -> DataFrame:
         df = reduce(lambda d, c: merge_categories(d, c, rare), categories, df.select(*categories, *numbers))
