@@ -11,12 +11,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import NumericType
 
 from scorewright.llm.common import BLANKS, Scratch, by_place, delete, shared_root, shuffle_parts
 
 #: A digest is hot if it holds over 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot digests whatever the data.
 HOT_SHARE = 500
+#: Batches, in ascending ids, that a table without an index is taken in.
+BATCHES = 4
 
 
 def digest(text_col: str = "text") -> Column:
@@ -63,24 +65,17 @@ class DigestIndex:
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Without an index (or with an empty one) the smallest doc_id of a group stays; a digest that the index already
-    holds keeps the id noted there, so the rows of the new batch go. group_size counts the rows of this batch. The
-    batch's new digests are appended to the index; a repeated run adds nothing. Without an index one is made for this call and dropped.
+    A digest that the index already holds keeps the id noted there, so the rows of the new batch go. group_size counts the rows of
+    docs. New digests are appended to the index; a repeated run adds nothing. Without an index one is made for this call and dropped, and
+    docs come in BATCHES batches in ascending ids (one, if ids aren't numbers; null ids come last), each anti-joined with those
+    before it, so the smallest doc_id of a group stays.
 
     Null text: the empty text. Null doc_id: never chosen while its group has another id; a group with null ids only
     keeps them all (keep_id null). Repeated rows: equal ids are one document, so all its rows are kept or dropped
     together. Texts of any length are hashed whole. Empty table: no rows. Other columns, whatever their names, are ignored."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
-    passing = index is None
-    index = index or DigestIndex(spark)
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
     known = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("sha")), "digests")
-    groups = scratch.keep(known.groupBy("sha").agg(F.min("doc_id").alias("batch_id"), F.count("*").alias("group_size")), "groups")
-    index.append(groups.withColumnRenamed("batch_id", "keep_id"))
-    held = index.rows().hint("merge")
-    groups = scratch.keep(groups.join(held, "sha").select("sha", "keep_id", "group_size"), "kept")
-    if passing:
-        index.drop()
+    groups = _groups(known, index, scratch)
     rows = known.count()
     hot = F.broadcast(groups.filter(F.col("group_size") > rows / HOT_SHARE))  # under HOT_SHARE rows by the filter itself
     cold = groups.filter(F.col("group_size") <= rows / HOT_SHARE)
@@ -89,21 +84,47 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with all columns of docs: that of the smallest id (a null id only if there is no
-    other, of repeated rows any one). Null text: the empty text. Columns of any names pass through. Empty table: no rows.
+def _groups(known: DataFrame, index: DigestIndex | None, scratch: Scratch) -> DataFrame:
+    """sha, keep_id (from the index) and group_size of each digest of the written rows doc_id, sha."""
+    passing = index is None
+    index = index or DigestIndex(scratch.spark)
+    sizes = scratch.keep(known.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("group_size")), "groups")
+    cuts = _cuts(known, BATCHES) if passing else []
+    if cuts:
+        number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))))
+        for k in range(len(cuts) + 1):
+            index.append(known.filter(number == k).groupBy("sha").agg(F.min("doc_id").alias("keep_id")))
+    else:
+        index.append(sizes.select("sha", F.col("least").alias("keep_id")))
+    groups = scratch.keep(sizes.join(index.rows().hint("merge"), "sha").select("sha", "keep_id", "group_size"), "kept")
+    if passing:
+        index.drop()
+    return groups
 
-    Rows are dealt by id and digest once, for the semi-join and for telling repeated rows apart."""
-    plain, (id_place, text_place) = by_place(docs, id_col, text_col)
 
-    def named(doc_id: Column, sha: Column) -> Column:
-        return F.concat_ws("/", sha, doc_id.cast("string")).alias("key")
+def _cuts(known: DataFrame, batches: int) -> list:
+    """Inner edges of batches of about equal numbers of ids; none for ids that aren't numbers."""
+    if not isinstance(known.schema["doc_id"].dataType, NumericType):
+        return []
+    found = known.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0]
+    return sorted(set(found or []))
+
 
-    kept = exact_dedup(plain, None, id_place, text_place).filter("kept").select(named(F.col("doc_id"), F.col("text_sha256"))).distinct()
-    marked = plain.select("*", named(F.col(id_place), F.lower(F.hex(digest(text_place)))))
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
-    stays = marked.join(kept, "key", "left_semi").withColumn("number", first).filter("number = 1")
-    return stays.select(plain.columns).toDF(*docs.columns)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+    """One row of each group of equal texts, with all columns of docs: that of the smallest id (a null id only if there is no
+    other, of repeated rows any one); none of a group that a given index knows by another id. Null text: the empty text. Texts of any
+    length are hashed whole. Columns of any names pass through. Empty table: no rows.
+
+    Rows are written once, with numbers. The row of each digest is the least in partial minima, so neither a row that is repeated very often nor
+    its text is gathered anywhere, and it stays if its id is the one that the index holds."""
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    plain, (id_place, text_place) = by_place(docs, id_col, text_col)
+    numbered = scratch.keep(plain.select("*", digest(text_place).alias("sha"), F.monotonically_increasing_id().alias("number")), "numbered")
+    rows = numbered.select(F.col(id_place).alias("doc_id"), "sha", "number")
+    first = rows.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")).alias("row"))
+    groups = _groups(rows.drop("number"), index, scratch)
+    stays = first.join(groups, "sha").filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).select("row.number")
+    return numbered.join(stays, "number", "left_semi").select(plain.columns).toDF(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

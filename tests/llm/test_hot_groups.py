@@ -19,13 +19,36 @@ def test_language_with_mostly_copies_is_learnt(spark, monkeypatch):
     assert model.predict("le chat est avec la chaise")[0] == "fr"
 
 
-def test_first_batch_is_anti_joined(spark, sf_dir, monkeypatch):
+def test_later_batches_lose_rows_to_the_index(spark, sf_dir, monkeypatch):
+    """Each batch is anti-joined with the digests of those before it; what it loses are copies of their rows."""
     exact_dedup = pytest.importorskip("scorewright.llm.exact_dedup")
-    frame, kinds = type(spark.range(1)), []
-    join = frame.join
-    monkeypatch.setattr(frame, "join", lambda self, other, on=None, how=None: kinds.append(how) or join(self, other, on, how))
+    offered, held, append = [], [], exact_dedup.DigestIndex.append
+
+    def counted(self, groups):
+        offered.append({bytes(r["sha"]) for r in groups.collect()})
+        append(self, groups)
+        held.append({bytes(r["sha"]): r["keep_id"] for r in self.rows().collect()})
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", counted)
+    docs = spark.createDataFrame([(k, f"text {k % 40}") for k in range(200)] + [(None, "text 3"), (None, "null only")], "doc_id long, text string")
+    found = exact_dedup.exact_dedup(docs).collect()
+    assert len(offered) == exact_dedup.BATCHES and len(offered[0]) == 40
+    for k in range(1, exact_dedup.BATCHES):
+        assert set(held[k - 1]) & offered[k] and set(held[k]) == set(held[k - 1]) | offered[k]
+        assert {s: held[k][s] for s in held[k - 1]} == held[k - 1]
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found) == Counter([(k, k % 40, 6 if k % 40 == 3 else 5, k < 40) for k in range(200)] + [(None, 3, 6, False), (None, None, 1, True)])
     assert exact_dedup.op4(spark, sf_dir).count() == pq.read_metadata(f"{sf_dir}/documents.parquet").num_rows
-    assert "left_anti" in kinds
+
+
+def test_keep_first_of_a_row_repeated_very_often(spark):
+    exact_dedup = pytest.importorskip("scorewright.llm.exact_dedup")
+    docs = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.lit(None)).cast("long").alias("doc_id"), F.concat(F.lit("same  "), F.repeat(F.lit("text "), 200)).alias("text"), F.lit(1).alias("number"), F.lit("s").alias("sha"))
+    kept = exact_dedup.keep_first(docs).collect()
+    assert [(r["doc_id"], r["number"], r["sha"]) for r in kept] == [(5, 1, "s")]
+    index = exact_dedup.DigestIndex(spark)
+    assert exact_dedup.keep_first(docs.filter("doc_id = 5"), index=index).count() == 1
+    assert exact_dedup.keep_first(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(4).cast("long")), index=index).count() == 0
+    index.drop()
 
 
 def test_best_fit_of_many_leftovers():
