@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewright.llm.common import Scratch, offsets, part_of, row_of, row_slices
+from scorewright.llm.common import Scratch, offsets, part_of, row_of, row_slices, shuffle_parts
 from scorewright.llm.lm_scoring import ASK_SCHEMA, LEAST_SHARDS, _messages, _mix, _planes, _totals, _unplanes, exchange
 
 #: UTF-8 bytes of text after which a block is closed; all blocks of a task are closed when they hold HELD_BLOCKS times as much.
@@ -276,11 +276,18 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     if best is not None:  # the best of each deal first, so that no task orders all phrases of a language
         deal = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALS))).orderBy(*order)
-        found = found.withColumn("rank", F.row_number().over(deal)).filter(F.col("rank") <= best)
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+        found = found.withColumn("place", F.row_number().over(deal)).filter(F.col("place") <= best).drop("place")
+    ranges = found.repartitionByRange(shuffle_parts(docs.sparkSession), "lang", *order).withColumn("part", F.spark_partition_id())
+    ranges = scratch.keep(ranges, "ranges")
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a language
+    starts = ranges.groupBy("lang", "part").agg(F.count("*").alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
     if best is not None:
-        found = found.filter(F.col("rank") <= best)
-    return found.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+        starts = starts.filter(F.col("start") < best)
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    ranked = ranges.join(starts.select("lang", "part", "start"), ["lang", "part"]).withColumn("rank", F.col("start") + place)
+    if best is not None:
+        ranked = ranked.filter(F.col("rank") <= best)
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
