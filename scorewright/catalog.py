@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scorewright import jvm
 from scorewright.functions import expressions as X
-from scorewright.operators import binning, boosting, evaluate, models, neural, profile, relational, scorecard, sequence, text, trees
+from scorewright.operators import binning, boosting, evaluate, models, neural, profile, relational, scorecard, sequence, text, training, trees
 from scorewright.plans import features, lineage, sqlgen
 from scorewright.plans.specs import FeatureSpec, TableSpec
 from scorewright.session import cut, shared_folder
@@ -721,6 +721,52 @@ def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", X.log_sum_exp(x).alias("lse"), X.argmax(x).alias("top")))
 
 
+@query("crf_loss", f"""
+WITH RECURSIVE e AS (SELECT label, CAST(vec_id // {_RUN} AS BIGINT) AS run, CAST(vec_id % 4 AS INTEGER) AS tag, row_number() OVER (PARTITION BY label, vec_id // {_RUN} ORDER BY vec_id) AS t,
+  [{", ".join(f"list_sum(CAST(embedding[{16 * k + 1}:{16 * k + 16}] AS DOUBLE[])) / 8" for k in range(4))}] AS e FROM embeddings),
+m AS (SELECT {_TRANSITIONS}::DOUBLE[][] AS m),
+r AS (SELECT label, run, t, tag, e AS z, e[tag + 1] AS gold FROM e WHERE t = 1
+  UNION ALL SELECT label, run, t, tag, [{", ".join(f"list_max(z{k}) + ln(list_sum(list_transform(z{k}, lambda x: exp(x - list_max(z{k}))))) + e[{k + 1}]" for k in range(4))}], gold
+  FROM (SELECT r.label, r.run, e.t, e.tag, e.e, gold + e.e[e.tag + 1] + m.m[e.tag + 1][r.tag + 1] AS gold, {", ".join(f"{_through('z', k)} AS z{k}" for k in range(4))}
+    FROM r JOIN e ON r.label = e.label AND r.run = e.run AND e.t = r.t + 1 CROSS JOIN m) x)
+SELECT label, run, round(list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) - gold, 5) AS loss FROM r QUALIFY row_number() OVER (PARTITION BY label, run ORDER BY t DESC) = 1""")
+def crf_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative log-likelihood of given tags (the ids' remainders by 4) over sequences of vectors, padded to batches."""
+    import numpy as np
+
+    weights = np.kron(np.eye(4), np.ones(16)) / 8
+    net = training.SequenceNet(64, 4, "crf", layers=0, two_way=False, parts={"out.W": weights, "out.b": np.zeros(4), "moves": np.array(_TRANSITIONS, float), "start": np.zeros(4), "stop": np.zeros(4)})
+    found = training.losses(net, _tagged(spark, sf_dir), "steps", "tags", ["label", "run"])
+    return rounded(found.select("label", "run", "loss"), 5)
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of vectors with the remainders of their ids as tags."""
+    e = F.struct(F.col("embedding").cast("array<double>").alias("e"), (F.col("vec_id") % 4).cast("int").alias("tag"))
+    rows = _sequences(table(spark, sf_dir, "embeddings").select("label", "vec_id", e.alias("e")))
+    return rows.select("label", "run", F.col("steps.e").alias("steps"), F.col("steps.tag").alias("tags"))
+
+
+@query("crf_curve")
+def crf_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning curve of a CRF over the tagged sequences, validated on every fifth run."""
+    rows = cut(_tagged(spark, sf_dir))
+    net = training.SequenceNet(64, 4, "crf", layers=0, two_way=False, forbidden=((0, 3),))
+    _, history = training.fit(net, rows.filter("run % 5 <> 1"), rows.filter("run % 5 = 1"), "steps", "tags", epochs=4, rate=0.05)
+    return rounded(spark.createDataFrame([(k, *h) for k, h in enumerate(history)], "epoch int, loss double, held_loss double, held_right double"))
+
+
+@query("recurrent_curve")
+def recurrent_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning curve of a GRU that tells a conversation's turns by role from the lengths of their words, one step a word."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    steps = F.transform(words, lambda w: F.array((F.length(w) / 10.0), F.when(w.rlike("[A-Z]"), 1.0).otherwise(0.0), F.when(w.rlike("[.,?]"), 1.0).otherwise(0.0)))
+    rows = cut(table(spark, sf_dir, "conversations").select("conv_id", steps.alias("steps"), (F.col("role") == "user").cast("int").alias("y")))
+    net = training.SequenceNet(3, 2, "class", "gru", hidden=6)
+    _, history = training.fit(net, rows.filter("conv_id % 5 <> 0"), rows.filter("conv_id % 5 = 0"), "steps", "y", epochs=3, batches=2, rate=0.05)
+    return rounded(spark.createDataFrame([(k, *h) for k, h in enumerate(history)], "epoch int, loss double, held_loss double, held_right double"))
+
+
 @query("recurrent")
 def recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last step of a bidirectional GRU with seeded weights over sequences of vectors, then dense layers."""
