@@ -28,8 +28,6 @@ SHARD_PAIRS = 1_500_000
 #: Places in a machine word of a bitmap, and candidates for AND that are tried at once.
 BITS = 32
 CANDIDATES = 1 << 21
-#: Ranges into which each language is dealt before its best phrases are chosen.
-DEALS = 64
 #: A-Z in lower case; what ends a piece becomes a byte that no UTF-8 text has.
 GAP = b"\xff"
 FOLD = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -274,9 +272,6 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     )
     found = twos.unionByName(threes)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    if best is not None:  # the best of each deal first, so that no task orders all phrases of a language
-        deal = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALS))).orderBy(*order)
-        found = found.withColumn("place", F.row_number().over(deal)).filter(F.col("place") <= best).drop("place")
     ranges = found.repartitionByRange(shuffle_parts(docs.sparkSession), "lang", *order).withColumn("part", F.spark_partition_id())
     ranges = scratch.keep(ranges, "ranges")
     before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a language
