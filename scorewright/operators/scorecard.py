@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from scorewright import jvm
 from scorewright.functions.expressions import edges, right_closed_bin
 from scorewright.operators.binning import RARE, all_quantile_cuts
+from scorewright.operators.matrices import complete_gram, pairwise
 from scorewright.operators.profile import merge_categories
 
 
@@ -63,14 +64,8 @@ def psi(train: DataFrame, test: DataFrame, categories: list[str], numbers: list[
 
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Uncentred sums of products of all pairs, in one aggregation; rows with a missing value are left out."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    clean = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    row = clean.agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"s{i}_{j}"] or 0.0
-    return out
+    """Uncentred sums of products of all pairs, in one scan; rows with a missing value are left out."""
+    return complete_gram(df, columns)
 
 
 def vif_of(matrix: np.ndarray) -> np.ndarray:
@@ -97,12 +92,8 @@ def vif_filter(df: DataFrame, columns: list[str], threshold: float = 10.0) -> li
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """x, y, r of all pairs x before y, pairwise complete, in one aggregation."""
-    pairs = list(combinations(columns, 2))
-    both = [(F.col(x).isNotNull() & F.col(y).isNotNull(), x, y) for x, y in pairs]
-    row = df.agg(*[F.corr(F.when(ok, F.col(x).cast("double")), F.when(ok, F.col(y).cast("double"))).alias(f"{k}") for k, (ok, x, y) in enumerate(both)])
-    named = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"{k}").alias("r")) for k, (x, y) in enumerate(pairs)])
-    return row.select(F.explode(named).alias("p")).select("p.x", "p.y", "p.r")
+    """x, y, r of all pairs x before y, pairwise complete, in one scan; null where a side is constant or no row has both."""
+    return pairwise(df, columns).select("x", "y", "r")
 
 
 def corr_filter(df: DataFrame, columns: list[str], threshold: float, iv: dict[str, float]) -> list[str]:

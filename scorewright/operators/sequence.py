@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewright.session import cut
+
 
 def correlation(df: DataFrame, entity: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*entity).agg(F.corr(x, y).alias(f"corr_{x}_{y}"))
@@ -21,18 +23,48 @@ def _fit(x: str, y: str) -> list[Column]:
 
 
 def sequence_features(df: DataFrame, entity: list[str], order: list[str | Column], correlations: list[tuple[str, str]] = (), fits: list[tuple[str, str]] = (), changes: list[str] = ()) -> DataFrame:
-    """Correlations, linear fits and mean changes of several pairs and columns in one aggregation over one shuffle:
-    rows are dealt and sorted by entity for the lags, and the aggregation keeps that partitioning."""
-    before = Window.partitionBy(*entity).orderBy(*order)
-    rows = df.withColumns({f"__change_{c}": F.col(c) - F.lag(c).over(before) for c in changes}) if changes else df
+    """Correlations, linear fits and mean changes of several pairs and columns: one aggregation of partial sums, and one order of the table for all changes."""
     columns = [F.corr(x, y).alias(f"corr_{x}_{y}") for x, y in correlations] + [c for x, y in fits for c in _fit(x, y)]
-    return rows.groupBy(*entity).agg(*columns, *[F.avg(f"__change_{c}").alias(f"change_{c}") for c in changes])
+    if not changes:
+        return df.groupBy(*entity).agg(*columns)
+    changed = average_changes(df, entity, order, changes)
+    if not columns:
+        return changed
+    keys = [f"__e{k}" for k in range(len(entity))]
+    found = df.groupBy(*[F.col(e).alias(k) for e, k in zip(entity, keys, strict=True)]).agg(*columns)
+    joined = changed.join(found, [F.col(e).eqNullSafe(F.col(k)) for e, k in zip(entity, keys, strict=True)])
+    return joined.select(*entity, *[c for c in found.columns if c not in keys], *[f"change_{c}" for c in changes])
 
 
 def average_change(df: DataFrame, entity: list[str], order: list[str | Column], col: str) -> DataFrame:
-    """Mean difference of neighbouring values in order. The lag is taken in an inner projection: no window may stand inside an aggregate."""
-    before = F.lag(col).over(Window.partitionBy(*entity).orderBy(*order))
-    return df.withColumn("__change", F.col(col) - before).groupBy(*entity).agg(F.avg("__change").alias(f"change_{col}"))
+    """Mean difference of neighbouring values in order; null without two neighbours that have a value."""
+    return average_changes(df, entity, order, [col])
+
+
+def average_changes(df: DataFrame, entity: list[str], order: list[str | Column], columns: list[str]) -> DataFrame:
+    """Mean differences of neighbouring values in order, of several columns from one order of the table.
+
+    The table is ordered by range of entity and order, so one busy entity is spread over many tasks. Each range sums its segment of an entity up
+    (first and last value, sum and number of steps between neighbours that both have a value); segments are then joined in order, with the step
+    from one's last value to the next one's first."""
+    named = [c for c in order if isinstance(c, str)]
+    rows = df.select(*dict.fromkeys([*entity, *named, *columns])) if len(named) == len(order) else df
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(ranges, *entity, *order).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy(*entity, "__range").orderBy(*order)
+    steps = dealt.withColumns({"__k": F.row_number().over(inside)} | {f"__d{i}": F.col(c).cast("double") - F.lag(F.col(c).cast("double")).over(inside) for i, c in enumerate(columns)})
+    parts = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        parts += [F.sum(f"__d{i}").alias(f"__s{i}"), F.count(f"__d{i}").alias(f"__n{i}"), F.min_by(x, "__k").alias(f"__f{i}"), F.max_by(x, "__k").alias(f"__l{i}")]
+    segments = steps.groupBy(*entity, "__range").agg(*parts)
+    across = Window.partitionBy(*entity).orderBy("__range")  # a row for each range that an entity lies in
+    segments = segments.withColumns({f"__g{i}": F.col(f"__f{i}") - F.lag(f"__l{i}").over(across) for i in range(len(columns))})
+    mean = [
+        F.try_divide(F.sum(F.coalesce(f"__s{i}", F.lit(0.0)) + F.coalesce(f"__g{i}", F.lit(0.0))), F.sum(F.col(f"__n{i}") + F.col(f"__g{i}").isNotNull().cast("int"))).alias(f"change_{c}")
+        for i, c in enumerate(columns)
+    ]
+    return segments.groupBy(*entity).agg(*mean)
 
 
 def window_columns(df: DataFrame, columns: list[str], event: Column, windows: dict[str, Column]) -> DataFrame:
