@@ -385,11 +385,41 @@ def ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scorecard.t_test(table(spark, sf_dir, "customer"), "c_acctbal", 4500.0))
 
 
-@query("chimerge_num")
+def _chimerge_sql(source: str, columns: list[str], target: str, bins: int, start: int = 100) -> str:
+    """Edges of columns of numbers against a target of 0 and 1: quantile bins, then a merge of the two neighbours that differ least, a round each."""
+    shares = ", ".join(f"{i / start!r}" for i in range(1, start))
+    stacked = " UNION ALL ".join(f"SELECT '{c}' AS col_name, CAST({c} AS DOUBLE) AS x, CAST({target} AS DOUBLE) AS y FROM ({source}) t" for c in columns)
+    a, b, c, d = "g[i][2]", "g[i][3]", "g[i + 1][2]", "g[i + 1][3]"
+    n = f"({a} + {b} + {c} + {d})"
+    cells = " + ".join(f"CASE WHEN ({row}) * ({col}) > 0 THEN 1 / (({row}) * ({col}) / {n}) ELSE 0 END" for row in (f"{a} + {b}", f"{c} + {d}") for col in (f"{a} + {c}", f"{b} + {d}"))
+    gap = f"abs({a} * {d} - {b} * {c}) / {n}"
+    return f"""WITH RECURSIVE v AS ({stacked}),
+q AS (SELECT col_name, list_sort(list_distinct(quantile_cont(x, [{shares}]))) AS cuts, max(x) AS top FROM v GROUP BY col_name),
+e AS (SELECT col_name, list_filter(cuts, lambda c: c < top) AS cuts FROM q),
+k AS (SELECT col_name, len(list_filter(cuts, lambda c: c < x)) AS bin, y, cuts FROM v JOIN e USING (col_name) WHERE x IS NOT NULL),
+f AS (SELECT col_name, bin, any_value(cuts) AS cuts, sum(1 - y) AS bad, sum(y) AS good FROM k GROUP BY col_name, bin),
+r AS (SELECT col_name, any_value(cuts) AS cuts, list([CAST(bin AS DOUBLE), bad, good] ORDER BY bin) AS g FROM f GROUP BY col_name
+  UNION ALL SELECT col_name, cuts, list_concat(list_concat(g[:place - 1], [[g[place + 1][1], g[place][2] + g[place + 1][2], g[place][3] + g[place + 1][3]]]), g[place + 2:])
+  FROM (SELECT *, list_position(w, list_min(w)) AS place FROM (SELECT *, list_transform(range(1, len(g)), lambda i: ({gap} - least(0.5, {gap})) * ({gap} - least(0.5, {gap})) * ({cells})) AS w FROM r WHERE len(g) > {bins}) x) y),
+z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY col_name ORDER BY len(g)) = 1)
+SELECT col_name, unnest(list_transform(g[:-2], lambda b: round(cuts[CAST(b[1] AS INTEGER) + 1], 6))) AS cut FROM z"""
+
+
+@query("chimerge_num", _chimerge_sql("SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)", ["n_chars"], "quality", 5))
 def chimerge_num(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _labelled(spark, sf_dir)
-    cuts = binning.chimerge(df, "n_chars", "quality", 5)
-    return binning.cut(df, "n_chars", "cust", cut_points=cuts)[0].groupBy("bin").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
+    return _merged_cuts(_labelled(spark, sf_dir), ["n_chars"], "quality", 5)
+
+
+@query("chimerge_all", _chimerge_sql("SELECT l_quantity, l_extendedprice, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y", 6))
+def chimerge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of numbers of a table in one call."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return _merged_cuts(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y", 6)
+
+
+def _merged_cuts(df: DataFrame, columns: list[str], target: str, bins: int) -> DataFrame:
+    found = binning.chimerge_columns(df, columns, target, bins)
+    return rounded(found.select("col_name", F.explode("cuts").alias("cut")))
 
 
 @query("chimerge_cat")

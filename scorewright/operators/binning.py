@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from scorewright import jvm
 from scorewright.functions.expressions import edges, right_closed_bin
 from scorewright.operators.profile import merge_categories
 from scorewright.operators.selection import column_quantiles
+from scorewright.shipping import ship
 
 #: Values below this many rows of a category join the merged category.
 RARE = 36
@@ -98,20 +101,19 @@ def _against(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Merging:
-    """Groups with their counts; neighbours (or, of categories, all pairs) with the least chi-square merge first, of equals the foremost.
+    """Groups with their counts; of all pairs that with the least chi-square merges first, of equals the foremost.
 
     Each group knows its best partner after it, so memory grows with the groups, not with their pairs."""
 
     groups: list
     counts: list[list[float]]
-    adjacent: bool
 
     def run(self, bins: int | None, threshold: float) -> None:
         counts, alive = np.array(self.counts, float), np.ones(len(self.groups), bool)
         best, partner = np.full(len(counts), np.inf), np.full(len(counts), -1)
 
         def look(i: int) -> None:
-            after = np.flatnonzero(alive[i + 1 :])[: 1 if self.adjacent else None] + i + 1
+            after = np.flatnonzero(alive[i + 1 :]) + i + 1
             best[i], partner[i] = np.inf, -1
             if len(after):
                 values = _against(counts[i], counts[after])
@@ -128,12 +130,11 @@ class _Merging:
             alive[j], best[j], left = False, np.inf, left - 1
             changed = alive & ((partner == i) | (partner == j))
             changed[i] = True
-            if not self.adjacent:  # the merged group may be a better partner now
-                before = np.flatnonzero(alive[:i] & ~changed[:i])
-                if len(before):
-                    values = _against(counts[i], counts[before])
-                    nearer = (values < best[before]) | ((values == best[before]) & (i < partner[before]))
-                    best[before[nearer]], partner[before[nearer]] = values[nearer], i
+            before = np.flatnonzero(alive[:i] & ~changed[:i])
+            if len(before):  # the merged group may be a better partner now
+                values = _against(counts[i], counts[before])
+                nearer = (values < best[before]) | ((values == best[before]) & (i < partner[before]))
+                best[before[nearer]], partner[before[nearer]] = values[nearer], i
             for k in np.flatnonzero(changed):
                 look(int(k))
         self.groups, self.counts = [g for g, on in zip(self.groups, alive, strict=True) if on], counts[alive].tolist()
@@ -152,15 +153,76 @@ def _threshold(spark: SparkSession, classes: int, confidence: float | None) -> f
     return jvm.chi2_isf(spark, 0.05 if confidence is None else 1 - confidence, max(1, classes - 1))
 
 
-def chimerge(df: DataFrame, col: str, target: str, bins: int | None = None, confidence: float | None = None, start_bins: int = 100) -> list[float]:
-    """Inner edges after merging neighbouring quantile bins, down to `bins`, or until all neighbours differ significantly.
+def merge_neighbours(counts: np.ndarray, bins: int | None, threshold: float) -> list[int]:
+    """The last bin of each group after merging the neighbours of least chi-square, of equals the foremost, down to `bins` groups or until all
+    differ by the threshold; never under two. Groups are a linked list and their differences a heap, whose entries of groups
+    that have changed since are passed over when they come up."""
+    counts, n = np.array(counts, float), len(counts)
+    after, before = list(range(1, n)) + [-1], list(range(-1, n - 1))
+    last, version = list(range(n)), [0] * n
+    heap: list[tuple[float, int, int, int]] = []
+
+    def push(i: int) -> None:
+        if i >= 0 and after[i] >= 0:
+            j = after[i]
+            heapq.heappush(heap, (float(_against(counts[i], counts[j][None])[0]), i, version[i], version[j]))
+
+    for i in range(n - 1):
+        push(i)
+    left = n
+    while heap and left > 2:
+        value, i, mine, other = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or version[i] != mine or version[j] != other:
+            continue
+        if left <= bins if bins else value >= threshold:
+            break
+        counts[i] += counts[j]
+        last[i], after[i] = last[j], after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        version[i], version[j], left = version[i] + 1, -1, left - 1
+        push(i)
+        push(before[i])
+    found, i = [], 0
+    while i >= 0 and n:
+        found.append(last[i])
+        i = after[i]
+    return found
+
+
+def bin_counts(df: DataFrame, cuts: dict[str, list[float]], target: str) -> DataFrame:
+    """col_name, bin, target, n of all binned columns, in one aggregation."""
+    binned = [right_closed_bin(F.col(c).cast("double"), edges(e)).alias(f"b{k}") for k, (c, e) in enumerate(cuts.items())]
+    names = F.create_map(*[F.lit(v) for k, c in enumerate(cuts) for v in (f"b{k}", c)])
+    long = df.select(F.col(target).alias("target"), *binned).unpivot(["target"], [f"b{k}" for k in range(len(cuts))], "place", "bin").filter("bin IS NOT NULL")
+    return long.groupBy("place", "bin", "target").agg(F.count("*").alias("n")).select(names[F.col("place")].alias("col_name"), "bin", "target", "n")
+
+
+def chimerge_columns(df: DataFrame, columns: list[str], target: str, bins: int | None = None, confidence: float | None = None, start_bins: int = 100) -> DataFrame:
+    """col_name, cuts: the inner edges of each column after merging neighbouring quantile bins, down to `bins`, or until all neighbours differ significantly.
+
+    Quantiles and counts of all columns are a fixed number of jobs; a column's counts (start_bins times classes) are merged by a task of their own.
+    A column without values has no edges."""
+    cuts = all_quantile_cuts(df, columns, start_bins)
+    classes = df.select(target).distinct().count()
+    thresholds = {k: _threshold(df.sparkSession, k, confidence) for k in range(1, classes + 1)}
+    ship(df.sparkSession)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        name = rows["col_name"].iloc[0]
+        table = rows.assign(target=rows["target"].map(str)).pivot_table(index="bin", columns="target", values="n", fill_value=0, dropna=False).sort_index()
+        lasts = merge_neighbours(table.to_numpy(), bins, thresholds[table.shape[1]])
+        return pd.DataFrame({"col_name": [name], "cuts": [[cuts[name][int(table.index[k])] for k in lasts[:-1]]]})
+
+    found = bin_counts(df, cuts, target).groupBy("col_name").applyInPandas(merge, "col_name string, cuts array<double>")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "col_name string")
+    return every.join(found, "col_name", "left").select("col_name", F.coalesce("cuts", F.expr("CAST(array() AS array<double>)")).alias("cuts"))
 
-    Spark reduces the data to start_bins times classes counts; merging them is driver work of fixed size."""
-    binned, cuts = cut(df, col, "qcut", start_bins)
-    names, counts = _table(binned, "bin", target)
-    merging = _Merging([[b] for b in names], counts, adjacent=True)
-    merging.run(bins, _threshold(df.sparkSession, len(counts[0]) if counts else 1, confidence))
-    return [cuts[max(group)] for group in merging.groups[:-1]]
+
+def chimerge(df: DataFrame, col: str, target: str, bins: int | None = None, confidence: float | None = None, start_bins: int = 100) -> list[float]:
+    """The edges of one column, see chimerge_columns."""
+    return list(chimerge_columns(df, [col], target, bins, confidence, start_bins).first()["cuts"])
 
 
 def chimerge_categories(df: DataFrame, col: str, target: str, bins: int | None = None, confidence: float | None = None, rare: int = RARE, most: int = 20_000) -> DataFrame:
@@ -173,7 +235,7 @@ def chimerge_categories(df: DataFrame, col: str, target: str, bins: int | None =
         raise ValueError(f"over {most} categories: use a higher `rare`")
     tag = "\0rare"  # no category is named so
     names, counts = _table(merge_categories(df.select(col, target), col, rare, tag), col, target)
-    merging = _Merging([[name] for name in names], counts, adjacent=False)
+    merging = _Merging([[name] for name in names], counts)
     merging.run(bins, _threshold(df.sparkSession, len(counts[0]) if counts else 1, confidence))
     buckets = df.sparkSession.createDataFrame([(name, k) for k, group in enumerate(merging.groups) for name in group], "merged string, bucket int")
     merged = F.when(F.col("n") < rare, F.lit(tag)).otherwise(F.col("v"))

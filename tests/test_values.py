@@ -146,11 +146,42 @@ def test_merging_looks_at_all_pairs(adjacent, classes):
     rng = np.random.default_rng(classes)
     for bins, threshold in ((None, 3.84), (None, 1e9), (4, 0.0)):
         counts = rng.integers(0, 997, (30, classes)).astype(float).tolist()
-        merging = binning._Merging([[k] for k in range(30)], [list(c) for c in counts], adjacent)
-        merging.run(bins, threshold)
+        if adjacent:
+            groups, start = [], 0
+            for last in binning.merge_neighbours(np.array(counts), bins, threshold):
+                groups.append(list(range(start, last + 1)))
+                start = last + 1
+        else:
+            merging = binning._Merging([[k] for k in range(30)], [list(c) for c in counts])
+            merging.run(bins, threshold)
+            groups = merging.groups
         if classes > 1:
-            assert merging.groups == _merged(counts, adjacent, bins, threshold)
-        assert sorted(k for g in merging.groups for k in g) == list(range(30))
+            assert groups == _merged(counts, adjacent, bins, threshold)
+        assert sorted(k for g in groups for k in g) == list(range(30))
+
+
+def test_merging_of_many_columns(spark):
+    """200 columns without a job for each: the edges of each are those of the column alone; ties, nulls, and a column without values."""
+    rng = np.random.default_rng(6)
+    base = [([int(v) for v in rng.integers(0, 40, 5)], int(rng.random() < 0.4)) for _ in range(400)]
+    columns = [((F.col("b")[k % 5] * (k + 1)) % (7 + k)).alias(f"c{k}") for k in range(200)]
+    df = spark.createDataFrame(base, "b array<int>, y int").repartition(3).select("y", F.lit(None).cast("double").alias("none"), *columns)
+    names = [f"c{k}" for k in range(200)] + ["none"]
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    sc.setJobGroup("merging", "merging")
+    found = {r["col_name"]: r["cuts"] for r in binning.chimerge_columns(df, names, "y", 4).collect()}
+    jobs = len(tracker.getJobIdsForGroup("merging"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert set(found) == set(names) and found["none"] == [] and jobs < 60
+    rows = [r.asDict() for r in df.collect()]
+    for c in names[:200:13]:
+        cuts = binning.quantile_cuts(df, c, 100)
+        counts = {}
+        for r in rows:
+            counts.setdefault(sum(e < r[c] for e in cuts), [0.0, 0.0])[r["y"]] += 1
+        bins = sorted(counts)
+        groups = _merged([counts[b] for b in bins], True, 4, 0.0)
+        assert found[c] == pytest.approx([cuts[bins[g[-1]]] for g in groups[:-1]])
 
 
 @pytest.mark.parametrize("values", [[], [2.5], [1.0, 2.0], [7.0] * 900 + list(range(300)), np.random.default_rng(2).normal(size=3000).tolist(), [0.0, -0.0, 1.0, 1.0]])
