@@ -13,6 +13,7 @@ from scorewright import jvm
 from scorewright.functions import expressions as X
 from scorewright.operators import binning, boosting, evaluate, models, neural, profile, relational, scorecard, sequence, text, training, trees
 from scorewright.plans import features, lineage, sqlgen
+from scorewright.plans.panes import Panes
 from scorewright.plans.specs import FeatureSpec, TableSpec
 from scorewright.session import cut, shared_folder
 from scorewright.shipping import ship
@@ -96,6 +97,27 @@ def feat_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_as_double(features.compute(_events(spark, sf_dir), WINDOWED, ["user_id"], EVENTS, "w1"), ["user_id"]))
 
 
+def _panes_sql() -> str:
+    """Both windows by aggregations over all rows, a part each."""
+    parts = []
+    for w, back in (("w1", 0), ("w2", 7)):
+        sql, aliases = sqlgen.feature_sql(WINDOWED, ["user_id"], "e", EVENTS, w, "duckdb")
+        source = f"from (SELECT *, datediff('day', CAST(ts AS DATE), (SELECT max(CAST(ts AS DATE)) - {back} FROM events)) AS days_{w} FROM events) e\n"
+        parts.append(f"SELECT user_id, '{w}' AS window, {', '.join(f'round(1.0::DOUBLE * {a}, 6) + 0.0::DOUBLE AS {a}' for a in aliases)} FROM ({sql.replace('from e' + chr(10), source)}) t")
+    return " UNION ALL ".join(parts)
+
+
+@query("feat_panes", _panes_sql())
+def feat_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of a spec from daily panes."""
+    events = table(spark, sf_dir, "events")
+    panes = Panes(spark, _folder(spark, "panes"), WINDOWED, ["user_id"], EVENTS, "ts")
+    panes.append(events)
+    last = events.agg(F.max(F.to_date("ts"))).first()[0]
+    found = panes.compute({"w1": F.lit(last), "w2": F.date_sub(F.lit(last), 7)})
+    return rounded(_as_double(found, ["user_id", "window"]))
+
+
 @query("feat_sql_text", SQL["flagship"])
 def feat_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same features from the rendered SQL text instead of Columns."""
@@ -655,12 +677,21 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_VOCAB}, t AS (SELECT conv_id, turn, unnest(string_split(lower(regexp_replace(text, ' +', ' ', 'g')), ' ')) AS w, generate_subscripts(string_split(lower(regexp_replace(text, ' +', ' ', 'g')), ' '), 1) AS pos FROM conversations)
 SELECT conv_id * 1000 + turn AS id, CAST(count(*) AS INTEGER) AS n, CAST(sum(coalesce(idx, 0) * pos) AS BIGINT) AS checksum FROM t LEFT JOIN v ON w = word GROUP BY 1""")
 def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.split(F.lower(text.squeeze_blanks(F.col("text"))), " ").alias("tokens"))
-    ids = text.index_tokens(rows, "id", "tokens", _vocabulary(spark, sf_dir))
+    ids = _token_ids(spark, sf_dir)
     weighted = F.aggregate(F.transform("input_ids", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
     return ids.select("id", F.size("input_ids").alias("n"), weighted.alias("checksum"))
 
 
+def _token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and input_ids of each turn."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.split(F.lower(text.squeeze_blanks(F.col("text"))), " ").alias("tokens"))
+    return text.index_tokens(rows, "id", "tokens", _vocabulary(spark, sf_dir))
+
+
+_IDS = """i AS (SELECT conv_id * 1000 + turn AS id, unnest(string_split(lower(regexp_replace(text, ' +', ' ', 'g')), ' ')) AS w, generate_subscripts(string_split(lower(regexp_replace(text, ' +', ' ', 'g')), ' '), 1) AS pos FROM conversations),
+t AS (SELECT id, list(coalesce(idx, 0) ORDER BY pos) AS ids FROM i LEFT JOIN v ON w = word GROUP BY id)"""
+
+
 @query("vocabulary", f"WITH {_VOCAB} SELECT word, CAST(idx AS BIGINT) AS idx FROM v")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocabulary(spark, sf_dir)
@@ -672,11 +703,23 @@ def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
 
 
-@query("pad", "SELECT conv_id * 1000 + turn AS id, CASE WHEN length(text) % 9 >= 5 THEN '12345' ELSE lpad(substr('12345678', 1, CAST(length(text) % 9 AS INTEGER)), 5, '0') END AS padded FROM conversations")
+@query("pad", f"WITH {_VOCAB}, {_IDS} SELECT id, array_to_string(list_concat(list_resize(CAST([] AS BIGINT[]), greatest(40 - len(ids), 0), 0), ids[:40]), ',') AS padded FROM t")
 def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = (F.length("text") % 9).cast("int")
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.slice(F.array(*map(F.lit, range(1, 9))), F.lit(1), size).alias("ids"))
-    return text.pad(rows, "ids", 5).select("id", F.array_join(F.col("ids").cast("array<string>"), "").alias("padded"))
+    """Token ids cut or padded on the left to 40."""
+    return text.pad(_token_ids(spark, sf_dir), "input_ids", 40).select("id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("padded"))
+
+
+@query("padded_batches", f"""
+WITH {_VOCAB}, {_IDS}, r AS (SELECT id, ids, row_number() OVER (ORDER BY len(ids), id) - 1 AS rn, count(*) OVER () AS n FROM t),
+b AS (SELECT id, ids, CAST(least(floor(rn / 64), greatest(floor(n / 64) - 1, 0)) AS BIGINT) AS batch_id FROM r),
+m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM b)
+SELECT id, batch_id, CAST(width AS INTEGER) AS width, CAST(width - len(ids) AS INTEGER) AS gap, CAST(list_sum(ids) AS BIGINT) AS total FROM m""")
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids in batches by length, each padded to its longest row, in a seeded order of batches."""
+    rows = _token_ids(spark, sf_dir).withColumn("n", F.size("input_ids"))
+    batched = text.shuffle_batches(text.pad_batches(text.batches(rows, "n", 64, ["id"]), "batch_id", "input_ids"), "batch_id", 7)
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    return batched.select("id", "batch_id", F.size("input_ids").alias("width"), (F.size("input_ids") - F.col("n")).alias("gap"), total.alias("total"))
 
 
 @query("batches", """
@@ -686,16 +729,15 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 100, ["doc_id"]).select("doc_id", "batch_id")
 
 
-@query("embed_lookup", """
-WITH t AS (SELECT conv_id * 1000 + turn AS id, unnest([length(text) % 600, length(role), turn]) AS idx FROM conversations),
-e AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s FROM embeddings)
-SELECT id, round(sum(coalesce(s, 0)), 4) AS total FROM t LEFT JOIN e ON idx = vec_id GROUP BY id""")
+@query("embed_lookup", f"""
+WITH {_VOCAB}, {_IDS}, u AS (SELECT id, unnest(ids) AS idx FROM t), e AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s FROM embeddings)
+SELECT id, count(*) AS n, round(sum(coalesce(s, 0)), 4) + 0.0::DOUBLE AS total FROM u LEFT JOIN e ON idx = vec_id GROUP BY id""")
 def embed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array((F.length("text") % 600).cast("long"), F.length("role").cast("long"), F.col("turn").cast("long"))
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), ids.alias("ids"))
+    """The vectors of each turn's token ids; ids without a vector get zeros."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
     total = F.aggregate(F.flatten("vectors"), F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return rounded(text.embed(rows, "id", "ids", vectors, 64).select("id", total.alias("total")), 4)
+    found = text.embed(_token_ids(spark, sf_dir), "id", "input_ids", vectors, 64)
+    return rounded(found.select("id", F.size("vectors").cast("long").alias("n"), total.alias("total")), 4)
 
 
 @query("attention", """

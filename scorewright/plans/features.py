@@ -34,7 +34,7 @@ def expand(spec: FeatureSpec, table: TableSpec | None = None, window: str | None
         for picked in product(*choices):
             for function in normal:
                 name = "__".join([spec.tag, function.upper(), obj, *(p[3] for p in picked)])
-                out.append(Feature(name, _comment(obj, function, picked), lookup(function).name, obj, _all(picked)))
+                out.append(Feature(name, _comment(obj, function, picked), lookup(function).name, obj, _all(picked), parts=_parts(picked)))
         for function in ratios:
             kind, _, over = function.upper().partition("_")
             if over not in {c.upper() for c, _ in spec.condition_cols}:
@@ -42,7 +42,7 @@ def expand(spec: FeatureSpec, table: TableSpec | None = None, window: str | None
             for picked in product(*choices):
                 rest, own = [p for p in picked if p[0] != over], [p for p in picked if p[0] == over]
                 name = "__".join([spec.tag, function.upper().replace("_", ""), obj, *(p[3] for p in [*rest, *own])])
-                out.append(Feature(name, _comment(obj, function, [*rest, *own]), lookup(kind).name, obj, _all([*rest, *own]), _all(rest)))
+                out.append(Feature(name, _comment(obj, function, [*rest, *own]), lookup(kind).name, obj, _all([*rest, *own]), _all(rest), _parts([*rest, *own]), _parts(rest)))
     return out
 
 
@@ -55,6 +55,10 @@ def _all(picked) -> str:
     return " and ".join(["1=1", *(f"({p[1]})" for p in picked)])
 
 
+def _parts(picked) -> tuple[tuple[str, str], ...]:
+    return tuple((p[0], p[1]) for p in picked)
+
+
 def _comment(obj: str, function: str, picked) -> str:
     return "|".join([obj, function.upper(), "$", *(p[2] for p in picked)])
 

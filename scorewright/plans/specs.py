@@ -82,7 +82,8 @@ class FeatureSpec:
 
 @dataclass(frozen=True)
 class Feature:
-    """A generated feature: its alias, comment, function name, and SQL predicates of numerator and denominator."""
+    """A generated feature: its alias, comment, function name, and SQL predicates of numerator and denominator; parts and base_parts are
+    what these are made of, as (upper-cased condition column, SQL text)."""
 
     alias: str
     comment: str
@@ -90,7 +91,8 @@ class Feature:
     object: str
     predicate: str
     base_predicate: str = "1=1"
-    conditions: tuple[str, ...] = field(default=(), compare=False)
+    parts: tuple[tuple[str, str], ...] = field(default=(), compare=False)
+    base_parts: tuple[tuple[str, str], ...] = field(default=(), compare=False)
 
 
 def substitute(expr: str, column: str) -> str:
