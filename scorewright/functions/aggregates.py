@@ -47,7 +47,7 @@ def register(name: str, column: Callable, spark: str, duckdb: str | None = None,
 register("SUM", lambda x, y: F.sum(x), "sum({x})")
 register("AVG", lambda x, y: F.avg(x), "avg({x})")
 register("MAX", lambda x, y: F.max(x), "max({x})")
-register("MID", lambda x, y: F.percentile(x, 0.5), "percentile_disc(0.5) within group (order by {x})", "quantile_disc({x}, 0.5)", share=0.5)
+register("MID", lambda x, y: F.percentile_approx(x, 0.5, 2147483647), "percentile_disc(0.5) within group (order by {x})", "quantile_disc({x}, 0.5)", share=0.5)
 register("MIN", lambda x, y: F.min(x), "min({x})")
 register("STD", lambda x, y: F.stddev_pop(x), "stddev_pop({x})")
 register("COUNT", lambda x, y: F.count(x), "count({x})")

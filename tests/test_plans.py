@@ -135,8 +135,41 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows_of(spark.table("windows")) == rows_of(windowed_features(events, spec, ["event_type"], "ts", "1 day"))
-    with pytest.raises(ValueError):
-        windowed_features(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), [FeatureSpec("E", ("value",), ("CNTDIST",))], ["event_type"], "ts", "1 day")
+
+
+def test_distinct_counts_on_a_stream(spark, tmp_path):
+    """Late rows inside the watermark count, later ones don't; values come again in other batches; sliding windows; nulls. A far event closes all windows."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 5, 1)
+    spec = [
+        FeatureSpec.from_dict({"tag": "E", "objects": ["code"], "function": ["CNTDIST", "PCTCNTDIST_KIND"], "condition_cols": [("kind", [("COL=1", "one", "one"), ("COL>0", "all", "all")])]}),
+        FeatureSpec.from_dict({"tag": "V", "objects": ["value"], "function": ["SUM", "COUNT", "MAX"]}),
+    ]
+
+    def row(minute, k):
+        return (k % 3 if k % 10 else None, start + timedelta(minutes=minute), f"c{k % 7}" if k % 5 else None, k % 4, float(k) if k % 6 else None)
+
+    batches = [[row(k, k) for k in range(0, 120)], [row(k - 8 if k % 3 else k, k * 3) for k in range(120, 240)] + [row(5, 1)], [row(k, k * 5) for k in range(220, 300)], [row(10**5, 4)]]
+    schema = "user int, at timestamp, code string, kind int, value double"
+    (tmp_path / "in").mkdir()
+    stream = windowed_features(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), spec, ["user"], "at", "60 minutes", "30 minutes", late="20 minutes")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("distincts").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+            next((tmp_path / f"b{k}").glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+            q.processAllAvailable()
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    kept = [r for rows in batches[:-1] for r in rows]
+    kept.remove(row(5, 1))  # 115 minutes behind the newest
+    wanted = windowed_features(spark.createDataFrame(kept, schema), spec, ["user"], "at", "60 minutes", "30 minutes")
+    assert rows_of(spark.table("distincts")) == rows_of(wanted)
+    counted = {(r["window_start"], r["user"]): r["E__CNTDIST__code__all"] for r in wanted.collect()}
+    for (begin, user), n in counted.items():
+        assert n == len({c for u, t, c, kind, _ in kept if u == user and begin <= t < begin + timedelta(hours=1) and c and kind > 0})
 
 
 def test_rules_and_models(spark, tmp_path):
