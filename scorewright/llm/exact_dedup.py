@@ -88,14 +88,16 @@ def _groups(known: DataFrame, index: DigestIndex | None, scratch: Scratch) -> Da
     """sha, keep_id (from the index) and group_size of each digest of the written rows doc_id, sha."""
     passing = index is None
     index = index or DigestIndex(scratch.spark)
-    sizes = scratch.keep(known.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("group_size")), "groups")
     cuts = _cuts(known, BATCHES) if passing else []
+    number = F.lit(0)
     if cuts:
         number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))))
-        for k in range(len(cuts) + 1):
-            index.append(known.filter(number == k).groupBy("sha").agg(F.min("doc_id").alias("keep_id")))
-    else:
-        index.append(sizes.select("sha", F.col("least").alias("keep_id")))
+    # one row for each digest and batch: a group of many copies is gone before any join
+    batches = known.withColumn("batch", number).groupBy("sha", "batch").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("rows"))
+    batches = scratch.keep(batches, "batches")
+    for k in range(len(cuts) + 1):
+        index.append(batches.filter(F.col("batch") == k))
+    sizes = batches.groupBy("sha").agg(F.sum("rows").alias("group_size"))
     groups = scratch.keep(sizes.join(index.rows().hint("merge"), "sha").select("sha", "keep_id", "group_size"), "kept")
     if passing:
         index.drop()
