@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class FeatureFunction:
     """column(x, y) builds the aggregate; spark and duckdb are templates over {x} and {y}. distinct and share mark functions that are no
-    partial sum: numbers of distinct values, and the value that `share` of all don't exceed."""
+    partial sum: numbers of distinct values, and the value that `share` of all don't exceed. custom: an aggregate of functions/custom."""
 
     name: str
     column: Callable[[Column, Column], Column]
@@ -26,6 +26,7 @@ class FeatureFunction:
     ratio: bool = False
     distinct: bool = False
     share: float | None = None
+    custom: object = None
 
 
 def _skew(x: Column, _: Column) -> Column:
@@ -39,9 +40,9 @@ _SKEW = "(avg(pow({x}, 3)) - 3 * avg({x}) * pow(stddev_pop({x}), 2) - pow(avg({x
 REGISTRY: dict[str, FeatureFunction] = {}
 
 
-def register(name: str, column: Callable, spark: str, duckdb: str | None = None, ratio: bool = False, distinct: bool = False, share: float | None = None) -> None:
+def register(name: str, column: Callable, spark: str, duckdb: str | None = None, ratio: bool = False, distinct: bool = False, share: float | None = None, custom: object = None) -> None:
     """Add or replace a feature function for all later specs."""
-    REGISTRY[name.upper()] = FeatureFunction(name.upper(), column, spark, duckdb or spark, ratio, distinct, share)
+    REGISTRY[name.upper()] = FeatureFunction(name.upper(), column, spark, duckdb or spark, ratio, distinct, share, custom)
 
 
 register("SUM", lambda x, y: F.sum(x), "sum({x})")

@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.functions import custom
 from scorewright.functions.aggregates import lookup
 from scorewright.operators.selection import grouped_select
 from scorewright.plans.specs import Feature, FeatureSpec, TableSpec, substitute
@@ -86,7 +87,7 @@ def compute(df: DataFrame, specs: list[FeatureSpec], entity: list[str], table: T
     grouped by entity and value with one flag for each condition, then the flags are added up. So no row is expanded, however
     many conditions there are. Medians are selected by ranges of (entity, value), exact for entities of any size."""
     features = expand_all(specs, entity, table, window)
-    plain = [f for f in features if not lookup(f.function).distinct and lookup(f.function).share is None]
+    plain = [f for f in features if not lookup(f.function).distinct and lookup(f.function).share is None and lookup(f.function).custom is None]
     out = df.groupBy(*entity).agg(*map(_column, plain)) if plain else df.select(*entity).distinct()
     keys = [f"__{e}" for e in entity]
     for obj in dict.fromkeys(f.object for f in features if lookup(f.function).distinct):
@@ -99,9 +100,11 @@ def compute(df: DataFrame, specs: list[FeatureSpec], entity: list[str], table: T
         columns = [F.try_divide(found[f.predicate], found[f.base_predicate]) if lookup(f.function).ratio else found[f.predicate] for f in mine]
         joined = out.join(counts, [F.col(e).eqNullSafe(F.col(k)) for e, k in zip(entity, keys, strict=True)], "left")
         out = joined.select(*out.columns, *[c.alias(f.alias, metadata={"comment": f.comment}) for c, f in zip(columns, mine, strict=True)])
-    for obj, share in dict.fromkeys((f.object, lookup(f.function).share) for f in features if lookup(f.function).share is not None):
-        mine = [f for f in features if f.object == obj and lookup(f.function).share == share]
-        chosen = grouped_select(df, entity, obj, [f.predicate for f in mine], share)
+    special = dict.fromkeys((f.object, f.function) for f in features if lookup(f.function).share is not None or lookup(f.function).custom is not None)
+    for obj, function in special:
+        mine, kind = [f for f in features if (f.object, f.function) == (obj, function)], lookup(function)
+        predicates = [f.predicate for f in mine]
+        chosen = grouped_select(df, entity, obj, predicates, kind.share) if kind.custom is None else custom.aggregate(df, entity, obj, predicates, kind.custom)
         joined = out.join(chosen, [F.col(e).eqNullSafe(F.col(f"__e{k}")) for k, e in enumerate(entity)], "left")
         out = joined.select(*out.columns, *[F.col(f"__v{k}").alias(f.alias, metadata={"comment": f.comment}) for k, f in enumerate(mine)])
     return out.select(*entity, *[f.alias for f in features])
