@@ -37,6 +37,10 @@ DEVIATIONS = 5.0
 TILE, DEAL = 256, 64
 #: Deals of a component's classes when they get its id.
 SALTS = 32
+#: A key is hot if it holds over 1/HOT_SHARE of a table's rows, so there are fewer than HOT_SHARE hot keys whatever the data. In small tables
+#: a key of no more than LEAST_HOT rows isn't.
+HOT_SHARE = 500
+LEAST_HOT = 20
 #: UTF-8 bytes of texts that meet in one tile, on average.
 TILE_BYTES = 8 << 20
 
@@ -201,7 +205,7 @@ class _Tile:
         self.sketches = np.frombuffer(b"".join(m["sketch"] for m in members), "<u2").reshape(-1, M)
         self.sizes = np.array([m["n"] for m in members], np.int64)
         self.names = np.array([m["node"] for m in members], np.int64)
-        self.texts = [m["text"] for m in members]
+        self.texts = [m.get("text") for m in members]
         self.sets: dict[int, np.ndarray] = {}
         self.numbers, self.joined = {}, []  # components met here, and which of them links have joined
         self.group = np.array([self._number(m["component"]) for m in members])
@@ -219,18 +223,23 @@ class _Tile:
             k = self.joined[k]
         return k
 
-    def meet(self, asker: dict) -> Iterator[int]:
-        """Members that the asker is linked with, one for each component at most."""
+    def near(self, asker: dict) -> np.ndarray:
+        """Members in other components that may be linked with the asker and share no earlier band with it."""
         own = self._number(asker["component"])
         sketch = np.frombuffer(asker["sketch"], "<u2")
         meets = self.main | (self.names < asker["node"])  # of two askers only the later asks; members of the main component never ask
         here = np.flatnonzero(meets & (self.group != own))
         here = here[possible(np.broadcast_to(sketch, (len(here), M)), self.sketches[here], np.full(len(here), asker["n"], np.int64), self.sizes[here])]
         if not len(here):
-            return
+            return here
         shared = (self.sketches[here] == sketch).reshape(len(here), BANDS, ROWS).all(axis=2)
+        return here[shared.argmax(axis=1) == asker["band"]]
+
+    def meet(self, asker: dict) -> Iterator[int]:
+        """Members that the asker is linked with, one for each component at most."""
+        own = self._number(asker["component"])
         mine = None
-        for k in here[shared.argmax(axis=1) == asker["band"]].tolist():
+        for k in self.near(asker).tolist():
             a, b = self._root(own), self._root(int(self.group[k]))
             if a == b:
                 continue
@@ -263,16 +272,63 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted like _crossed's, but without texts, those of a pair that sketches and sizes leave possible."""
+    key, members, tile, hit = None, [], None, set()
+
+    def close() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([members[k] for k in sorted(hit)], schema)
+
+    for rows in row_slices(batches):
+        schema, asking = rows.schema, []
+        for r in rows.to_pylist():
+            now = (r["bucket"], r["band"], r["tile"])
+            if now != key:
+                if hit:
+                    yield close()
+                key, members, tile, hit = now, [], None, set()
+            if not r["asks"]:
+                members.append(r)
+                continue
+            if not members:
+                continue
+            tile = tile or _Tile(members)
+            found = tile.near(r)
+            if len(found):
+                hit.update(found.tolist())
+                asking.append(r)
+        yield pa.RecordBatch.from_pylist(asking, schema)
+    if hit:
+        yield close()
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with right, which has one row a key at most. Rows of hot keys, of which there are under HOT_SHARE, meet right's rows in
+    their place; only the others are dealt by key."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = counts.filter(F.col("__n") > max(total / HOT_SHARE, LEAST_HOT)).select(keys)
+    few = hot.collect()  # under HOT_SHARE keys by the filter itself
+    if not few:
+        return left.join(right, keys)
+    hot = F.broadcast(left.sparkSession.createDataFrame(few, hot.schema).withColumn("__hot", F.lit(True)))
+    marked = left.join(hot, keys, "left")
+    here = marked.filter("__hot").drop("__hot").join(F.broadcast(right.join(hot, keys, "left_semi")), keys)
+    return here.unionByName(marked.filter("__hot IS NULL").drop("__hot").join(right, keys))
+
+
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node, component (the least node reachable) of all nodes of links a, b: least labels spread along links, and each
-    node then takes its label's label, until nothing changes. Every round is a written table; only a count reaches the driver."""
+    node then takes its label's label, until nothing changes. Every round is a written table; only counts and hot keys reach the driver.
+
+    A star's centre and a giant component are hot keys, which aren't dealt to one task."""
     both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{label}-both")
     now = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), f"{label}-0")
     for step in range(1, 100):
-        seen = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        seen = join_hot(both, now.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         near = scratch.keep(now.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), f"{label}-near-{step}")
         jump = near.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = scratch.keep(near.join(jump, "component").select("node", "old", F.col("further").alias("component")), f"{label}-{step}")
+        after = scratch.keep(join_hot(near, jump, ["component"]).select("node", "old", F.col("further").alias("component")), f"{label}-{step}")
         scratch.drop(f"{label}-near-{step}")
         now = after.select("node", "component")
         if after.filter("old <> component").isEmpty():
@@ -310,7 +366,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, others: list[str]) ->
 
     leaders = buckets.groupBy("bucket", "band").agg(F.min("node").alias("leader"), F.count("*").alias("members"), F.sum("bytes").alias("bytes")).filter("members > 1")
     leaders = scratch.keep(leaders, "leaders")
-    members = scratch.keep(buckets.drop("bytes").join(leaders, ["bucket", "band"]), "members")
+    members = scratch.keep(join_hot(buckets.drop("bytes"), leaders, ["bucket", "band"]), "members")
     # the pairs of a leader are dealt out by its buckets' sizes, so no join below has a leader of many as one key
     first = members.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("members").alias("members"))
     first = first.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / DEAL)).alias("salt"))
@@ -328,14 +384,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, others: list[str]) ->
     tiles = F.greatest(F.ceil(F.col("total") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
     open_buckets = scratch.keep(open_buckets.select("bucket", "band", tiles.alias("tiles"), F.col("main.component").alias("main")), "open")
     if not open_buckets.isEmpty():
-        there = scratch.keep(placed.select("bucket", "band", "node", "component").join(open_buckets, ["bucket", "band"]), "there")
-        inside = texts_of(there.select("node"), "texts-2").join(sketches, "node")
+        there = scratch.keep(join_hot(placed.select("bucket", "band", "node", "component"), open_buckets, ["bucket", "band"]), "there")
         there = there.withColumn("apart", F.col("component") != F.col("main"))
         shown = there.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("asks", F.lit(False))
         asking = there.filter("apart").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("asks", F.lit(True))
-        met = shown.unionByName(asking).select("bucket", "band", "tile", "asks", "node", "component", "apart").join(inside, "node")
-        dealt = met.repartition(shuffle_parts(spark), "bucket", "band", "tile").sortWithinPartitions("bucket", "band", "tile", "asks")
-        second = scratch.keep(dealt.mapInArrow(_crossed, "a long, b long"), "second")
+        met = shown.unionByName(asking).select("bucket", "band", "tile", "asks", "node", "component", "apart").join(sketches, "node")
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.repartition(shuffle_parts(spark), "bucket", "band", "tile").sortWithinPartitions("bucket", "band", "tile", "asks")
+
+        # sketches meet first; texts are sent only where a pair may be a link
+        near = scratch.keep(dealt(met).mapInArrow(_in_reach, met.schema), "near")
+        inside = texts_of(near.select("node").distinct(), "texts-2")
+        second = scratch.keep(dealt(near.join(inside, "node")).mapInArrow(_crossed, "a long, b long"), "second")
         if not second.isEmpty():
             found = components(links.unionByName(second), scratch, "second")
 

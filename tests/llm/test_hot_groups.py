@@ -67,3 +67,39 @@ def test_best_fit_of_many_leftovers():
         assert sum((Counter({x: c * n for x, c in p.items()}) for p, n in found), Counter()) == Counter(histogram)
     rows = packing.layout({3: 120_017, 11: 84_562, 27: 111_411, 29: 24_893}, 64)
     assert sum((b - a) * length for length, a, b, _, _, _, stream in rows if stream is not None) < 3_500_000  # 5,020,227 end to end without best-fit
+
+
+def test_giant_components(spark):
+    """A star of 200,000 nodes, a long chain and small groups: all nodes get the least one; hot keys aren't dealt by key."""
+    near_dedup = pytest.importorskip("scorewright.llm.near_dedup")
+    from scorewright.llm.common import Scratch
+
+    star = spark.range(1, 200_000, 1, 8).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(300_000, 300_300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    pairs = spark.range(400_000, 440_000, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = near_dedup.components(star.unionByName(chain).unionByName(pairs), Scratch(spark, "test"), "giant")
+    least = F.when(F.col("node") < 200_000, 0).when(F.col("node") < 400_000, 300_000).otherwise(F.col("node") - F.col("node") % 2)
+    assert found.count() == 200_000 + 301 + 40_000 and found.filter(F.col("component") != least).count() == 0
+
+
+def test_joins_with_hot_keys(spark):
+    near_dedup = pytest.importorskip("scorewright.llm.near_dedup")
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id") % 50).alias("k"), (F.col("id") % 2).alias("h"), "id")
+    right = spark.createDataFrame([(k, h, f"{k}-{h}") for k in range(40) for h in (0, 1)], "k long, h long, v string")
+    found = near_dedup.join_hot(left, right, ["k", "h"])
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert Counter(map(tuple, found.select("k", "h", "id", "v").collect())) == Counter(map(tuple, left.join(right, ["k", "h"]).select("k", "h", "id", "v").collect()))
+
+
+def test_boilerplate_without_links(spark, monkeypatch):
+    """Texts that share half of their words fill common buckets; no pair may be a link, so no text is sent to a tile."""
+    near_dedup = pytest.importorskip("scorewright.llm.near_dedup")
+    sent, keep = [], near_dedup.Scratch.keep
+    monkeypatch.setattr(near_dedup.Scratch, "keep", lambda self, df, label, *more: sent.append((label, kept := keep(self, df, label, *more))) or kept)
+    shared = " ".join(f"common{k}" for k in range(70))
+    items = [(k, f"{shared} " + " ".join(f"w{k}x{j}" for j in range(70))) for k in range(1500)]
+    items += [(5000 + k, items[k][1] + " more") for k in range(5)]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(spark.createDataFrame(items, "doc_id long, text string").repartition(6)).collect()}
+    assert found == {k: k for k in range(1500)} | {5000 + k: k for k in range(5)}
+    tables = dict(sent)
+    assert tables["there"].count() > 3_000 and tables["near"].count() < 100
