@@ -407,6 +407,38 @@ def ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scorecard.t_test(table(spark, sf_dir, "customer"), "c_acctbal", 4500.0))
 
 
+@query("chi2_tests", """
+WITH v AS (SELECT 'l_linestatus' AS col_name, l_linestatus AS v, l_returnflag AS t FROM lineitem UNION ALL SELECT 'even', CASE WHEN l_partkey % 2 = 0 THEN 'yes' ELSE 'no' END, l_returnflag FROM lineitem),
+c AS (SELECT col_name, v, t, count(*)::DOUBLE AS n FROM v GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY col_name, v) * sum(n) OVER (PARTITION BY col_name, t) / sum(n) OVER (PARTITION BY col_name) AS e FROM c),
+s AS (SELECT col_name, sum((n - e) * (n - e) / e) AS chi2 FROM e GROUP BY col_name)
+SELECT col_name, round(chi2, 6) + 0.0::DOUBLE AS chi2, 2 AS dof, round(exp(-chi2 / 2), 6) + 0.0::DOUBLE AS p FROM s""")
+def chi2_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns against a target of three classes; with two degrees of freedom the tail is exp(-x / 2)."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("even", F.when(F.col("l_partkey") % 2 == 0, "yes").otherwise("no"))
+    return rounded(scorecard.chi2_tests(lines, ["l_linestatus", "even"], "l_returnflag"))
+
+
+@query("t_tests")
+def t_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scorecard.t_tests(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 25.0, ["l_returnflag"]))
+
+
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("iv_all", f"""
+WITH v AS ({" UNION ALL ".join(f"SELECT '{c}' AS col_name, CAST({c} AS DOUBLE) AS x, l_returnflag = 'R' AS good FROM lineitem" for c in _NUMBERS)}),
+q AS (SELECT col_name, list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS cuts, max(x) AS top FROM v GROUP BY col_name),
+b AS (SELECT col_name, len(list_filter(cuts, lambda c: c < x AND c < top)) AS bin, good FROM v JOIN q USING (col_name)),
+c AS (SELECT col_name, bin, count(*) FILTER (good) + 1.0 AS g, count(*) FILTER (NOT good) + 1.0 AS b FROM b GROUP BY col_name, bin),
+t AS (SELECT *, sum(g - 1) OVER (PARTITION BY col_name) + 1 AS ga, sum(b - 1) OVER (PARTITION BY col_name) + 1 AS ba FROM c)
+SELECT col_name, round(sum((b / ba - g / ga) * ln((b / g) / (ba / ga))), 6) + 0.0::DOUBLE AS iv FROM t GROUP BY col_name""")
+def iv_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Information values of all columns of numbers of a table in one call."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return rounded(scorecard.information_values(lines, _NUMBERS, "y"))
+
+
 def _chimerge_sql(source: str, columns: list[str], target: str, bins: int, start: int = 100) -> str:
     """Edges of columns of numbers against a target of 0 and 1: quantile bins, then a merge of the two neighbours that differ least, a round each."""
     shares = ", ".join(f"{i / start!r}" for i in range(1, start))
@@ -658,7 +690,9 @@ def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of the catalogue, made from a query and read by name."""
     name = f"customers_{uuid.uuid4().hex}"
     writers.create_table_as(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), name)
-    return readers.read_table(spark, name)
+    found = cut(readers.read_table(spark, name))  # what was read outlives the table, which goes
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 # -- text -----------------------------------------------------------------------------------------------------------
@@ -849,7 +883,7 @@ def recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = [{"W": rng.normal(size=(24, 64)) / 8, "U": rng.normal(size=(24, 8)) / 4, "b": np.zeros(24), "c": np.zeros(24)} for _ in range(2)]
     net, head = neural.Recurrent("gru", 8, [sides]), [(rng.normal(size=(5, 16)), np.zeros(5))]
     rows = _sequences(table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e")))
-    encoded = rows.select("label", "run", neural.encode_udf(lambda x: neural.dense(net.forward(x)[-1:], head))("steps").alias("out"))
+    encoded = rows.select("label", "run", neural.encode_udf(lambda x: neural.dense(net.forward(x)[:, -1:], head))("steps").alias("out"))
     return encoded.select("label", "run", X.argmax(F.get("out", F.lit(0))).alias("best"))
 
 

@@ -11,6 +11,8 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.operators.training import BATCH_ROWS, crf_best, crf_pass, padded
+
 #: Rows of a block of queries or keys, on average.
 BLOCK_ROWS = 4096
 
@@ -154,21 +156,39 @@ def forbid(transitions: np.ndarray, start_tag: int, stop_tag: int, penalty: floa
     return out
 
 
+def _in_batches(values: pd.Series, run: Callable[[list], list]) -> list:
+    """run() over lists of the values that are there, some at a time; None for the others."""
+    out = [None] * len(values)
+    there = [k for k, v in enumerate(values) if v is not None and len(v)]
+    for at in range(0, len(there), BATCH_ROWS):
+        mine = there[at : at + BATCH_ROWS]
+        for k, found in zip(mine, run([values.iloc[j] for j in mine]), strict=True):
+            out[k] = found
+    return out
+
+
 def viterbi_udf(transitions: np.ndarray) -> Callable[[Column], Column]:
-    """A column function: emissions (array<array<double>>) to struct<score, path>; null for a null or empty sequence."""
+    """A column function: emissions (array<array<double>>) to struct<score, path>; null for a null or empty sequence. Sequences are decoded in padded batches."""
+    ends = np.zeros(len(transitions))
+
+    def best(sequences: list) -> list:
+        score, path = crf_best(*padded(sequences), transitions, ends, ends)
+        return list(zip(score.tolist(), path, strict=True))
 
     @F.pandas_udf("score double, path array<int>")
     def decode(emissions: pd.Series) -> pd.DataFrame:
-        found = [viterbi(_matrix(e), transitions) if e is not None and len(e) else (None, None) for e in emissions]
+        found = [f or (None, None) for f in _in_batches(emissions, best)]
         return pd.DataFrame({"score": [s for s, _ in found], "path": [p for _, p in found]})
 
     return decode
 
 
 def log_partition_udf(transitions: np.ndarray) -> Callable[[Column], Column]:
+    ends = np.zeros(len(transitions))
+
     @F.pandas_udf("double")
     def total(emissions: pd.Series) -> pd.Series:
-        return pd.Series([log_partition(_matrix(e), transitions) if e is not None and len(e) else None for e in emissions])
+        return pd.Series(_in_batches(emissions, lambda s: crf_pass(*padded(s), transitions, ends, ends)[0].tolist()), dtype=object)
 
     return total
 
@@ -230,20 +250,32 @@ def dense(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndar
 def dense_udf(layers: list[tuple[np.ndarray, np.ndarray]]) -> Callable[[Column], Column]:
     """A column function of dense(): an array of numbers to an array<double>; null for null."""
 
+    def all_of(vectors: list) -> list:
+        return dense(np.stack([np.asarray(v, float) for v in vectors]), layers).tolist()
+
     @F.pandas_udf("array<double>")
     def run(vectors: pd.Series) -> pd.Series:
-        return pd.Series([dense(np.asarray(v, float), layers).tolist() if v is not None else None for v in vectors])
+        return pd.Series(_in_batches(vectors, all_of), dtype=object)
 
     return run
 
 
 def encode_udf(forward: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    """Any forward pass over [steps, features] (a recurrent network, a pretrained encoder) as a column function to array<array<double>>."""
+    """Any forward pass over [steps, features] or [batch, steps, features] (a recurrent network, a pretrained encoder) as a column function to
+    array<array<double>>. Sequences of one length go through it together."""
+
+    def all_of(sequences: list) -> list:
+        out: list = [None] * len(sequences)
+        for n in {len(s) for s in sequences}:
+            mine = [k for k, s in enumerate(sequences) if len(s) == n]
+            for k, found in zip(mine, forward(np.stack([_matrix(sequences[k]) for k in mine])), strict=True):
+                out[k] = found.tolist()
+        return out
 
     @F.pandas_udf("array<array<double>>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for sequences in parts:
-            yield pd.Series([[row.tolist() for row in forward(_matrix(s))] if s is not None and len(s) else None for s in sequences])
+            yield pd.Series(_in_batches(sequences, all_of), dtype=object)
 
     return run
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewright import jvm
+from scorewright.functions import statistics
 from scorewright.functions.expressions import edges, right_closed_bin
-from scorewright.operators.binning import RARE, all_quantile_cuts
+from scorewright.operators.binning import RARE, all_quantile_cuts, bin_counts
 from scorewright.operators.matrices import complete_gram, pairwise
 from scorewright.operators.profile import merge_categories
+from scorewright.shipping import ship
 
 
 def _by_bin(df: DataFrame, col: str, target: str, positive) -> DataFrame:
@@ -132,6 +134,47 @@ def t_test(df: DataFrame, col: str, mean: float) -> DataFrame:
     return df.agg(n.alias("n"), F.try_divide(average - mean, F.try_divide(deviation, F.sqrt(n))).alias("t"), (n - 1).alias("dof"), (average - mean).alias("diff"), deviation.alias("std"))
 
 
+def t_tests(df: DataFrame, columns: list[str], mean: float, by: list[str] = ()) -> DataFrame:
+    """col_name, n, t, dof, p of two-sided one-sample t-tests of many columns, for each group of `by`, in one aggregation."""
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), columns, "col_name", "x")
+    n, average, deviation = F.count("x"), F.avg("x"), F.stddev_samp("x")
+    found = long.groupBy(*by, "col_name").agg(n.alias("n"), F.try_divide(average - mean, F.try_divide(deviation, F.sqrt(n))).alias("t"), (n - 1).alias("dof"))
+    ship(df.sparkSession)
+    return found.withColumn("p", statistics.t_two_sided_p(F.col("t"), F.col("dof")))
+
+
+def chi2_tests(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """col_name, chi2, dof, p of each category column against the target, from one aggregation of all columns; null values take no part.
+
+    Sums over the cells that have rows give the statistic; a 2x2 table, whose gaps are alike in all cells, carries Yates' correction."""
+    ship(df.sparkSession)
+    long = df.select(F.col(target).cast("string").alias("t"), *[F.col(c).cast("string").alias(c) for c in columns]).filter("t IS NOT NULL").unpivot(["t"], columns, "col_name", "v").filter("v IS NOT NULL")
+    cells = long.groupBy("col_name", "v", "t").agg(F.count("*").cast("double").alias("n"))
+    rows, cols, every = (Window.partitionBy("col_name", *more) for more in (["v"], ["t"], []))
+    placed = cells.withColumns({"row": F.sum("n").over(rows), "col": F.sum("n").over(cols), "all": F.sum("n").over(every)})
+    total, n = F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("col") / F.col("all"))), F.max("all")
+    found = placed.groupBy("col_name").agg(
+        F.greatest(total - n, F.lit(0.0)).alias("raw"), ((F.countDistinct("v") - 1) * (F.countDistinct("t") - 1)).cast("int").alias("dof"),
+        (n * F.sum(F.col("n") / (F.col("row") * F.col("row"))) * F.sum(F.col("n") / (F.col("col") * F.col("col")))).alias("shares"),
+    )
+    gap = F.sqrt(F.col("raw") / F.col("shares"))
+    corrected = F.pow(gap - F.least(F.lit(0.5), gap), F.lit(2)) * F.col("shares")
+    found = found.select("col_name", F.when(F.col("dof") == 1, corrected).otherwise(F.col("raw")).alias("chi2"), "dof")
+    return found.withColumn("p", statistics.chi2_p(F.col("chi2"), F.col("dof")))
+
+
+def information_values(df: DataFrame, columns: list[str], target: str, bins: int = 10, positive=1) -> DataFrame:
+    """col_name, iv of many columns of numbers, cut into quantile bins, in a fixed number of jobs. Bins' counts and totals are raised by 1."""
+    cuts = all_quantile_cuts(df, columns, bins)
+    good = F.col("target") == F.lit(positive)
+    counts = bin_counts(df, cuts, target).groupBy("col_name", "bin").agg(F.sum(F.when(good, F.col("n")).otherwise(0)).alias("g"), F.sum(F.when(~good, F.col("n")).otherwise(0)).alias("b"))
+    every = Window.partitionBy("col_name")
+    placed = counts.withColumns({"ga": F.sum("g").over(every) + 1, "ba": F.sum("b").over(every) + 1})
+    g, b = (F.col("g") + 1).cast("double"), (F.col("b") + 1).cast("double")
+    part = (b / F.col("ba") - g / F.col("ga")) * F.ln((b / g) / (F.col("ba").cast("double") / F.col("ga")))
+    return placed.groupBy("col_name").agg(F.sum(part).alias("iv"))
+
+
 def t_test_p(spark: SparkSession, t: float, dof: int) -> float:
     return jvm.t_two_sided_p(spark, t, dof)
 

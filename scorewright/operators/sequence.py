@@ -44,26 +44,34 @@ def average_change(df: DataFrame, entity: list[str], order: list[str | Column],
 def average_changes(df: DataFrame, entity: list[str], order: list[str | Column], columns: list[str]) -> DataFrame:
     """Mean differences of neighbouring values in order, of several columns from one order of the table.
 
-    The table is ordered by range of entity and order, so one busy entity is spread over many tasks. Each range sums its segment of an entity up
-    (first and last value, sum and number of steps between neighbours that both have a value); segments are then joined in order, with the step
-    from one's last value to the next one's first."""
+    The table is ordered by range of entity and order, so one busy entity is spread over many tasks. The steps of a run of values without a null
+    between them add up to its last value less its first, so each range sums the ends and starts of the runs inside its segment of an entity up and keeps
+    its first and last value; segments are then joined in order, where runs may go on. So a sum doesn't depend on where ranges are cut."""
     named = [c for c in order if isinstance(c, str)]
     rows = df.select(*dict.fromkeys([*entity, *named, *columns])) if len(named) == len(order) else df
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(rows.repartitionByRange(ranges, *entity, *order).withColumn("__range", F.spark_partition_id()))
     inside = Window.partitionBy(*entity, "__range").orderBy(*order)
-    steps = dealt.withColumns({"__k": F.row_number().over(inside)} | {f"__d{i}": F.col(c).cast("double") - F.lag(F.col(c).cast("double")).over(inside) for i, c in enumerate(columns)})
-    parts = []
+    marks = {"__k": F.row_number().over(inside)}
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        parts += [F.sum(f"__d{i}").alias(f"__s{i}"), F.count(f"__d{i}").alias(f"__n{i}"), F.min_by(x, "__k").alias(f"__f{i}"), F.max_by(x, "__k").alias(f"__l{i}")]
-    segments = steps.groupBy(*entity, "__range").agg(*parts)
+        marks |= {f"__x{i}": x, f"__p{i}": F.lag(x).over(inside), f"__q{i}": F.lead(x).over(inside)}
+    runs = dealt.withColumns(marks).withColumn("__size", F.max("__k").over(Window.partitionBy(*entity, "__range")))
+    parts, mean = [], []
+    for i, c in enumerate(columns):
+        x, before, after = F.col(f"__x{i}"), F.col(f"__p{i}"), F.col(f"__q{i}")
+        ends = F.when(after.isNull() & (F.col("__k") < F.col("__size")), x)
+        starts = F.when(before.isNull() & (F.col("__k") > 1), x)
+        parts += [F.sum(ends).alias(f"__s{i}"), F.sum(starts).alias(f"__t{i}"), F.count(F.when(x.isNotNull(), before)).alias(f"__n{i}"), F.min_by(x, "__k").alias(f"__f{i}"), F.max_by(x, "__k").alias(f"__l{i}")]
     across = Window.partitionBy(*entity).orderBy("__range")  # a row for each range that an entity lies in
-    segments = segments.withColumns({f"__g{i}": F.col(f"__f{i}") - F.lag(f"__l{i}").over(across) for i in range(len(columns))})
-    mean = [
-        F.try_divide(F.sum(F.coalesce(f"__s{i}", F.lit(0.0)) + F.coalesce(f"__g{i}", F.lit(0.0))), F.sum(F.col(f"__n{i}") + F.col(f"__g{i}").isNotNull().cast("int"))).alias(f"change_{c}")
-        for i, c in enumerate(columns)
-    ]
+    segments = runs.groupBy(*entity, "__range").agg(*parts)
+    segments = segments.withColumns({f"__{name}{i}": value for i in range(len(columns)) for name, value in (("b", F.lag(f"__l{i}").over(across)), ("a", F.lead(f"__f{i}").over(across)))})
+    for i, c in enumerate(columns):
+        first, last = F.col(f"__f{i}"), F.col(f"__l{i}")
+        joined = first.isNotNull() & F.col(f"__b{i}").isNotNull()
+        ends = F.coalesce(F.sum(f"__s{i}"), F.lit(0.0)) + F.coalesce(F.sum(F.when(F.col(f"__a{i}").isNull(), last)), F.lit(0.0))
+        starts = F.coalesce(F.sum(f"__t{i}"), F.lit(0.0)) + F.coalesce(F.sum(F.when(F.col(f"__b{i}").isNull(), first)), F.lit(0.0))
+        mean.append(F.try_divide(ends - starts, F.sum(F.col(f"__n{i}") + joined.cast("int"))).alias(f"change_{c}"))
     return segments.groupBy(*entity).agg(*mean)
 
 

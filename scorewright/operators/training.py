@@ -108,7 +108,11 @@ def crf_loss(e: np.ndarray, mask: np.ndarray, tags: np.ndarray, moves: np.ndarra
 
 
 def crf_decode(e: np.ndarray, mask: np.ndarray, moves: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[list[int]]:
-    """Best paths of a padded batch, all sequences a step at a time. Ties go to the lower tag."""
+    return crf_best(e, mask, moves, start, stop)[1]
+
+
+def crf_best(e: np.ndarray, mask: np.ndarray, moves: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Scores and paths of the best tags of a padded batch, all sequences a step at a time. Ties go to the lower tag."""
     n, steps, _ = e.shape
     score, back = e[:, 0] + start, []
     for t in range(1, steps):
@@ -121,7 +125,7 @@ def crf_decode(e: np.ndarray, mask: np.ndarray, moves: np.ndarray, start: np.nda
     for pointers in reversed(back):
         path.append(pointers[np.arange(n), path[-1]])
     found = np.stack(path[::-1], axis=1)
-    return [row[: int(m)].tolist() for row, m in zip(found, mask.sum(axis=1), strict=True)]
+    return (score + stop).max(axis=1), [row[: int(m)].tolist() for row, m in zip(found, mask.sum(axis=1), strict=True)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
