@@ -45,16 +45,15 @@ def times_amount(df: DataFrame, entity: str, contract: str, periods: Column, amo
     """entity, last_payment_due_date, ovd_times, ovd_total_amt.
 
     A contract's rows are exploded by period first and ranked by amount afterwards, so the largest amount counts once for a contract, times
-    its number of distinct periods."""
+    its number of distinct periods. The first row of a contract is the least of its rows' keys (in partial minima), so no contract is ordered by one task."""
     exploded = df.select(entity, contract, amount, paid, *[t.alias(f"__t{k}") for k, t in enumerate(ties)], F.explode(periods).alias("period"))
-    order = [F.col(amount).cast("double").desc(), *(F.col(f"__t{k}") for k in range(len(ties))), F.col("period")]
-    ranked = exploded.withColumn("rn", F.row_number().over(Window.partitionBy(contract).orderBy(*order)))
-    times = F.countDistinct("period")
-    contracts = ranked.groupBy(entity, contract).agg(
-        times.alias("ovd_times"),
-        (times * F.sum(F.when(F.col("rn") == 1, F.col(amount)).otherwise(0))).alias("ovd_total_amt"),
-        F.max(paid).alias("last_payment_due_date"),
-    )
+    value = F.col(amount).cast("double")
+    place = F.struct(value.isNull(), -value, *[F.col(f"__t{k}") for k in range(len(ties))], F.col("period"))
+    first = exploded.groupBy(F.col(contract).alias("__contract")).agg(F.min_by(F.struct(F.col(entity).alias("e"), F.col(amount).alias("a")), place).alias("__first"))
+    contracts = exploded.groupBy(entity, contract).agg(F.countDistinct("period").alias("ovd_times"), F.count("*").alias("__rows"), F.max(paid).alias("last_payment_due_date"))
+    joined = contracts.join(first, F.col(contract).eqNullSafe(F.col("__contract")))
+    largest = F.when(F.col("__first.e").eqNullSafe(F.col(entity)), F.when(F.col("__rows") > 1, F.coalesce(F.col("__first.a"), F.lit(0))).otherwise(F.col("__first.a"))).otherwise(F.lit(0))
+    contracts = joined.select(entity, "ovd_times", "last_payment_due_date", (F.col("ovd_times") * largest).alias("ovd_total_amt"))
     return contracts.groupBy(entity).agg(F.max("last_payment_due_date").alias("last_payment_due_date"), F.sum("ovd_times").alias("ovd_times"), F.sum("ovd_total_amt").alias("ovd_total_amt"))
 
 
