@@ -395,7 +395,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, others: list[str]) ->
 
         # sketches meet first; texts are sent only where a pair may be a link
         near = scratch.keep(dealt(met).mapInArrow(_in_reach, met.schema), "near")
-        inside = texts_of(near.select("node").distinct(), "texts-2")
+        inside = texts_of(scratch.keep(near.select("node").distinct(), "near-nodes"), "texts-2")  # a table of its own: its size is known to the join
         second = scratch.keep(dealt(near.join(inside, "node")).mapInArrow(_crossed, "a long, b long"), "second")
         if not second.isEmpty():
             found = components(links.unionByName(second), scratch, "second")
