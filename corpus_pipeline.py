@@ -22,7 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the compression classifier, learnt from all labels of these documents, scores at the threshold or above.
 
     A null or empty text is scored like any text. Rows with a null id or without a label are scored, but don't teach. Without labels of
-    either kind all documents have one score. Ties: equal texts stay or go together. Columns of any names pass through. Empty table: no rows."""
+    either kind all documents have one score. Ties and repeated rows: equal texts stay or go together. Texts of any length are compressed whole.
+    Columns of any names pass through. Empty table: no rows."""
     model, _ = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return quality.keep_good(docs, model)
 
@@ -31,7 +32,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is told without ambiguity.
 
     Null and empty texts, and texts without a letter, go. Rows with a null lang are judged, but don't teach; without any lang all go.
-    Ties between languages are ambiguous, so such documents go. Columns of any names pass through. Empty table: no rows."""
+    Ties between languages are ambiguous, so such documents go. Repeated rows stay or go together. Texts of any length are read whole.
+    Columns of any names pass through. Empty table: no rows."""
     return language.keep_known(docs, language.learn(docs, F.lit(True)))
 
 
