@@ -133,7 +133,8 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 
 def possible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Which pairs may reach the threshold: by their sizes (certain) and by the estimate (DEVIATIONS standard deviations)."""
+    """Which pairs may reach the threshold: by their sizes (certain), by the number of registers of equal value (half as many deviations
+    more), and by the estimate (DEVIATIONS standard deviations)."""
     threshold = PERCENT / 100
     slack = DEVIATIONS * np.sqrt(threshold * (1 - threshold) / a.shape[1])
     out = 100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)
@@ -431,7 +432,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, with all columns of docs: that of the smallest id (a null id only if there is no other,
     of repeated rows any one). Texts without words are linked with nothing, so their rows all stay. Rows that share an
-    id are told apart by their texts. Columns of any names pass through. Empty table: no rows."""
+    id are told apart by their texts. Texts of any length are compared whole. Columns of any names pass through. Empty table: no rows."""
     plain, (id_place, text_place) = by_place(docs, id_col, text_col)
     others = [c for c in plain.columns if c != text_place]
     sketched, ids = _grouped(plain, id_place, text_place, others)

@@ -201,13 +201,14 @@ class Packed:
     def slices(self) -> DataFrame:
         """Every final piece with its ids: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
-        A piece that isn't cut again keeps its row beside the scan; only ids of length columns are joined."""
+        A piece that isn't cut again keeps its row beside the scan; only ids of length columns are joined. Null and repeated doc_ids are documents
+        of their own; without documents there are no rows."""
         joined = self.pieces.join(self.placed, "mid")
         ids = F.expr("substring(ids, int(cut_from * 4 + 1), int(cut_length * 4))")
         return joined.select("doc_id", (F.col("piece_start") + F.col("cut_from")).alias("start"), F.col("cut_length").alias("length"), ids.alias("ids"), "doc_tokens", "sequence_id", "offset")
 
     def sequences(self) -> DataFrame:
-        """sequence_id and ids (binary) of each packed sequence."""
+        """sequence_id and ids (binary) of each packed sequence, not padded; without documents no rows."""
         parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most `capacity` parts
         joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"]))
         return self.slices().groupBy("sequence_id").agg(joined.alias("ids"))
@@ -278,7 +279,7 @@ def digest(packed: Packed) -> DataFrame:
     """The packed pieces with a checksum of their ids instead of the ids.
 
     Checksums are taken beside the scan, so no ids are shuffled for pieces that stay whole. The places of the pieces that
-    were cut again are broadcast if they are few, as the layout knows; else they are joined by a shuffle."""
+    were cut again are broadcast if they are few, as the layout knows; else they are joined by a shuffle. Rows as in slices()."""
     whole, again = (packed.placed.filter(x) for x in ("cut_length = length", "cut_length < length"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     sums = packed.pieces.select("mid", "doc_id", "doc_tokens", "piece_start", F.crc32("ids").alias("ids_crc32"))

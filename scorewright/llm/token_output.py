@@ -62,7 +62,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, scratch: Scr
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (little-endian uint32) of every document in written segments."""
+    """doc_id, start (ids of all documents before it) and ids (little-endian uint32) of every document in written segments.
+
+    As they were written: null and repeated doc_ids are a row each, empty texts have their end id alone, a document of any length is put together
+    from its segments in order. No segments: no rows."""
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     located = segments.join(F.broadcast(offsets(totals, "part", "n_ids", "before")), "part")  # a row for each range partition
     schema = "doc_id long, start long, ids binary"

@@ -92,7 +92,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. Only vectors of
     equal length have a score. A vector without components scores 0. Rows that share the query's id are not its candidates; a
     repeated query id is one query for each distinct vector. Ties: the smaller vec_id, repeated rows each count. A score outside
-    a long is held at the long's limit. Empty table: no rows.
+    a long is held at the long's limit. Empty table: no rows. Other columns, whatever their names, are ignored.
 
     Work is queries times rows, in blocks: a stated query set against all rows."""
     spark = vectors.sparkSession
