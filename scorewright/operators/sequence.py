@@ -41,15 +41,44 @@ def average_change(df: DataFrame, entity: list[str], order: list[str | Column],
     return average_changes(df, entity, order, [col])
 
 
+#: Rows that an entity may have, whatever its share, before it is dealt out by ranges.
+LEAST_BUSY = 10_000
+
+
 def average_changes(df: DataFrame, entity: list[str], order: list[str | Column], columns: list[str]) -> DataFrame:
-    """Mean differences of neighbouring values in order, of several columns from one order of the table.
+    """Mean differences of neighbouring values in order, of several columns.
 
-    The table is ordered by range of entity and order, so one busy entity is spread over many tasks. The steps of a run of values without a null
-    between them add up to its last value less its first, so each range sums the ends and starts of the runs inside its segment of an entity up and keeps
-    its first and last value; segments are then joined in order, where runs may go on. So a sum doesn't depend on where ranges are cut."""
+    Entities of at most twice an average task's rows (or LEAST_BUSY) are each ordered whole; busy ones, of which there are fewer than half as many as
+    tasks, are put together from segments. Both ways have the same steps and differ by rounding only."""
     named = [c for c in order if isinstance(c, str)]
     rows = df.select(*dict.fromkeys([*entity, *named, *columns])) if len(named) == len(order) else df
+    counts = rows.groupBy(*entity).agg(F.count("*").alias("__n"))
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(LEAST_BUSY, 2 * (counts.agg(F.sum("__n")).first()[0] or 0) / ranges)
+    busy = counts.filter(F.col("__n") > limit).select(*[F.col(e).alias(f"__e{k}") for k, e in enumerate(entity)], F.lit(True).alias("__busy"))
+    few = busy.collect()  # under ranges / 2 entities by the filter itself
+    if not few:
+        return _whole_changes(rows, entity, order, columns)
+    hot = F.broadcast(df.sparkSession.createDataFrame(few, busy.schema))
+    marked = rows.join(hot, [F.col(e).eqNullSafe(F.col(f"__e{k}")) for k, e in enumerate(entity)], "left").drop(*[f"__e{k}" for k in range(len(entity))])
+    quiet = _whole_changes(marked.filter("__busy IS NULL").drop("__busy"), entity, order, columns)
+    return quiet.unionByName(_segment_changes(marked.filter("__busy").drop("__busy"), entity, order, columns))
+
+
+def _whole_changes(rows: DataFrame, entity: list[str], order: list[str | Column], columns: list[str]) -> DataFrame:
+    """The lag is taken in an inner projection: no window may stand inside an aggregate."""
+    before = Window.partitionBy(*entity).orderBy(*order)
+    steps = rows.withColumns({f"__d{i}": F.col(c).cast("double") - F.lag(F.col(c).cast("double")).over(before) for i, c in enumerate(columns)})
+    return steps.groupBy(*entity).agg(*[F.avg(f"__d{i}").alias(f"change_{c}") for i, c in enumerate(columns)])
+
+
+def _segment_changes(rows: DataFrame, entity: list[str], order: list[str | Column], columns: list[str]) -> DataFrame:
+    """Mean differences of busy entities.
+
+    The table is ordered by range of entity and order, so one busy entity is spread over many tasks. The steps of a run of values without a null
+    between them add up to its last value less its first, so each range sums the ends and starts of the runs inside its segment of an entity up and keeps
+    its first and last value; segments are then joined in order, where runs may go on. So a sum doesn't depend on where ranges are cut."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(rows.repartitionByRange(ranges, *entity, *order).withColumn("__range", F.spark_partition_id()))
     inside = Window.partitionBy(*entity, "__range").orderBy(*order)
     marks = {"__k": F.row_number().over(inside)}
