@@ -45,9 +45,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, scratch: Scr
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("seq", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())]))
 
         for rows in row_slices(batches):
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            coded = tool.encode_all([text or "" for text in rows.column(1).to_pylist()])
+            for doc_id, ids in zip(rows.column(0).to_pylist(), coded, strict=True):
                 doc_ids.append(doc_id)
-                streams.append(tool.encode(text or "") + end)
+                streams.append(ids + end)
                 held += len(streams[-1]) // 4
                 if held >= SEGMENT_IDS:
                     yield close()

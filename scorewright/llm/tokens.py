@@ -2,7 +2,8 @@
 
 Both kinds of vocabulary here never let a token cross the place before a single blank between two visible
 characters, so a text's ids are the ids of the stretches cut there, one after the other; the library itself encodes each
-distinct stretch.
+distinct stretch. Where white space is dropped, a stretch is also cut between a plain letter and the stops after it, and
+the new words of many texts go to the library in one call.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 import re
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 from scorewright.llm.common import ENTRY_BYTES, MEMO_PIECE, PieceCache, only
@@ -19,10 +21,19 @@ from scorewright.llm.common import ENTRY_BYTES, MEMO_PIECE, PieceCache, only
 #: Letters whose normal form, lower case and letter class are the same in every Unicode version, and the stops after them: a
 #: plain word and its stops are always pieces of their own.
 STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
 
 LITTLE = sys.byteorder == "little"
 
+#: Bytes of text whose new words go to the library together; longer texts are cut at white space.
+RUN = 1 << 18
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in STOPS]] = True
+
 
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in byte-level vocabularies: visible Latin-1 characters for themselves, the others from U+0100 on."""
@@ -32,6 +43,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 
+def _parts(data: bytes) -> Iterator[bytes]:
+    """data, cut at white space where it is longer than RUN."""
+    start = 0
+    while len(data) - start > RUN and (blank := BLANK.search(data, start + RUN)):
+        yield data[start : blank.start()]
+        start = blank.start()
+    yield data[start:] if start else data
+
+
 def _packed(ids: list[int]) -> bytes:
     """Little-endian uint32."""
     found = array("I", ids)
@@ -74,6 +94,33 @@ class _Words(PieceCache):
         return value
 
 
+class _Together(PieceCache):
+    """Memo whose new pieces are made together: one asked for is None until fill() has made all that wait."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__(make, OWNER)
+        self.waiting: dict[bytes, None] = {}
+
+    def __missing__(self, piece):
+        value = self.old.get(piece)
+        if value is None:
+            self.waiting[piece] = None
+        elif self.held < self.size:  # as remember() does
+            self[piece] = value
+            self.held += ENTRY_BYTES + len(piece) + len(value)
+        else:
+            self.remember(piece, value)
+        return value
+
+    def fill(self) -> dict[bytes, bytes]:
+        """The values of all that waited."""
+        made = self.make(list(self.waiting))
+        self.waiting = {}
+        for piece, value in made.items():
+            self.remember(piece, value)
+        return made
+
+
 class Encoder:
     """kind 'blank': a blank belongs to the word after it (byte-level vocabularies). kind 'drop': white space is dropped.
 
@@ -97,6 +144,9 @@ class Encoder:
         probes = [b + w for b in ("", " ") for w in ("a", "the", "Nation", "éÇà", "Übergrößen", "señor", "zqxjkv", "Aa", "end.", "été,.", "a***", "no!?", "b$$$", "c-", "d`~", "f&@#", "g)]}", "h{[(", "i+=<>^|")]
         plain = all(self._plain(PLAIN.fullmatch(p)) == _packed(self._ids(p)) for p in probes)
         self.plain = plain
+        self.pieces = _Together(self._made_together)
+        self.cuts = drops and all(self._ids(a + stop + b) == self._ids(f"{a} {stop}{b}") for stop in STOPS for a, b in (("a", ""), ("Z", "b"), ("it's", "'s"), ("a", stop), ("e", "\u0338"), ("1b", " 1")))
+        self.words, self.ends = self._word_tool() if plain and drops else (None, None)
         for memo in (self.cache, self.after_blank):
             memo.short, memo.lower = plain and LITTLE, self.lower
 
@@ -127,9 +177,93 @@ class Encoder:
             return self._plain(match)
         return _packed(self._ids(text))
 
+    def _word_tool(self) -> tuple:
+        """The library's merge model on words between blanks, and for each id whether it ends a word; without a mark of word ends, neither."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        mark = self.library.model.end_of_word_suffix
+        if not mark:
+            return None, None
+        tool = Tokenizer(self.library.model)
+        tool.pre_tokenizer = WhitespaceSplit()
+        ends = np.zeros(self.size, bool)
+        ends[[k for token, k in self.library.get_vocab().items() if token.endswith(mark)]] = True
+        return tool, ends
+
+    def _made_together(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each piece; those of plain words by one call for all."""
+        words, made = [], {}
+        for piece in pieces:
+            if self.words and len(piece) <= MEMO_PIECE and (piece.isalpha() or PLAIN_WORD.fullmatch(piece.decode())):
+                words.append(piece)
+            else:
+                made[piece] = self._bytes(piece)
+        text = b" ".join(words).decode()
+        text = text.lower() if self.lower else text
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters | {32: " "})
+        ids = np.array(self.words.encode(text, add_special_tokens=False).ids if words else [], "<u4")
+        stop = (np.flatnonzero(self.ends[ids]) + 1) * 4 if words else ids
+        if len(stop) != len(words):  # the vocabulary lacks some byte, so a word may have no end
+            return made | {word: self._bytes(word) for word in words}
+        found, start = ids.tobytes(), 0
+        for word, end in zip(words, stop.tolist(), strict=True):
+            made[word] = found[start:end]
+            start = end
+        return made
+
     def _encode_dropping(self, text: str) -> bytes:
         """Little-endian uint32 ids."""
-        return b"".join(map(self.cache.__getitem__, text.encode().split()))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """What encode() gives for each text; where white space is dropped, by runs of a bounded number of bytes."""
+        if not self.drops:
+            return [self.encode(text) for text in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        run, owners, held = [], [], 0
+        for k, text in enumerate(texts):
+            for part in _parts(text.encode()):
+                if run and held + len(part) > RUN:
+                    self._encode_run(run, owners, out)
+                    run, owners, held = [], [], 0
+                run.append(part)
+                owners.append(k)
+                held += len(part)
+        if run:
+            self._encode_run(run, owners, out)
+        return [parts[0] if len(parts) == 1 else b"".join(parts) for parts in out]
+
+    def _encode_run(self, run: list[bytes], owners: list[int], out: list[list[bytes]]) -> None:
+        """Append the ids of each part to those of the text that owns it."""
+        words, stop = [], []
+        for part in self._apart(run):
+            words += part.split()
+            stop.append(len(words))
+        found = list(map(self.pieces.__getitem__, words))
+        if self.pieces.waiting:
+            made = self.pieces.fill()
+            found = [made[word] if value is None else value for word, value in zip(words, found, strict=True)]
+        start = 0
+        for owner, end in zip(owners, stop, strict=True):
+            out[owner].append(b"".join(found[start:end]))
+            start = end
+
+    def _apart(self, run: list[bytes]) -> list[bytes]:
+        """The parts in lower case where that is sure to be what the library makes of them, and with a blank between letters and stops.
+
+        A letter in lower case may join a mark of U+0300 to U+036F (all have CC or CD as first byte) that its capital doesn't join."""
+        if self.lower:
+            run = [part if b"\xcc" in part or b"\xcd" in part else part.lower() for part in run]
+        if not self.cuts:
+            return run
+        data = np.frombuffer(b" ".join(run), np.uint8)
+        at = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
+        stop = np.cumsum(np.array([len(part) + 1 for part in run], np.int64))
+        stop += np.searchsorted(at, stop)
+        wide = np.insert(data, at, 32).tobytes()
+        return [wide[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
 
     def _encode_blanks(self, text: str) -> bytes:
         first, *rest = text.split(" ")

@@ -3,7 +3,9 @@
 import hashlib
 import math
 import os
+import sys
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from scorewright.llm import byte_bpe, exact_dedup, language, lm_scoring, near_dedup, packing, quality, sharding, simple8b, token_output, tokens, vector_search  # noqa: E402
-from scorewright.llm.common import Scratch, id_remainder  # noqa: E402
+from scorewright.llm.common import Scratch, id_remainder, only  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mid long, part int, class string, sha string, kept boolean, score double, rank int, bucket int"
 WORDS = "the of and a reed stone river under over light grand éclair straße niño mañana . , x1 don't".split()
@@ -321,6 +323,48 @@ def test_encoders_equal_libraries(text):
     assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and own.decode(ids) == text.encode()
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(st.sampled_from("abhHKtW éÉ\n\t 　中1'.s,̸̱̇ßİ|<>_-*$`^!\0"), max_size=40) | st.sampled_from(["H̱ẖ,", "it's,'s", "x" * 70 + ".", "<|endoftext|>, the"]), max_size=6), st.sampled_from([1, 16, 1 << 18]))
+def test_texts_encoded_together_equal_libraries(texts, run):
+    own, library = _encoder("word_bpe_49k.json")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "RUN", run)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_words_of_many_texts_are_one_call():
+    """Capitals and stops make no new words; long words are made each time and leave nothing behind; another operator's memo releases all."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = tokens.Encoder(f.read())
+    library, calls = own.words, []
+
+    class Counted:
+        def encode(self, text, **kwargs):
+            calls.append(text)
+            return library.encode(text, **kwargs)
+
+    own.words = Counted()
+    texts = ["Zqxjkv zqxjkv, éèzq.", "ZQXJKV! zqxjkv?! éèzq", "(zqxjkv) " + "y" * 65]
+    found = own.encode_all(texts)
+    assert len(calls) == 1 and len(calls[0].split()) == 2
+    assert own.encode_all(texts) == found and len(calls) == 1
+    assert not own.pieces.waiting and b"y" * 65 not in own.pieces
+    only("another")
+    assert not own.pieces and not own.pieces.held
+
+
+def test_marks_that_join_plain_letters_are_seen():
+    """Every mark that joins an ASCII letter, and every character that becomes such a mark, has CC or CD as its first byte."""
+    marks = set()
+    for code in range(sys.maxunicode + 1):
+        whole = unicodedata.normalize("NFD", chr(code))
+        if len(whole) > 1 and whole[0].isascii() and whole[0].isalpha():
+            marks |= set(whole[1:])
+    assert marks and all(m.encode()[0] in (0xCC, 0xCD) for m in marks)
+    starts = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.normalize("NFD", chr(c))[0] in marks}
+    assert all(c.encode()[0] in (0xCC, 0xCD) for c in starts)
+
+
 _made = {}
 
 
